@@ -80,7 +80,8 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id",
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(member, smallest member of its part) for the members of one bucket that link to another."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    plain = fps.view(np.uint64)  # bits of signed numbers would be those of their absolute values
+    near = np.bitwise_count(plain[:, None] ^ plain[None, :]) <= radius
     label = np.arange(len(fps))
     while True:
         least = np.where(near, label[None, :], len(fps)).min(axis=1)
