@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import blob_ledger, covering_simhash, norm_topk, png_media
+from curatrix.llm import blob_ledger, bpe_words, covering_simhash, norm_topk, png_media, slack_packing
 from curatrix.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.digest(blob_ledger.findings(table(spark, sf_dir, "documents")))
 
 
+def op3_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_topk.top_products(table(spark, sf_dir, "embeddings"))
 
@@ -25,7 +29,11 @@ def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", covering_simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_blob_ledger, op5_norm_topk, op6_png_media, op8_covering_simhash)}
+def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_words.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_blob_ledger, op3_slack_packing, op5_norm_topk, op6_png_media, op8_covering_simhash, op10_bpe_words)}
 
 ORACLE_SQL = {
     "op5_norm_topk": """
