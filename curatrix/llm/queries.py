@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import blob_ledger, bpe_words, covering_simhash, norm_topk, png_media, slack_packing
+from curatrix.llm import blob_ledger, bpe_words, covering_simhash, knn_quality, norm_topk, png_media, slack_packing, toxicity
 from curatrix.llm.common import table
 
 
@@ -24,16 +24,24 @@ def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return png_media.media_features(png_media.media_table(table(spark, sf_dir, "documents")))
 
 
+def op7_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", covering_simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
+def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_blob_ledger, op3_slack_packing, op5_norm_topk, op6_png_media, op8_covering_simhash, op10_bpe_words)}
+QUERIES = {f.__name__: f for f in (op2_blob_ledger, op3_slack_packing, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words)}
 
 ORACLE_SQL = {
     "op5_norm_topk": """
