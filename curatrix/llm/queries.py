@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import blob_ledger, bpe_words, covering_simhash, knn_quality, norm_topk, png_media, slack_packing, toxicity
+from curatrix.llm import blob_ledger, bpe_words, covering_simhash, knn_quality, norm_topk, pii_surrogates, png_media, slack_packing, toxicity
 from curatrix.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replaced(table(spark, sf_dir, "documents"))
+
+
 def op5_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_topk.top_products(table(spark, sf_dir, "embeddings"))
 
@@ -41,7 +45,7 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_blob_ledger, op3_slack_packing, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words)}
+QUERIES = {f.__name__: f for f in (op2_blob_ledger, op3_slack_packing, op4_pii_surrogates, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words)}
 
 ORACLE_SQL = {
     "op5_norm_topk": """
