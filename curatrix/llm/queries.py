@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import blob_ledger, bpe_words, covering_simhash, knn_quality, norm_topk, pii_surrogates, png_media, slack_packing, toxicity
+from curatrix.llm import blob_ledger, bpe_words, brown_lm, covering_simhash, knn_quality, norm_topk, pii_surrogates, png_media, slack_packing, toxicity
 from curatrix.llm.common import table
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.digest(blob_ledger.findings(table(spark, sf_dir, "documents")))
 
@@ -45,7 +49,7 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_blob_ledger, op3_slack_packing, op4_pii_surrogates, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words)}
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_blob_ledger, op3_slack_packing, op4_pii_surrogates, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words)}
 
 ORACLE_SQL = {
     "op5_norm_topk": """
