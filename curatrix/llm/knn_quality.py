@@ -207,3 +207,24 @@ def scored(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS, mod
     shared = docs.sparkSession.sparkContext.broadcast(model)
     got = texts(docs, id_col, text_col).mapInArrow(_scorer(shared, neighbours), SCORES)
     return got.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _acceptor(shared, neighbours: int, text_at: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        words_of, symbols = _Memo(_word_columns), _Memo(_symbol)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                counts = np.stack([term_counts(t.as_py() or "", words_of, symbols) for t in part.column(text_at)])
+                score = model.score(counts, neighbours)
+                score[~counts.any(axis=1)] = model.prior
+                yield part.filter(pa.array(score >= least))
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, neighbours: int = NEIGHBOURS, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is at least ``least``; scored where they lie."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col))
+    return docs.mapInArrow(_acceptor(shared, neighbours, docs.columns.index(text_col), least), docs.schema)

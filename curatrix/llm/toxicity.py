@@ -24,6 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatrix.llm.common import fold, texts, written
 
@@ -177,14 +178,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
     return Model(lexicon, trees, isotonic, share or 0.0)
 
 
+def _score(model: Model, rows: DataFrame) -> DataFrame:
+    """``rows`` has a column of texts, ``text``; it is replaced by ``score``."""
+    if model.trees is None:
+        return rows.drop("text").withColumn("score", F.lit(float(model.prior)))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"]).add("features", T.ArrayType(T.DoubleType()))
+    out = model.calibration.transform(_margin(model.trees, rows.mapInArrow(_features(model.lexicon), schema))).drop("margin")
+    return out.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
+
+
 def scored(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = model or fit(docs, labels, id_col=id_col, text_col=text_col)
-    plain_ = texts(docs, id_col, text_col)
-    if model.trees is None:
-        out = plain_.select("doc_id", F.lit(float(model.prior)).alias("score"))
-    else:
-        rows = plain_.mapInArrow(_features(model.lexicon), "doc_id long, features array<double>")
-        out = model.calibration.transform(_margin(model.trees, rows)).select("doc_id", "score")
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))
-    return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    out = _score(model, texts(docs, id_col, text_col))
+    return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, below: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below ``below``; scored where they lie."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _score(fit(docs, labels, text_col=text_col), rows).where(F.col("score") < below).select("row.*")
