@@ -1,0 +1 @@
+"""Catalogue analytics as Spark DataFrame operators."""

@@ -1,0 +1,208 @@
+"""Behaviour of single operators and expressions on small inputs."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from curatrix.functions import text as T
+from curatrix.functions import unicode as U
+from curatrix.operators import diff, resolve, retrieval, rollup, select
+from curatrix.sources import files, schemas
+from curatrix.streaming import library
+
+
+def one(spark, expr, *values):
+    names = [f"c{i}" for i in range(len(values))]
+    return spark.createDataFrame([values], ", ".join(f"{n} string" for n in names)).select(expr(*names).alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    "expr,values,want",
+    [
+        (T.squeeze, (" a　﻿ b\n",), "a b"),
+        (T.missing_as_null, ("undefined",), None),
+        (T.slug, ("  A b--C! ",), "a-b-c"),
+        (T.split_labels, ("a, b；a、c|",), ["a", "b", "c"]),
+        (T.strip_html, ("<p>a<script>x<y</script> &amp; <b>b</b><!-- c --></p>",), "a & b"),
+        (T.host, ("HTTPS://user:pw@Example.com:80/a",), "example.com"),
+        (T.last_segment, ("http://x.y/a/b/?q=1",), "b"),
+        (T.last_segment, ("http://x.y",), ""),
+        (T.safe_url, ("http://u:p@x.y/a?b#c",), "http://x.y/a"),
+        (T.earliest_decade, ("1889 or 1871, no. 123456",), "period-1870s"),
+        (T.earliest_decade, ("none",), None),
+        (T.cjk_grams, ("达芬奇",), ["达", "芬", "奇", "达芬", "芬奇", "达芬奇"]),
+        (T.latin_prefixes, ("Cat",), ["c", "ca", "cat", "cat"]),
+        (T.query_terms, ("达·芬奇",), ["达", "芬奇"]),
+        (T.query_terms, ("一二三四五六七八",), ["一二三", "二三四", "三四五", "四五六", "五六七", "六七八"]),
+        (T.dedupe_title, ("The Night (study)",), "night"),
+        (T.dedupe_artist, ("梵高 (Vincent van Gogh, 1853-1890)",), "vincent van gogh"),
+        (T.relation_role, ("After Rembrandt",), "after"),
+        (T.relation_role, ("Rembrandt",), "creator"),
+        (T.redacted, ("a token=abc&x",), "a token=[redacted]&x"),
+        (T.licence_status, ("CC BY-NC 4.0",), "blocked"),
+        (T.licence_status, (None,), "unknown"),
+        (T.sentences, ("One. Two! 三。四",), ["One.", "Two!", "三。", "四"]),
+        (T.stable_bucket, ("artwork_1",), 5977),
+        (T.dimension, ("style-x",), "style"),
+        (T.dimension, ("x",), "unknown"),
+        (U.nfkc, ("ﬁ１",), "fi1"),
+        (U.without_marks, ("Cézanne",), "Cezanne"),
+        (U.decode_entities, ("&#x41;&eacute;&#66;",), "AéB"),
+    ],
+)
+def test_text(spark, expr, values, want):
+    assert one(spark, expr, *values) == want
+
+
+def test_more_text(spark):
+    assert one(spark, T.dedupe_key, "The Night", "") == ""
+    assert one(spark, T.dedupe_key, "The Night", "A. B") == "a b|night"
+    assert one(spark, T.similarity, "kitten", "sitting") == pytest.approx(0.5714)
+    assert one(spark, U.absolute_url, "../b", "http://x.y/a/c") == "http://x.y/b"
+    assert one(spark, lambda x: T.attributes(x), '<a href="u" title="t" HREF="v">') == {"href": "u", "title": "t"}
+    assert one(spark, lambda x: T.or_else(x, F.lit("d")), "") == "d"
+
+
+def test_unlock_rate(spark):
+    rows = spark.createDataFrame([(1, 3), (5, 3), (0, 0)], "n long, d long").select(T.unlock_rate(F.col("n"), F.col("d")).alias("x")).collect()
+    assert [r.x for r in rows] == ["33.33%", "100.00%", "0.00%"]
+
+
+def test_round_robin_and_caps(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], i) for i in range(9)], "id long, k string, p long")
+    assert [r.id for r in select.round_robin(df, "k", "id", 5).orderBy("position").collect()] == [0, 1, 3, 2, 6]
+    got = select.greedy_under_caps(df.withColumn("g", F.lit(1)), "g", {"k": 2}, "id").collect()
+    assert sorted(r.id for r in got) == [0, 1, 2, 3]
+
+
+def test_numbers_and_islands(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
+    assert all(r.number == r.v + 5 for r in select.numbered(df, "v", start=5).collect())
+    ids = [0, 1, 2, 5, 9, 10, 11, 12, 20, 29, 30, 31, 39, 40]
+    got = select.islands(spark.createDataFrame([(i,) for i in ids + [5, None]], "id long"), "id", width=10).orderBy("first").collect()
+    assert [(r.first, r.last) for r in [tuple_row(x) for x in got]] == [(0, 2), (5, 5), (9, 12), (20, 20), (29, 31), (39, 40)]
+    assert select.islands(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def tuple_row(r):
+    class X:
+        first, last = r["first"], r["last"]
+
+    return X
+
+
+def test_search_ladder(spark):
+    df = spark.createDataFrame([(1, "Sun"), (2, "Sunrise"), (3, "The Sun"), (4, "Midsunday"), (5, "Moon"), (6, None)], "id long, title string")
+    got = retrieval.ranked(df, ["sun"], {"title": 10.0}).orderBy(F.desc("score"), "id").collect()
+    assert [(r.id, r.score) for r in got] == [(1, 10.0), (2, 9.4), (3, 8.8), (4, 7.8)]
+    assert retrieval.expanded("sun", [["sunlight", "sol"], ["moon"]]) == ["sun", "sunlight", "sol"]
+
+
+def test_containment_counts_only_single_ids(spark):
+    index = resolve.alias_index(spark.createDataFrame([("a", ["van gogh", "Vincent"]), ("b", ["monet"])], "id string, n array<string>"), "id", F.col("n"))
+    texts = spark.createDataFrame([(1, "Vincent van Gogh"), (2, "Monet after van Gogh"), (3, "nobody"), (4, None)], "k long, t string")
+    assert [(r.k, r.id) for r in resolve.uniquely_contained(texts, "k", "t", index).collect()] == [(1, "a")]
+    assert {(r.k, r.alias) for r in resolve.longest_contained(texts, "k", "t", index).collect()} == {(1, "van gogh"), (2, "van gogh")}
+
+
+def test_similar_names_lose_no_pair(spark):
+    import itertools
+    import random
+
+    random.seed(3)
+    names = ["".join(random.choice("abc") for _ in range(random.randint(5, 9))) for _ in range(60)]
+    left = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, n string")
+    right = spark.createDataFrame([(i, n) for i, n in enumerate(reversed(names[:40] + [n[1:] + "x" for n in names[40:]]))], "j long, m string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {}
+    for (i, n), (j, m) in itertools.product(((r.i, r.n) for r in left.collect()), [(r.j, r.m) for r in right.collect()]):
+        s = round(1 - distance(n, m) / max(len(n), len(m)), 4)
+        if s >= 0.72 and (s, -j) > want.get(i, (0, 0)):
+            want[i] = (s, -j)
+    got = {r.i: (r.similarity, -r.j) for r in resolve.similar_names(left, "i", "n", right, "j", "m").collect()}
+    assert got == want
+
+
+def test_channel_modes(spark):
+    links = spark.createDataFrame([("f", i, 1) for i in range(8)] + [("c", i, i % 4) for i in range(9)] + [("m", 1, 1), ("m", 2, 2)], "ch string, item long, who long")
+    got = {r.ch: r for r in rollup.channel_policy(rollup.channel_stats(links, "ch", "item", "who")).collect()}
+    assert (got["f"].mode, got["c"].mode, got["m"].mode) == ("focus", "cross", "mixed")
+    assert got["f"].eligible and got["c"].eligible and not got["m"].eligible
+    assert got["c"].top_creator == 0 and got["m"].top_share == 0.5
+
+
+def test_transition_and_violations(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    got = {(r.id, r.problem) for r in diff.transition(ids(1, 9), ids(1, 2, 3), ids(2, 3, 4), "id").collect()}
+    assert got == {(9, "unexpected"), (2, "missing"), (3, "missing")}
+    rows = spark.createDataFrame([(1, 5), (2, None)], "id long, v long")
+    assert [(r.id, r.rule) for r in diff.violations(rows, "id", {"positive": F.col("v") > 0}).collect()] == [(2, "positive")]
+
+
+MUTATIONS = "event_id long, user_id long, item_id string, device_id string, updated_at timestamp, deleted boolean, device_count long"
+
+
+def mutations(spark, rows):
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    return spark.createDataFrame([(i, u, x, dev, at(t), dele, n) for i, u, x, dev, t, dele, n in rows], MUTATIONS)
+
+
+def test_library_merge_is_idempotent_and_keeps_tombstones(spark):
+    rows = mutations(spark, [(1, 1, "a", "x", 5, False, 2), (2, 1, "a", "y", 5, True, 1), (3, 1, "a", "x", 4, False, 3), (4, 1, "b", "x", 1, False, None)])
+    state = library.latest_state(rows)
+    assert {(r.item_id, r.deleted) for r in state.collect()} == {("a", True), ("b", False)}
+    again = library.merged_state(library.merged_state(state, rows), rows.where("event_id = 3"))
+    assert sorted(again.collect()) == sorted(state.collect())
+    assert {(r.item_id, r.total) for r in library.total_counts(library.device_counts(rows)).collect()} == {("a", 4), ("b", None)}
+
+
+def test_monotone_clock(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    rows = spark.createDataFrame([(1, 1, at(10)), (2, 1, at(10)), (3, 1, at(5)), (4, 1, at(30))], "id long, u long, t timestamp")
+    base = library.monotone_clock(rows, ["u"], "id", "t").orderBy("id").collect()
+    assert [r.logged_at - base[0].logged_at for r in base] == [0, 1, 2, 20]
+
+
+def test_files_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "q",\nb', ["x", "y"]), (2, None, [])], "id long, t string, tags array<string>")
+    files.write_json_lines(rows, f"{tmp_path}/j")
+    assert sorted(files.json_records(spark, f"{tmp_path}/j", "id long, t string, tags array<string>").collect()) == sorted(rows.collect())
+    files.write_csv(rows, f"{tmp_path}/c")
+    back = files.csv_records(spark, f"{tmp_path}/c", "id string, t string, tags string").orderBy("id").collect()
+    assert [(r.id, r.t, r.tags) for r in back] == [("1", 'a "q",\nb', "x|y"), ("2", None, None)]
+    (tmp_path / "a.json").write_text('[{"id": 1},\n {"id": 2}]')
+    assert files.json_records(spark, f"{tmp_path}/a.json", "id long", array=True).count() == 2
+    (tmp_path / "b.json").write_text('{"id": 1}\n{"id": oops\n')
+    bad = files.json_records_with_errors(spark, f"{tmp_path}/b.json", "id long").cache()
+    assert bad.where("bad_record IS NOT NULL").count() == 1
+    (tmp_path / "r.csv").write_text("﻿id,title_cn,title_en,artist,location,year_and_place,medium,dimensions,description,tags\n1,a,b,c,,,,,\"x\ny\",t\n,,,,,,,,,\n", encoding="utf-8")
+    got = files.csv_records(spark, f"{tmp_path}/r.csv", schemas.REVIEW_CSV).collect()
+    assert len(got) == 1 and got[0].id == "1" and got[0].description == "x\ny"
+    assert files.object_listing(spark, str(tmp_path), r"\.csv$").count() >= 1
+
+
+def test_keyed_changes(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    b = spark.createDataFrame([(2, None), (3, "z")], "k long, v string")
+    rows = lambda df: sorted((r.k, r.v) for r in df.collect())
+    assert files.upserted(a, b, ["k"]).where("k = 2").first().v is None
+    assert rows(files.merged(a, b, ["k"])) == [(1, "x"), (2, "y"), (3, "z")]
+    assert rows(files.without(a, b, ["k"])) == [(1, "x")]
+    assert rows(files.inserted_if_absent(a, b, ["k"])) == [(1, "x"), (2, "y"), (3, "z")]
+    assert files.repeated_keys(a.union(a.limit(1)).withColumn("id", F.when(F.col("k") < 2, F.col("k"))), "id").count() == 2
+    assert rows(files.latest_per_key(a.union(b.where("v IS NOT NULL")), ["k"], F.desc("v"))) == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_schemas_parse(spark):
+    for text in (schemas.ARTWORKS, schemas.ARTISTS, schemas.VOCABULARY, schemas.TAG_LINKS, schemas.ARTIST_LINKS, schemas.MUTATIONS, schemas.REVIEW_CSV, schemas.PAGES):
+        assert spark.createDataFrame([], text).columns
