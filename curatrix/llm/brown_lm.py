@@ -292,13 +292,15 @@ class Model:
         three = trigrams.reshape(k, k, k).astype(np.float64)
         size = three.sum(axis=(0, 1))
         used = size > 0
+        if not used[1:].any():
+            used[1] = True  # no word is known: one class stands for the unknown word
         two = three.sum(axis=0)
         unigram = np.where(used, size + 1, 0.0)
         unigram = unigram / unigram.sum() if unigram.sum() else unigram
         bigram = (two + MU2 * unigram) / (two.sum(axis=1, keepdims=True) + MU2)
         trigram = (three + MU3 * bigram[None]) / (three.sum(axis=2, keepdims=True) + MU3)
-        self.discount = once / (once + 2 * twice) if once else 0.5
-        held_back = np.where(used, self.discount * types / np.maximum(size, 1), 0.0)
+        self.discount = min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
+        held_back = np.where(size > 0, self.discount * types / np.maximum(size, 1), used.astype(float))
         # the end is one word that is always known
         held_back[0] = 0.0
         with np.errstate(divide="ignore"):
