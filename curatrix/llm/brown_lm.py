@@ -147,8 +147,8 @@ def _contexts(shared):
             cells += np.bincount((base + N_CLASSES + right[training])[unit[training] > 0], minlength=N_UNITS * 2 * N_CLASSES)
             at, n = _sparse(cells)
             part = at // (RANGE * 2 * N_CLASSES)
-            edges = np.flatnonzero(np.diff(part, prepend=-1))
-            rows = [(int(part[a]), pack((at[a:b] % (RANGE * 2 * N_CLASSES)).astype(np.uint32)), pack(n[a:b].astype(np.uint64))) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True)]
+            edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(at)]
+            rows = [(int(part[a]), pack((at[a:b] % (RANGE * 2 * N_CLASSES)).astype(np.uint32)), pack(n[a:b].astype(np.uint64))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "cells", "n"])
 
     return run
