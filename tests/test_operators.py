@@ -206,3 +206,33 @@ def test_keyed_changes(spark):
 def test_schemas_parse(spark):
     for text in (schemas.ARTWORKS, schemas.ARTISTS, schemas.VOCABULARY, schemas.TAG_LINKS, schemas.ARTIST_LINKS, schemas.MUTATIONS, schemas.REVIEW_CSV, schemas.PAGES):
         assert spark.createDataFrame([], text).columns
+
+
+def test_rules(spark):
+    from curatrix.functions import rules as R
+
+    assert one(spark, lambda x: R.first_rule(x, [("sun", "a"), ("s", "b")], "c"), "Sunny") == "a"
+    assert one(spark, lambda x: R.first_rule(x, [("sun", "a")], "c"), None) == "c"
+    assert one(spark, R.year_text, "circa 1871 to 1880") == "c. 1871-1880"
+    assert one(spark, R.year_text, " no  date ") == "no date"
+    assert one(spark, lambda x: R.known_place(x, ["somewhere.com"]), ", Somewhere.com") == "unknown"
+    assert one(spark, R.clipped, "a b") == "a b." and one(spark, R.clipped, "") == ""
+    assert one(spark, R.name_parts, "梵高 (Van Gogh)") == ["梵高 (Van Gogh)", "梵高", "Van Gogh"]
+    assert one(spark, lambda x: R.lifespan(x)[1], "X (1853-90)") == 1890
+    assert one(spark, lambda x: R.lifespan(x)[1], "X (1888-12)") == 1912
+    assert one(spark, lambda x: R.lifespan(x)[1], "X (1888-)") is None
+    assert one(spark, R.ratio, "30 x 0") is None and one(spark, R.ratio, "30 x 12 cm") == 2.5
+    assert one(spark, R.is_pixel_size, "100 x 200 px") and not one(spark, R.is_pixel_size, "100 x 200 cm")
+    assert one(spark, lambda x: R.replaced_in_order(x, [("ab", "c"), ("c", "d")]), "abc") == "dd"
+    assert one(spark, lambda x: R.looked_up(x, {"a": "b"}), "z") is None
+
+
+def test_short_lists_take_one_external(spark):
+    from curatrix.operators import ranking
+
+    rows = spark.createDataFrame([("o", f"f{i}", 10 - i, i, i == 4) for i in range(6)] + [("p", "f0", 1, 9, True), ("p", "g", 0, 8, False)], "o string, f string, s long, t long, ext boolean")
+    got = {(r.o, r.f, r["rank"]) for r in ranking.short_lists(rows, "o", "f", "s", "t", F.col("ext")).collect()}
+    assert got == {("o", "f0", 1), ("o", "f1", 2), ("o", "f4", 3), ("p", "g", 1)}
+    ranked = ranking.short_lists(rows, "o", "f", "s", "t", F.col("ext"))
+    chosen = {r.o: (r.selected, r.alternate) for r in ranking.decisions(ranked, "o", "f", "rank", spark.createDataFrame([("o", "f1")], "o string, override string")).collect()}
+    assert chosen == {"o": ("f1", "f0"), "p": ("g", None)}
