@@ -14,11 +14,16 @@ rows with a null id are kept; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import functools
+import itertools
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from curatrix.llm.common import texts, written
 from curatrix.llm.word_blocks import Codes, gather
 
-SIZE, END_ID, CACHED_WORDS = 2048, 1, 300_000
+SIZE, END_ID, CACHED_WORDS = 2048, 1, 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -38,50 +43,118 @@ def default_path() -> str:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: printable Latin-1 bytes are their
+    own, the rest follow from code point 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+@functools.lru_cache(maxsize=2)
+def plain_parts(path: str):
+    """The tokenizer's splitting pattern, its bare model and which ids end a word, if its steps are: NFC, white space, lower case; splitting;
+    byte letters. Otherwise None, and every word takes the whole tokenizer."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if before != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cut] != ["Split", "ByteLevel"] or cut[1].get("add_prefix_space") or not cut[0].get("invert"):
+        return None
+    bare, suffix = Tokenizer(tokenizer(path).model), tokenizer(path).model.end_of_word_suffix
+    if not suffix:
+        return None
+    ends = np.zeros(bare.get_vocab_size(), bool)
+    ends[[i for token, i in bare.get_vocab().items() if token.endswith(suffix)]] = True
+    return regex.compile(cut[0]["pattern"]["Regex"]).findall, bare, ends
+
+
+#: Words for which lower case and normal form are plain: printable ASCII and Latin-1 letters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_LETTERS = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+
+
+class _Ids:
+    """Growing pieces of ids by code."""
+
+    def __init__(self):
+        self.n = self.used = 0
+        self.sizes, self.starts, self.flat = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
+
+    def add(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        n, total = self.n + len(sizes), self.used + len(flat)
+        if n > len(self.sizes):
+            self.sizes, self.starts = np.resize(self.sizes, 2 * n), np.resize(self.starts, 2 * n)
+        if total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * total)
+        self.sizes[self.n : n], self.starts[self.n : n] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : total] = flat
+        self.n, self.used = n, total
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        return gather(self.starts[codes], self.sizes[codes], self.flat)
+
+
 class WordIds:
     """Ids of texts, word by word. The tokenizer drops white space and never joins over it, so a text's ids are those
-    of its parts between ASCII white space; each part is encoded once while it is kept. Up to ``most`` are kept."""
-
-    #: A special token's string is cut out of any text first, so new parts are encoded together with it between them.
-    SEPARATOR = "<|startoftext|>"
+    of its parts between ASCII white space; each is encoded once while it is kept. Plain words are split and put in
+    lower case here, so that words differing in case and punctuation share the model's work; all others take the
+    whole tokenizer. Up to ``most`` words are kept."""
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
-        self.tokenizer, self.most = tokenizer(path), most
-        self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
+        self.tokenizer, self.most, self.plain = tokenizer(path), most, plain_parts(path)
         self.clear()
 
     def clear(self) -> None:
-        self.codes, self.done = Codes(), 0
-        self.sizes, self.starts, self.flat, self.used = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64), np.empty(1 << 12, np.uint32), 0
+        self.codes, self.ids = Codes(), _Ids()
+        self.part_codes, self.part_ids = Codes(), _Ids()
+
+    def _learn_parts(self) -> None:
+        new = list(itertools.islice(self.part_codes, self.part_ids.n, None))
+        for k in range(0, len(new), 1000):
+            chunk = [p.encode().decode("latin-1").translate(_LETTERS) for p in new[k : k + 1000]]
+            ids = np.array(self.plain[1].encode_batch_fast([chunk], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            # each part's last id, and no other, is one of a word's end
+            sizes = np.diff(np.flatnonzero(self.plain[2][ids]), prepend=-1)
+            if len(sizes) != len(chunk):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            self.part_ids.add(sizes, ids)
 
     def _learn(self) -> None:
-        words = [w.decode() for w in list(self.codes)[self.done :]] if self.done else [w.decode() for w in self.codes]
-        parts: list[np.ndarray] = []
-        for k in range(0, len(words), 4096):
-            chunk = words[k : k + 4096]
-            if any("<|" in w for w in chunk):
-                parts += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in chunk]
-                continue
-            ids = np.array(self.tokenizer.encode(self.SEPARATOR.join(chunk), add_special_tokens=False).ids, np.uint32)
-            parts += np.split(ids, np.flatnonzero(ids == self.separator))
-            for i in range(len(parts) - len(chunk) + 1, len(parts)):
-                parts[i] = parts[i][1:]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        n, total = self.done + len(words), self.used + int(sizes.sum())
-        if n > len(self.sizes):
-            self.sizes, self.starts = np.resize(self.sizes, 2 * n), np.resize(self.starts, 2 * n)
-        if total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * total)
-        self.sizes[self.done : n] = sizes
-        self.starts[self.done : n] = self.used + np.cumsum(sizes) - sizes
-        if parts:
-            self.flat[self.used : total] = np.concatenate(parts)
-        self.done, self.used = n, total
+        words = [w.decode() for w in itertools.islice(self.codes, self.ids.n, None)]
+        parts: list[int] = []
+        counts = np.zeros(len(words), np.int64)
+        whole: dict[int, list[int]] = {}
+        find, code = self.plain[0] if self.plain else None, self.part_codes
+        for i, w in enumerate(words):
+            if find and _PLAIN(w) and "<|" not in w:
+                found = find(w.lower())
+                parts += [code[p] for p in found]
+                counts[i] = len(found)
+            else:
+                whole[i] = self.tokenizer.encode(w, add_special_tokens=False).ids
+        if len(self.part_codes) > self.part_ids.n:
+            self._learn_parts()
+        codes = np.array(parts, np.int64)
+        ends = np.cumsum(self.part_ids.sizes[codes])
+        upto = np.concatenate([[0], ends])
+        last = np.cumsum(counts)
+        sizes = upto[last] - upto[last - counts]
+        flat = self.part_ids.of(codes)
+        if whole:
+            pieces_ = np.split(flat, np.cumsum(sizes)[:-1])
+            for i, ids in whole.items():
+                pieces_[i], sizes[i] = np.array(ids, np.uint32), len(ids)
+            flat = np.concatenate(pieces_)
+        self.ids.add(sizes, flat)
 
     def __call__(self, texts_: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text. Texts are taken together up to a size, so that new words are encoded in bulk."""
@@ -95,10 +168,10 @@ class WordIds:
                 coded.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
                 size += len(texts_[upto])
                 upto += 1
-            if len(self.codes) > self.done:
+            if len(self.codes) > self.ids.n:
                 self._learn()
             for codes in coded:
-                yield gather(self.starts[codes], self.sizes[codes], self.flat)
+                yield self.ids.of(codes)
             at = upto
 
 
