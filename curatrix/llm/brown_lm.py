@@ -35,6 +35,8 @@ from curatrix.llm.word_blocks import DOCS, WORDS, Block, blocks, pack, unpack, u
 UNITS, ENDINGS, ENDING, CLASSES, ROUNDS = 1 << 14, 1 << 12, 3, 64, 8
 #: Weights of the lower order in the class bigram and trigram, and units per group of the exchange step.
 MU2, MU3, RANGE = 20.0, 50.0, 256
+#: Tokens worked on at once inside a task.
+TOKENS = 1 << 20
 END = b""
 FOLDS, HELD = 7, 2
 
@@ -103,14 +105,20 @@ def _joined(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, pa.schema(kinds))
 
 
-def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """ids, training flag of each token, sizes, codes, counts by code, units by code."""
+def _states(batches: Iterator[pa.RecordBatch], most: int = TOKENS) -> Iterator[tuple]:
+    """ids, training flag of each token, sizes, codes, counts by code, units by code; a block comes in runs of whole
+    documents of about ``most`` tokens, so that what is computed for each token stays small."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            sizes = unpack(row["sizes"]).astype(np.int64)
-            flags = unpack(row["flags"]).astype(bool)
-            yield row["ids"], np.repeat(flags, sizes), sizes, unpack(row["codes"]), unpack(row["n"]), unpack(row["units"])
+            sizes, flags = unpack(row["sizes"]).astype(np.int64), unpack(row["flags"]).astype(bool)
+            codes, counts, units = unpack(row["codes"]), unpack(row["n"]), unpack(row["units"])
+            ends, first = np.cumsum(sizes), 0
+            while first < len(sizes):
+                start = int(ends[first] - sizes[first])
+                stop = max(first + 1, int(np.searchsorted(ends, start + most, side="right")))
+                yield row["ids"][first:stop], np.repeat(flags[first:stop], sizes[first:stop]), sizes[first:stop], codes[start : ends[stop - 1]], counts, units
+                first = stop
 
 
 def _before(classes: np.ndarray, sizes: np.ndarray, steps: int) -> np.ndarray:
@@ -133,7 +141,7 @@ def _contexts(shared):
     """part, cells, n: per range of units, sparse counts of (unit, side, neighbouring class) over training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of = shared.value
+        class_of, cells = shared.value, np.zeros(N_UNITS * 2 * N_CLASSES, np.int64)
         for _, training, sizes, codes, _, units in _states(batches):
             unit = units[codes].astype(np.int64)
             cls = class_of[unit].astype(np.int64)
@@ -142,14 +150,14 @@ def _contexts(shared):
             right[:-1] = cls[1:]
             right[np.cumsum(sizes) - 1] = 0
             base = (unit * 2 * N_CLASSES)[training]
+            cells += np.bincount(base + left[training], minlength=len(cells))
             # the end has no right neighbour of its own
-            cells = np.bincount(base + left[training], minlength=N_UNITS * 2 * N_CLASSES)
-            cells += np.bincount((base + N_CLASSES + right[training])[unit[training] > 0], minlength=N_UNITS * 2 * N_CLASSES)
-            at, n = _sparse(cells)
-            part = at // (RANGE * 2 * N_CLASSES)
-            edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(at)]
-            rows = [(int(part[a]), pack((at[a:b] % (RANGE * 2 * N_CLASSES)).astype(np.uint32)), pack(n[a:b].astype(np.uint64))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "cells", "n"])
+            cells += np.bincount((base + N_CLASSES + right[training])[unit[training] > 0], minlength=len(cells))
+        at, n = _sparse(cells)
+        part = at // (RANGE * 2 * N_CLASSES)
+        edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(at)]
+        rows = [(int(part[a]), pack((at[a:b] % (RANGE * 2 * N_CLASSES)).astype(np.uint32)), pack(n[a:b].astype(np.uint64))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "cells", "n"])
 
     return run
 
@@ -256,13 +264,13 @@ def clustered(state: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 
 def _trigrams(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of = shared.value
+        class_of, cells = shared.value, np.zeros(N_CLASSES**3, np.int64)
         for _, training, sizes, codes, _, units in _states(batches):
             cls = class_of[units[codes]].astype(np.int64)
             one, two = _before(cls, sizes, 1), _before(cls, sizes, 2)
-            cells = np.bincount(((two * N_CLASSES + one) * N_CLASSES + cls)[training], minlength=N_CLASSES**3)
-            at, n = _sparse(cells)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["cell", "n"])
+            cells += np.bincount(((two * N_CLASSES + one) * N_CLASSES + cls)[training], minlength=len(cells))
+        at, n = _sparse(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["cell", "n"])
 
     return run
 
