@@ -54,9 +54,10 @@ PATTERNS = {
     "phone": rf"(?<![{_WORD}])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,5}}\)|[0-9]{{1,5}})|\([0-9]{{2,5}}\)|0[0-9]{{1,4}}|[0-9]{{3}}(?=[.-][0-9]{{3}}[.-][0-9]{{4}}))(?:[ ./-]?[0-9]{{2,5}}){{2,4}}(?![{_WORD}])",
     "person": rf"(?<![{_WORD}])(?:{_ANY})\.? {_NAME}(?: {_NAME})?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: No kind begins inside a word; said once in front, most places fail at once.
+PATTERN = rf"(?<![{_WORD}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: A text without any of these has no entity; cheaper to test than the patterns.
-HINT = rf"[0-9@]|(?:{_ANY})\.? "
+HINT = rf"[0-9@]|(?=[{''.join(sorted({t[0] for t in _ANY.split('|')}))}])(?:{_ANY})\.? "
 
 
 def _chars(x: str) -> str:
@@ -203,6 +204,7 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     """doc_id, text with surrogates, n_entities. Only entities are shuffled to find surrogates, once per distinct
     text; texts with entities move once to meet theirs, all others stay where they are."""
     clean, found = detected(docs, id_col, text_col)
+    found = written(found)
     known = lambda p: p["kind"].isNotNull()
     per_text = written(found.select("same", F.array_distinct(F.filter("pieces", known)).alias("entities")).groupBy("same").agg(F.first("entities").alias("entities")))
     listed = per_text.select("same", F.explode("entities").alias("e")).select("same", "e.kind", "e.value")
