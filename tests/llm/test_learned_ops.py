@@ -211,3 +211,42 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def brute_components(texts, width=5, least=0.8):
+    """Smallest id of each text's component, all pairs compared."""
+    sets = {}
+    for i, t in texts:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(len(w) - width, 0) + 1)} if w else set()
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and root[a] != root[b] and both >= least * len(sets[a] | sets[b]) - 1e-9:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return root
+
+
+def test_near_duplicate_stage_keeps_one_of_ordinary_near_copies(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    line, rows = draw(12), []
+    for n in (6, 30, 60, 120, 400):
+        for _ in range(6):
+            base = draw(n)
+            for edits in (0, 0, 1, 2, 3, 5, 8):
+                copy = list(base)
+                for at in rng.integers(0, n, edits):
+                    copy[at] = f"e{rng.integers(0, 10**6)}"
+                rows.append((len(rows), " ".join(copy + (line if n >= 60 else []))))
+    one = draw(80)
+    for k in range(90):
+        rows.append((len(rows), " ".join(x if i != k % 80 else f"k{k}" for i, x in enumerate(one))))
+    rows += [(len(rows), ""), (len(rows) + 1, "  "), (len(rows) + 2, "a b c"), (len(rows) + 3, "A  b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    want = brute_components(rows)
+    assert len(set(want.values())) < len({t for _, t in rows})
+    assert kept == set(want.values())
