@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,26 @@ def fold(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % F.lit(n)
 
 
+def _first_by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's first row of each doc_id."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for i in batch.column("doc_id").to_pylist():
+            new.append(i not in seen)
+            seen.add(i)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
+def one_each(plain: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text and label of the ids in ``chosen`` (few, each once): of rows with the same id the one whose text
+    has the smallest hash. Equal rows of an id leave a task once, so an id with very many rows moves no more."""
+    joined = plain.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("text"))
+    least = joined.groupBy("doc_id").agg(F.min("h").alias("h"))
+    kept = joined.join(F.broadcast(least), ["doc_id", "h"]).select("doc_id", "text", "label")
+    return kept.mapInArrow(_first_by_id, kept.schema).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is set (tests) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

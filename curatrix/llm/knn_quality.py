@@ -4,7 +4,8 @@ Every text becomes hashed term counts: words, and marks of form (word shapes, sy
 repeated lines) in blocks of their own. Document frequencies are counted over all documents. A documented, bounded
 sample of labelled rows gives a truncated singular value decomposition; its rows are the labelled latent vectors. They
 are broadcast, at most ``SAMPLE`` x ``RANK`` numbers, and each document's cosine products with all of them are
-computed exactly, block by block. The ``NEIGHBOURS`` nearest vote with their similarity as weight.
+computed exactly, block by block. The ``NEIGHBOURS`` nearest vote with their similarity as weight. An id of the sample
+with several rows counts once, by the text of the smallest hash.
 
 Defined cases: null and empty texts have a zero vector and get the sample's share of label 1; repeated rows get equal
 scores; rows with a null id are kept; labels that are null or not 0 or 1 are ignored; an empty table gives an empty result, no
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import fold, texts
+from curatrix.llm.common import fold, one_each, texts
 
 #: Most labelled rows used, hashed columns for words and for marks, latent dimensions, neighbours, weight of marks.
 SAMPLE, WORDS, MARKS, RANK, NEIGHBOURS, MARK_WEIGHT = 4000, 1 << 11, 1 << 9, 48, 15, 2.5
@@ -118,7 +119,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, counts, part in _chunks(batches):
         at = [np.flatnonzero(c).astype(np.int32) for c in counts]
-        yield pa.RecordBatch.from_arrays([part.column(2), pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([c[a].tolist() for a, c in zip(at, counts, strict=True)], pa.list_(pa.float32()))], names=["label", "terms", "counts"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([c[a].tolist() for a, c in zip(at, counts, strict=True)], pa.list_(pa.float32()))], names=["doc_id", "label", "terms", "counts"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, folds: int, held: int) -> DataFrame:
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     # at most ``sample`` rows of two numbers, so the broadcast is bounded
     chosen = labelled_sample(docs, labels, "quality", sample, folds, held).collect()
     chosen = spark.createDataFrame([(r["doc_id"], r["label"]) for r in chosen], "doc_id long, label int")
-    got = plain.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_sample_counts, "label int, terms array<int>, counts array<float>").orderBy("label", F.xxhash64("terms", "counts")).limit(sample).collect()
+    got = sorted(one_each(plain, chosen).select("doc_id", "text", "label").mapInArrow(_sample_counts, "doc_id long, label int, terms array<int>, counts array<float>").collect(), key=lambda r: r["doc_id"])
     counts = np.zeros((len(got), WORDS + MARKS), np.float32)
     for i, r in enumerate(got):
         counts[i, r["terms"]] = r["counts"]

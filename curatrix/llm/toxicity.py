@@ -3,7 +3,8 @@
 Features are rates: hits in a lexicon learned from labels (words, and beginnings of words, significantly more frequent
 in toxic rows) and in a short fixed list of insults, hits near second-person words, capitals, punctuation, and
 obfuscated spellings, which are undone before look-up. Of the labelled rows outside the held-out fold a documented,
-bounded sample is used: part of its folds for the lexicon, part for the trees, part for the calibration.
+bounded sample is used: part of its folds for the lexicon, part for the trees, part for the calibration. An id of the
+sample with several rows counts once, by the text of the smallest hash.
 
 Defined cases: null and empty texts have zero features; repeated rows get equal scores; rows with a null id are kept;
 labels that are null or not 0 or 1 are ignored; where either label is missing in a part of the sample, the score is
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import fold, texts, written
+from curatrix.llm.common import fold, one_each, texts, written
 
 #: Most labelled rows used; most lexicon entries; least toxic rows of an entry; least z value; trees and their depth.
 SAMPLE, LEXICON, SUPPORT, SIGNIFICANT, TREES, DEPTH = 20_000, 2_000, 4, 3.5, 25, 3
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
     # at most ``sample`` rows of two numbers, so the broadcast is bounded
     chosen = spark.createDataFrame([(r["doc_id"], r["label"]) for r in chosen], "doc_id long, label int")
     # at most ``sample`` texts, read again by each step below
-    rows = written(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))))
+    rows = written(one_each(texts(docs, id_col, text_col), chosen).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))))
     share = rows.agg(F.avg("label")).first()[0]
     lexicon = _lexicon(rows.where("part < 2"))
     ready = written(rows.where("part >= 2").mapInArrow(_features(lexicon), "doc_id long, label int, part long, features array<double>").orderBy("doc_id"))

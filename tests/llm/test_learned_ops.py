@@ -179,6 +179,30 @@ def test_toxic_features():
     assert toxicity.features("", words) == [0.0] * len(toxicity.NAMES)
 
 
+def repeated_id_docs(spark):
+    """Sixty ids with labels of both kinds; one of label 0 has 300 rows, of two texts."""
+    ids = [i for i in range(200) if remainder(i, 3) != 1 and remainder(i, 5) != 0][:60]
+    rows = [(i, f"text number {i} of some words {'good' if k % 3 else 'bad'}") for k, i in enumerate(ids)]
+    rows += [(ids[0], f"the hot one {k % 2}") for k in range(299)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(k % 3 > 0), int(k % 3 > 0)) for k, i in enumerate(ids)], LABELS)
+
+
+def test_quality_sample_counts_an_id_once(spark):
+    docs, labels = repeated_id_docs(spark)
+    model = knn_quality.fit(docs, labels, sample=60)
+    assert sorted(model.labels) == [0] * 20 + [1] * 40
+    again = knn_quality.fit(docs.orderBy("text"), labels, sample=60)
+    assert np.array_equal(model.labels, again.labels) and np.allclose(model.vectors @ model.vectors.T, again.vectors @ again.vectors.T, atol=1e-3)
+
+
+def test_toxicity_sample_counts_an_id_once(spark, monkeypatch):
+    docs, labels = repeated_id_docs(spark)
+    seen = []
+    monkeypatch.setattr(toxicity, "written", lambda df: seen.append([r.doc_id for r in df.select("doc_id").collect()]) or df)
+    toxicity.fit(docs, labels)
+    assert len(seen[0]) == len(set(seen[0])) == 60
+
+
 # --- pipeline
 
 
