@@ -7,6 +7,10 @@ script. Replacements derive from a key by SHA-512, so the same entity gets the s
 document. A candidate is taken only if no other entity has it and no entity of the corpus is called so; the
 rest try again with the next counter, so distinct entities stay distinct.
 
+A name found behind a title is also replaced where it stands alone in the same text, by the same surrogate. A given name
+behind a title without gender is taken as the gendered one of the corpus, if there is one. Names that no title precedes
+anywhere in their text are not detected, nor are other spellings (case, inflection) of a found name.
+
 Defined cases: null texts stay null and texts without entities stay as they are; repeated rows get equal texts; rows
 with a null id are kept; an empty table gives an empty result; other columns are ignored.
 """
@@ -182,8 +186,11 @@ def _typed(e: Column) -> Column:
     gender = F.when(title.rlike(rf"^(?:{TITLES['f']})\.? $"), "f").when(title.rlike(rf"^(?:{TITLES['m']})\.? $"), "m").otherwise("n")
     script = lambda x: F.when(x.rlike(r"\p{IsCyrillic}"), "cyrillic").when(x.rlike(r"\p{IsGreek}"), "greek").when(x.rlike(r"\p{IsHan}"), "han").otherwise("latin")
     nothing = F.lit(None).cast("string")
+    # what shows possession is no part of the name
+    owner = F.regexp_extract(rest, "['’]s$", 0)
+    rest = F.regexp_replace(rest, "['’]s$", "")
     surname = one(F.concat(F.lit("surname:"), script(rest)), rest)
-    person = F.when(first == "", F.array(one(nothing, title), surname)).otherwise(F.array(one(nothing, title), one(F.concat(F.lit("given:"), gender, F.lit(":"), script(first)), first), one(nothing, F.lit(" ")), surname))
+    person = F.when(first == "", F.array(one(nothing, title), surname, one(nothing, owner))).otherwise(F.array(one(nothing, title), one(F.concat(F.lit("given:"), gender, F.lit(":"), script(first)), first), one(nothing, F.lit(" ")), surname, one(nothing, owner)))
     out = None
     for kind, pattern in PATTERNS.items():
         if kind != "person":
@@ -192,6 +199,28 @@ def _typed(e: Column) -> Column:
     return out.otherwise(person)
 
 
+def _mentions(pieces: Column, names: Column) -> Column:
+    """The pieces, plain text cut again where one of the text's own names stands alone."""
+    # in descending order a name comes before its own beginnings
+    words = F.array_join(F.sort_array(F.array_distinct(F.transform(names, lambda e: e["value"])), asc=False), "|")
+    pattern = F.concat(F.lit(rf"(?<![{_WORD}])(?:"), words, F.lit(rf")(?![{_WORD}])"))
+    piece = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
+    plain = lambda x: F.array(piece(F.lit(None).cast("string"), x))
+    name = lambda w: F.array(piece(F.element_at(F.filter(names, lambda e: e["value"] == w), 1)["kind"], w))
+    cut = lambda x: F.flatten(F.zip_with(F.split(x, pattern, -1), F.regexp_extract_all(x, pattern, F.lit(0)), lambda gap, w: F.when(w.isNull(), plain(gap)).otherwise(F.concat(plain(gap), name(w)))))
+    return F.when(F.size(names) == 0, pieces).otherwise(F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull(), cut(p["value"])).otherwise(F.array(piece(p["kind"], p["value"]))))))
+
+
+def _kinds(listed: DataFrame) -> DataFrame:
+    """same, kind, value, and ``own``: the kind whose surrogate is taken. Given names without gender go with the first
+    gendered kind that the corpus has of them."""
+    given = F.col("kind").startswith("given:")
+    script = F.substring_index("kind", ":", -1)
+    gendered = listed.where(given & ~F.col("kind").startswith("given:n:")).groupBy(script.alias("script"), "value").agg(F.min("kind").alias("other"))
+    open_kind = F.when(F.col("kind").startswith("given:n:"), script)
+    return listed.withColumn("script", open_kind).join(gendered, ["script", "value"], "left").select("same", "kind", "value", F.coalesce("other", "kind").alias("own"))
+
+
 def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents without any entity (doc_id, text), and those with some (doc_id, pieces, and a key for equal texts)."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -207,9 +236,11 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     found = written(found)
     known = lambda p: p["kind"].isNotNull()
     per_text = written(found.select("same", F.array_distinct(F.filter("pieces", known)).alias("entities")).groupBy("same").agg(F.first("entities").alias("entities")))
-    listed = per_text.select("same", F.explode("entities").alias("e")).select("same", "e.kind", "e.value")
-    chosen = surrogates(listed, key)
-    lookup = listed.join(chosen, ["kind", "value"]).groupBy("same").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "value"), "surrogate"))).alias("lookup"))
+    listed = written(_kinds(per_text.select("same", F.explode("entities").alias("e")).select("same", "e.kind", "e.value")))
+    chosen = surrogates(listed.select(F.col("own").alias("kind"), "value"), key).withColumnRenamed("kind", "own")
+    lookup = listed.join(chosen, ["own", "value"]).groupBy("same").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "value"), "surrogate"))).alias("lookup"))
     swap = F.transform("pieces", lambda p: F.when(known(p), F.element_at("lookup", F.concat_ws("\u0001", p["kind"], p["value"]))).otherwise(p["value"]))
-    done = found.join(lookup, "same").select("doc_id", F.array_join(swap, "").alias("text"), F.size(F.filter("pieces", known)).cast("long").alias("n_entities"))
+    names = F.array_distinct(F.filter("pieces", lambda p: known(p) & p["kind"].rlike("^(?:surname|given):")))
+    cut = found.withColumn("names", names).withColumn("pieces", _mentions(F.col("pieces"), F.col("names")))
+    done = cut.join(lookup, "same").select("doc_id", F.array_join(swap, "").alias("text"), F.size(F.filter("pieces", known)).cast("long").alias("n_entities"))
     return clean.select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")).unionByName(done)

@@ -97,6 +97,15 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
 
 
+def test_surrogates_follow_bare_mentions(spark):
+    got = surrogate_rows(spark, [(1, "Mr John Smith met us. Smith left; John's hat, Smithson. Dr Smith-Jones, Smith-Jones."), (2, "Dr John Brown's idea, said Brown"), (3, "Smith and John stay: no title here")])
+    m = re.fullmatch(r"Mr (\w+) (\w+) met us\. (\w+) left; (\w+)'s hat, Smithson\. Dr ([\w-]+), ([\w-]+)\.", got[1].text)
+    assert m and m[2] == m[3] != "Smith" and m[1] == m[4] != "John" and m[5] == m[6] != "Smith-Jones" and got[1].n_entities == 6
+    d = re.fullmatch(r"Dr (\w+) (\w+)'s idea, said (\w+)", got[2].text)
+    assert d and d[1] == m[1] and d[2] == d[3] != "Brown"
+    assert got[3].text == "Smith and John stay: no title here" and got[3].n_entities == 0
+
+
 def test_surrogates_stay_distinct(spark):
     # 300 of the 10,000 values of a form: candidates must collide
     numbers = [f"({i:02d}) {(i * 37) % 100:02d} {(i * 7) % 100:02d}" for i in range(99)]
