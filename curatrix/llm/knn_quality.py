@@ -48,7 +48,7 @@ class _Memo(dict):
 
 def _shape(word: str) -> str:
     """The word's form: letters as x or X, digits as 0, symbols as they are, runs cut to one."""
-    marks = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    marks = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUN.sub(r"\1", marks)
 
 

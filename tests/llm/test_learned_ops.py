@@ -196,6 +196,10 @@ def repeated_id_docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(k % 3 > 0), int(k % 3 > 0)) for k, i in enumerate(ids)], LABELS)
 
 
+def test_shape_is_of_the_whole_word():
+    assert knn_quality._shape("a" * 64 + "漢7。b") == "x0。x"
+
+
 def test_quality_sample_counts_an_id_once(spark):
     docs, labels = repeated_id_docs(spark)
     model = knn_quality.fit(docs, labels, sample=60)
