@@ -47,26 +47,48 @@ def one_each(plain: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests) a temporary one."""
+    """The cluster's shared folder. Only a local session (tests) may go without one and gets a temporary folder: the
+    executors of a cluster couldn't read what the others wrote there."""
+    context = spark.sparkContext._jsc.sc()
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.getCheckpointDir().isDefined():
+        folder = context.getCheckpointDir().get()
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else None
-    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="curatrix-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, short lineage, safe when executors are lost."""
+    """The rows as a table in the shared folder: computed once, short lineage, safe when executors are lost. The table
+    goes when the session's JVM ends, or with ``drop_tables``."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _tables.append(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of this process that still lie in the shared folder.
+_tables: list = []
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` has left so far and gives their number. For between jobs of a long session,
+    once the results that read them are stored."""
+    n = len(_tables)
+    while _tables:
+        folder = _tables.pop()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return n
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from conftest_data import SF, read
 
@@ -51,25 +52,38 @@ def test_secrets_odd_rows(spark):
     assert blob_ledger.digest(blob_ledger.findings(df.limit(0))).count() == 0
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     docs = spark.createDataFrame([(1, "token = abcdefgh"), (2, "token = abcdefgh"), (3, "AKIA" + "Z" * 16)], "doc_id long, text string")
-    whole = blob_ledger.scan_unseen(docs)
-    ledger = blob_ledger.ledger_rows(whole).where("kind <> 'access'").selectExpr("blob", "kind", "version", "transform(spans, s -> named_struct('start', s.start + 1000, 'end', s.end + 1000)) AS spans")
-    rows = {r.doc_id: r for r in blob_ledger.digest(blob_ledger.findings(docs, ledger)).collect()}
-    assert rows[1].spans == rows[2].spans == "assign:1000:1016"  # taken from the ledger, not scanned again
-    assert rows[3].spans == "access:0:20"  # not in the ledger, so scanned
+    path, pairs = f"{tmp_path}/ledger", len(blob_ledger.RULES)
+
+    def run(rows, rules=blob_ledger.RULES):
+        return {r.doc_id: (r.spans, r.scanned, r.reused) for r in blob_ledger.digest(blob_ledger.findings(rows, path, rules)).collect()}
+
+    want = {1: "assign:0:16", 2: "assign:0:16", 3: "access:0:20"}
+    assert run(docs) == {i: (s, pairs, 0) for i, s in want.items()}
+    assert blob_ledger.ledger(spark, path).count() == 2  # copies are one blob
+    assert run(docs) == {i: (s, 0, pairs) for i, s in want.items()}
+    assert blob_ledger.scan_unseen(docs, blob_ledger.ledger(spark, path)).count() == 0
     newer = tuple(r._replace(version=2) if r.kind == "assign" else r for r in blob_ledger.RULES)
-    rows = {r.doc_id: r for r in blob_ledger.digest(blob_ledger.findings(docs, ledger, newer)).collect()}
-    assert rows[1].spans == "assign:0:16"
+    assert run(docs, newer) == {i: (s, 1, pairs - 1) for i, s in want.items()}
+    more = docs.union(spark.createDataFrame([(4, "new"), (1, None)], "doc_id long, text string"))
+    assert run(more, newer)[4] == ("", pairs, 0) and run(more, newer)[3] == ("access:0:20", 0, pairs)
+    # a ledger's spans are taken over, not found again
+    moved = blob_ledger.ledger(spark, path).withColumn("found", F.transform("found", lambda f: f.withField("spans", F.transform(f["spans"], lambda x: x.withField("end", x["end"] + 1000)))))
+    moved.write.parquet(f"{tmp_path}/other/scan-1")
+    assert [r.spans for r in blob_ledger.digest(blob_ledger.findings(docs.where("doc_id = 3"), f"{tmp_path}/other")).collect()] == ["access:0:1020"]
 
 
 def test_redaction_keeps_the_rest(spark, odd_docs):
     text = "a token = abcdefgh0 b " + "f" * 40
-    docs = spark.createDataFrame([(1, text, 5), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
-    rows = {r.doc_id: r for r in blob_ledger.redact(docs).collect()}
-    assert rows[1].text == "a [SECRET] b [SECRET]" and rows[1].n_chars == len(rows[1].text)
-    assert rows[2].text == "clean" and rows[3].text is None
-    assert blob_ledger.redact(odd_docs).columns == odd_docs.columns
+    docs = spark.createDataFrame([(1, text, 5, "y", 1), (2, "clean", 5, "y", 2), (3, None, None, None, None), (1, text, 5, "y", 1)], "doc_id long, text string, n_chars long, found string, blob int")
+    out = blob_ledger.redact(docs)
+    assert out.schema == docs.schema
+    assert sorted(out.collect(), key=lambda r: (r.doc_id, str(r.text))) == [(1, "a [SECRET] b [SECRET]", 21, "y", 1)] * 2 + [(2, "clean", 5, "y", 2), (3, None, None, None, None)]
+    assert sorted(map(str, blob_ledger.redact(odd_docs).collect())) == sorted(map(str, odd_docs.collect()))
+    assert blob_ledger.redact(odd_docs.limit(0)).count() == 0
+    plan = blob_ledger.redact(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one pass; blobs were scanned before
 
 
 def check_packing(rows, docs):
@@ -125,31 +139,52 @@ def test_fillings_use_everything_once():
 
 
 def brute_topk(vectors):
-    good = {i: [math.floor(1024 * float(x)) for x in v] for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    out = {}
-    for q in good:
-        if q % 100 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
-            out |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scores[:10])}
-    return out
+    """A candidate row each, equal query rows once; products clipped to a long."""
+    good = [(i, tuple(math.floor(1024 * float(x)) for x in v)) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    found = defaultdict(list)
+    for q, x in {(i, v) for i, v in good if i % 100 == 0}:
+        found[q] += [(-min(max(sum(a * b for a, b in zip(x, v, strict=True)), -(2**63)), 2**63 - 1), i) for i, v in good if i != q and len(v) == len(x)]
+    return sorted((q, k + 1, i, -s) for q, scores in found.items() for k, (s, i) in enumerate(sorted(scores)[:10]))
+
+
+def topk_rows(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
 
 
 def test_topk_against_brute_force(spark):
-    got = queries.op5_norm_topk(spark, SF).collect()
-    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == brute_topk(read("embeddings", "vec_id", "embedding"))
+    assert topk_rows(queries.op5_norm_topk(spark, SF)) == brute_topk(read("embeddings", "vec_id", "embedding"))
 
 
 def test_topk_odd_vectors(spark):
     rng = np.random.default_rng(0)
-    rows = [(i, rng.normal(size=8).tolist()) for i in range(0, 600)] + [(i, [0.5] * 8) for i in range(700, 760)] + [(800, None), (900, [float("nan")] * 8), (1000, [None] * 8), (1100, []), (1200, [1.0] * 5), (1300, [0.0] * 8), (None, [1.0] * 8), (1401, [-2.0] * 8)]
-    df = spark.createDataFrame([(i, v, 1, "z") for i, v in rows], "vec_id long, embedding array<float>, score int, block string")
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(0, 600)] + [(i, [0.5] * 8) for i in range(700, 760)] + [(800, None), (900, [float("nan")] * 8), (1000, [None] * 8), (1100, []), (1200, [1.0] * 5), (1300, [0.0] * 8), (None, [1.0] * 8), (1401, [-2.0] * 8), (300, [0.25] * 8), (300, [0.25] * 8)]
+    df = spark.createDataFrame([(i, v, 1, "z", 2.0, 3) for i, v in rows], "vec_id long, embedding array<float>, score int, block string, x double, at int")
     want = brute_topk([(r.vec_id, r.embedding) for r in df.collect()])
-    for shard_rows, block_rows in ((8192, 256), (100, 2)):
-        got = norm_topk.top_products(df, shard_rows=shard_rows, block_rows=block_rows).collect()
-        assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == want
+    for shard_rows, block_rows in ((None, None), (100, 2)):
+        assert topk_rows(norm_topk.top_products(df, shard_rows=shard_rows, block_rows=block_rows)) == want
     assert norm_topk.top_products(df.limit(0)).count() == 0
 
 
+def test_topk_takes_components_of_any_size(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(0, 300)] + [(400, [3.0e6, 1.0, 2.0, 0.5]), (401, [3.0e6, -1.0, 0.0, 7.0]), (402, [3.0e12] * 4), (500, [1e38, -1e38, 3.0, 0.0]), (501, [1e300, 0.1, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (None, 40):
+        assert topk_rows(norm_topk.top_products(df, shard_rows=shard_rows, block_rows=shard_rows)) == brute_topk(rows)
+
+
+def test_topk_leaves_out_buckets_that_are_too_short(spark, monkeypatch):
+    # queries and 40 candidates point one way, all others are short: the later buckets can't reach the thresholds
+    rows = [(100 * i, [1.0, 0.1 * i]) for i in range(4)] + [(1000 + i, [50.0, 1.0 + 0.001 * i]) for i in range(1, 41)] + [(2000 + i, [0.001 * (i % 7), 0.002]) for i in range(1, 400)]
+    rows = [(i, v) for i, v in rows if i < 400 or i % 100]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met = []
+    plain = norm_topk._met
+    monkeypatch.setattr(norm_topk, "_met", lambda q, c, k: met.append(c.count()) or plain(q, c, k))
+    assert topk_rows(norm_topk.top_products(df, shard_rows=40, block_rows=10)) == brute_topk(rows)
+    assert len(met) == 2 and met[1] == 0
+
+
 def check_media(rows, docs):
     texts = {i: (t or "").encode() for i, t in docs}
     assert len(rows) == len(docs)
