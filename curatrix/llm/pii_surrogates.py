@@ -5,24 +5,31 @@ letters letters of the same case and script, separators stay, cards that pass th
 networks' private ranges and phones' country codes are kept, and names match gender (from the title before them) and
 script. Replacements derive from a key by SHA-512, so the same entity gets the same replacement in every
 document. A candidate is taken only if no other entity has it and no entity of the corpus is called so; the
-rest try again with the next counter, so distinct entities stay distinct.
+rest try again with the next counter, and names and addresses grow longer with it. A form of fixed length may have too
+few values for that: what is left after ``ROUNDS`` gets its whole form dealt anew, each entity the value of the next one
+in a keyed order of the form's own entities. So distinct entities stay distinct, and none keeps its value, unless it is
+the only one of a form that the rounds can't change (it then has no letter or digit).
 
 A name found behind a title is also replaced where it stands alone in the same text, by the same surrogate. A given name
 behind a title without gender is taken as the gendered one of the corpus, if there is one. Names that no title precedes
 anywhere in their text are not detected, nor are other spellings (case, inflection) of a found name.
 
-Defined cases: null texts stay null and texts without entities stay as they are; repeated rows get equal texts; rows
-with a null id are kept; an empty table gives an empty result; other columns are ignored.
+The key comes from the session's ``spark.curatrix.surrogate.key``; without it, a fixed one that keeps nothing secret.
+
+Defined cases: null texts stay null and texts without entities stay as they are; a very long text is searched whole;
+equal entities tie to one surrogate; repeated rows get equal texts; rows with a null id are kept; an empty table gives an
+empty result; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import written
 
-KEY, ROUNDS = "surrogate key", 24
+KEY, ROUNDS = "surrogate key", 8
 
 #: Titles by gender, given names by gender and script, name syllables, letters by script.
 TITLES = {"m": "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|господин|κύριος", "f": "Mrs|Ms|Miss|Madam|Frau|Fräulein|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|госпожа|κυρία", "n": "Dr|Prof|Professor|Doctor"}
@@ -121,12 +128,13 @@ def _kept_front(x: str, front: str) -> str:
 
 def _email(x: str) -> str:
     end = f"length(regexp_extract({x}, '\\\\.[^.]*$', 0))"
-    return f"concat(substr({_swapped(x)}, 1, length({x}) - {end}), substr({x}, length({x}) - {end} + 1))"
+    longer = f"IF(attempt > 1, translate(substr(h, 100, 2 * attempt), '0123456789', 'ghijklmnop'), '')"
+    return f"concat({longer}, substr({_swapped(x)}, 1, length({x}) - {end}), substr({x}, length({x}) - {end} + 1))"
 
 
 def _surname(script: str) -> str:
     parts = _list(SYLLABLES[script])
-    joined = f"concat({_pick(parts, _number(1))}, {_pick(parts, _number(9))}, IF(attempt > 0, {_pick(parts, _number(17))}, ''), IF(attempt > 2, {_pick(parts, _number(25))}, ''))"
+    joined = f"concat({_pick(parts, _number(1))}, {_pick(parts, _number(9))}, IF(attempt > 0, {_pick(parts, _number(17))}, ''), IF(attempt > 2, {_pick(parts, _number(25))}, ''), IF(attempt > 4, concat({_pick(parts, _number(41))}, {_pick(parts, _number(49))}, {_pick(parts, _number(57))}), ''))"
     return joined if script == "han" else f"initcap({joined})"
 
 
@@ -150,12 +158,29 @@ def candidate(key: str) -> Column:
     return F.expr(f"CASE {' '.join(cases)} ELSE {_swapped('value')} END")
 
 
+def _dealt(entities: DataFrame, key: str) -> DataFrame:
+    """kind, value, surrogate: of each kind and form every entity gets the value of the next one in a keyed order, the
+    last one that of the first. Order is kept inside 4,096 buckets of the digest; a bucket's last entity goes on with the
+    first of the next bucket that has any, so that a form which very many entities share isn't one task's."""
+    form = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "0"), r"\p{Lu}", "A"), r"\p{L}", "a")
+    h = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("dealt"), "kind", "value"), 256)
+    whole = F.col("kind").rlike("^(?:surname|given):")
+    rows = entities.select("kind", "value", F.when(whole, "").otherwise(form).alias("form"), h.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
+    place = ["kind", "form"]
+    following = F.lead("value").over(W.partitionBy(*place, "bucket").orderBy("h", "value"))
+    firsts = rows.groupBy(*place, "bucket").agg(F.min_by("value", F.struct("h", "value")).alias("head"))
+    w = W.partitionBy(*place).orderBy("bucket")
+    turn = F.coalesce(F.lead("head").over(w), F.first("head").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    heads = firsts.select(*place, "bucket", turn.alias("turn"))
+    return rows.withColumn("following", following).join(heads, [*place, "bucket"]).select("kind", "value", "form", F.coalesce("following", "turn").alias("surrogate"))
+
+
 def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """kind, value, surrogate for distinct (kind, value). Rounds stop when every entity has one; a format with fewer
-    values than entities can't keep them distinct, which raises an error."""
-    todo = written(entities.select("kind", "value").distinct())
-    names = todo.select("kind", F.col("value").alias("surrogate"))
-    done = None
+    """kind, value, surrogate for distinct (kind, value). Rounds stop when every entity has one; forms that still have
+    entities without are dealt anew among themselves (``_dealt``)."""
+    every = written(entities.select("kind", "value").distinct())
+    names = every.select("kind", F.col("value").alias("surrogate"))
+    todo, done = every, None
     for attempt in range(rounds):
         fresh = todo.withColumn("attempt", F.lit(attempt)).withColumn("h", F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "value", "attempt"), 512)).withColumn("surrogate", candidate(key))
         free = fresh.join(names, ["kind", "surrogate"], "left_anti")
@@ -166,7 +191,10 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> Dat
         todo = written(todo.join(done.select("kind", "value"), ["kind", "value"], "left_anti"))
         if todo.isEmpty():
             return done
-    raise ValueError("a format has too few values to keep all entities distinct")
+    dealt = _dealt(every, key)
+    forms = dealt.join(todo, ["kind", "value"], "left_semi").select("kind", "form").distinct()
+    anew = written(dealt.join(forms, ["kind", "form"], "left_semi").select("kind", "value", "surrogate"))
+    return anew.unionByName(done.join(anew.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "surrogate"))
 
 
 def _pieces(text: Column) -> Column:
@@ -229,9 +257,10 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return plain.where(~has), with_some
 
 
-def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_entities. Only entities are shuffled to find surrogates, once per distinct
     text; texts with entities move once to meet theirs, all others stay where they are."""
+    key = key or docs.sparkSession.conf.get("spark.curatrix.surrogate.key", KEY)
     clean, found = detected(docs, id_col, text_col)
     found = written(found)
     known = lambda p: p["kind"].isNotNull()

@@ -120,6 +120,28 @@ def test_surrogates_stay_distinct(spark):
     assert sorted(other) != sorted(got)
 
 
+def test_surrogates_of_a_used_up_form_are_dealt_anew(spark):
+    # 520 of the 676 addresses of a form, all 100 values of another, and one that has nothing to change
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [("email", f"{a}@{b}.co") for a in letters for b in letters][:520] + [("pin", f"{i:02d}") for i in range(100)] + [("email", "-@-.co"), ("none", "--")]
+    got = pii_surrogates.surrogates(spark.createDataFrame(values, "kind string, value string")).collect()
+    assert sorted((r.kind, r.value) for r in got) == sorted(values)
+    assert len({(r.kind, r.surrogate) for r in got}) == len(got)
+    assert [r.value for r in got if r.value == r.surrogate] == ["--"]
+    assert all(re.fullmatch("[0-9]{2}", r.surrogate) for r in got if r.kind == "pin")
+    assert all(re.fullmatch(r"[a-z-]+@[a-z-]\.co", r.surrogate) for r in got if r.kind == "email")
+
+
+def test_surrogate_key_of_the_session(spark):
+    text = [(1, "mail Anna.B7@mail7.example.com")]
+    before = surrogate_rows(spark, text)[1].text
+    spark.conf.set("spark.curatrix.surrogate.key", "another")
+    try:
+        assert surrogate_rows(spark, text)[1].text != before
+    finally:
+        spark.conf.unset("spark.curatrix.surrogate.key")
+
+
 def test_surrogates_on_documents(spark):
     found = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.])|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\w)\d{16}(?!\w)")
     before = dict(read("documents", "doc_id", "text"))
