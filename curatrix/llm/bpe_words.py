@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens by the published pattern; their order in a document is kept as codes. Each block's
-distinct words go to shards by a hash, where each distinct word of the corpus is encoded once; the ids go back to
-the blocks and are put together by position. Decoding looks every id up in the table of token bytes, which has a fixed
-size given by the vocabulary file.
-
-Defined cases: null text counts as empty and gives no ids; repeated rows give repeated results; rows with a null id
-are kept; an empty table gives an empty result; other columns are ignored. Special tokens' strings are ordinary text.
+Texts are cut into pre-tokens by the published pattern; the positions of a document's words are kept as arrays of codes.
+Each block's distinct words go to shards by a hash, where each distinct word of the corpus is encoded once; the ids
+join the blocks again and are put together by position. Decoding is a map-side join of every id with the token-byte table,
+which is sent out; its size is that of the vocabulary file. Rows of one position each would be several times the input on
+disk (README), so positions and ids travel as arrays.
+
+Defined cases: null text counts as empty and gives no ids; a very long text is part of one block; repeated rows give
+repeated results; rows with a null id are kept; an empty table gives an empty result; other columns, of whatever names,
+are ignored. Special tokens' strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import texts
-from curatrix.llm.word_blocks import DOCS, WORDS, Block, blocks, gather, pack, unpack, unpack_words
+from curatrix.llm.word_blocks import DOCS, WORDS, Block, blocks, by_shard, gather, grouped, pack, runs, shard_count, unpack, unpack_words
 
 #: Characters of Unicode property White_Space, as the tokenizer's pattern language understands \s.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -64,27 +67,25 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
-def _encode_shard(path: str, pattern: str):
-    def run(rows: pa.Table) -> pa.Table:
-        encode, known = _encoder(path, pattern).encode_ordinary, {}
-        out = []
-        for block, words in zip(rows.column("block").to_pylist(), rows.column("words").to_pylist(), strict=True):
+def _encode_shards(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, shard, known = _encoder(path, pattern).encode_ordinary, None, {}
+        for row in runs(batches):
+            if row["shard"] != shard:
+                shard, known = row["shard"], {}
             ids = []
-            for w in unpack_words(words):
+            for w in unpack_words(row["words"]):
                 got = known.get(w)
                 if got is None:
                     got = known[w] = encode(w.decode())
                 ids.append(got)
-            sizes = np.array([len(x) for x in ids], np.uint32)
-            flat = np.array([y for x in ids for y in x], np.uint32)
-            out.append((block, pack(sizes), pack(flat)))
-        shard = rows.column("shard")[0].as_py()
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "shard": pa.array([shard] * len(out), pa.int32()), "sizes": pa.array([x[1] for x in out], pa.binary()), "flat": pa.array([x[2] for x in out], pa.binary())})
+            sizes = pack(np.array([len(x) for x in ids], np.uint32))
+            flat = pack(np.array([y for x in ids for y in x], np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([shard], pa.int32()), pa.array([sizes], pa.binary()), pa.array([flat], pa.binary())], names=["block", "shard", "sizes", "flat"])
 
     return run
 
 
-@functools.lru_cache(maxsize=4)
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The token-byte table: start and size of each id's bytes, and all bytes."""
     table = ranks(path)
@@ -95,14 +96,16 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(tokens), np.uint8)
 
 
-def decode(ids: np.ndarray, path: str) -> bytes:
-    starts, sizes, flat = token_bytes(path)
+def decode(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    starts, sizes, flat = table
     return gather(starts[ids], sizes[ids], flat).tobytes()
 
 
-def _reassemble(path: str, result):
+def _reassemble(tokens, result, kinds: dict[str, pa.DataType]):
+    """One row of a document's id and ``result`` for each document of a block."""
+
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        rows = []
+        rows, table = [], tokens.value
         for row in docs.to_pylist():
             block = Block(row)
             parts = sorted(zip(words.column("shard").to_pylist(), words.column("sizes").to_pylist(), words.column("flat").to_pylist(), strict=True))
@@ -113,51 +116,35 @@ def _reassemble(path: str, result):
                 flat = np.concatenate([unpack(p[2]) for p in parts])
             for i, _, codes in block.documents():
                 ids = gather(start_of[codes], size_of[codes], flat) if len(codes) else np.empty(0, np.uint32)
-                rows.append((i, *result(ids, path)))
-        return rows
-
-    return run
-
-
-def _digest(ids: np.ndarray, path: str) -> tuple:
-    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()
-
-
-def _digests(path: str):
-    rows_of = _reassemble(path, _digest)
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        rows = rows_of(docs, words)
-        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds.items())})
-
-    return run
-
-
-def _lists(path: str):
-    rows_of = _reassemble(path, lambda ids, path: (ids.tolist(), decode(ids, path)))
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        rows = rows_of(docs, words)
-        kinds = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
+                rows.append((i, *result(ids, decode(ids, table))))
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds.items())})
 
     return run
 
 
-def _run(docs: DataFrame, path: str | None, pattern: str | None, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
+def _run(docs: DataFrame, path: str | None, pattern: str | None, id_col: str, text_col: str, result, schema: str, kinds: dict[str, pa.DataType]) -> DataFrame:
     path, pattern = path or default_path(), pattern or default_pattern()
-    parts = blocks(texts(docs, id_col, text_col).withColumn("flag", F.lit(True)), splitter(pattern))
-    encoded = parts.where(F.col("kind") == WORDS).select("block", "shard", "words").groupBy("shard").applyInArrow(_encode_shard(path, pattern), "block long, shard int, sizes binary, flat binary")
+    plain = texts(docs, id_col, text_col)
+    shards = shard_count(plain)
+    parts = blocks(plain.withColumn("flag", F.lit(True)), splitter(pattern), shards)
+    # the vocabulary bounds the table
+    tokens = docs.sparkSession.sparkContext.broadcast(token_bytes(path))
+    encoded = by_shard(parts.where(F.col("kind") == WORDS).select("block", "shard", "words"), shards).mapInArrow(_encode_shards(path, pattern), "block long, shard int, sizes binary, flat binary")
     kept = parts.where(F.col("kind") == DOCS).select("block", "ids", "flags", "sizes", "codes", "shards")
-    return kept.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(finish(path), schema)
+    return grouped(kept, shards).cogroup(grouped(encoded, shards)).applyInArrow(_reassemble(tokens, result, kinds), schema)
+
+
+def _digest(ids: np.ndarray, decoded: bytes) -> tuple:
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, and the bytes that decoding the ids gives."""
-    return _run(docs, path, pattern, id_col, text_col, _lists, "doc_id long, ids array<int>, decoded binary")
+    kinds = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
+    return _run(docs, path, pattern, id_col, text_col, lambda ids, decoded: (ids.tolist(), decoded), "doc_id long, ids array<int>, decoded binary", kinds)
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, number of ids, and digests of the ids and of the decoded bytes, without moving either."""
-    return _run(docs, path, pattern, id_col, text_col, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return _run(docs, path, pattern, id_col, text_col, _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", kinds)

@@ -5,6 +5,9 @@ in order, the codes of its words; a code is the word's rank by frequency in the
 distinct words, one row per shard of a hash over all words, so that a word meets its like from all other blocks in
 one shard. What a shard finds out about its words goes back to the blocks as arrays in the same order. A very
 frequent word costs one entry per block, a document one code per word; arrays travel compressed.
+
+The number of shards follows the bytes of text, and a shard's rows stream through its task, which keeps no more than the
+shard's distinct words.
 """
 
 from __future__ import annotations
@@ -16,15 +19,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import written
 
 DOCS, WORDS = 0, 1
 BLOCK_BYTES = 48 << 20
-ROW = "kind int, block long, shard int, ids array<long>, flags binary, sizes binary, codes binary, shards binary, words binary, marked binary"
-_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("flags", "sizes", "codes", "shards", "words", "marked")]])
+ROW = "kind int, block long, shard int, ids array<long>, flags binary, sizes binary, codes binary, shards binary, marks binary, words binary, marked binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("flags", "sizes", "codes", "shards", "marks", "words", "marked")]])
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -68,7 +71,7 @@ class Codes(dict):
         return code
 
 
-def _block_rows(block: int, codes: Codes, docs: list[tuple], shards: int) -> Iterator[pa.RecordBatch]:
+def _block_rows(block: int, codes: Codes, docs: list[tuple], shards: int, mark) -> Iterator[pa.RecordBatch]:
     words = list(codes)
     parts = [d[2] for d in docs]
     every = np.concatenate(parts) if parts else np.empty(0, np.uint32)
@@ -82,7 +85,7 @@ def _block_rows(block: int, codes: Codes, docs: list[tuple], shards: int) -> Ite
     shard = np.array([zlib.crc32(w) % shards for w in words], np.uint32)
     by_shard = np.argsort(shard, kind="stable")
     found, first = np.unique(shard[by_shard], return_index=True)
-    rows = [{"kind": DOCS, "block": block, "shard": -1, "ids": [d[0] for d in docs], "flags": pack(np.array([d[1] for d in docs], np.uint8)), "sizes": pack(np.array([len(p) for p in parts], np.uint32)), "codes": pack(rank[every]), "shards": pack(shard)}]
+    rows = [{"kind": DOCS, "block": block, "shard": -1, "ids": [d[0] for d in docs], "flags": pack(np.array([d[1] for d in docs], np.uint8)), "sizes": pack(np.array([len(p) for p in parts], np.uint32)), "codes": pack(rank[every]), "shards": pack(shard), "marks": pack(mark(words)) if mark else None}]
     yield pa.RecordBatch.from_pylist(rows, _ARROW)
     rows = []
     edges = [*first.tolist(), len(words)]
@@ -93,7 +96,7 @@ def _block_rows(block: int, codes: Codes, docs: list[tuple], shards: int) -> Ite
         yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
-def _builder(split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, block_bytes: int):
+def _builder(split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, block_bytes: int, mark):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = split()
         block, codes, docs, size = TaskContext.get().partitionId() << 24, Codes(), [], 0
@@ -105,24 +108,47 @@ def _builder(split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, b
                 docs.append((i, flag, np.fromiter(map(codes.__getitem__, words), np.uint32, len(words))))
                 size += len(text)
                 if size >= block_bytes:
-                    yield from _block_rows(block, codes, docs, shards)
+                    yield from _block_rows(block, codes, docs, shards, mark)
                     block, codes, docs, size = block + 1, Codes(), [], 0
         if docs:
-            yield from _block_rows(block, codes, docs, shards)
+            yield from _block_rows(block, codes, docs, shards, mark)
 
     return build
 
 
-def shard_count(spark: SparkSession) -> int:
-    """Four shards per shuffle partition, at least 128, so that shards spread evenly and follow the session's sizing."""
-    return max(128, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text per shard, and bounds of the number of shards. More than the upper bound would leave hardly a word of a
+#: block to each; a shard's rows stream, so that then only its reading takes longer.
+SHARD_BYTES, SHARDS = 8 << 20, (8, 1 << 16)
+
+
+def shard_count(docs: DataFrame) -> int:
+    """Shards for the texts of ``docs``, by one scan of their sizes."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(max(-(-size // SHARD_BYTES), SHARDS[0]), SHARDS[1])
+
+
+def by_shard(rows: DataFrame, shards: int, *order: str) -> DataFrame:
+    """Rows of a shard in one task, shards one after the other."""
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", *order)
 
 
-def blocks(docs: DataFrame, split: Callable[[], Callable[[bytes], list[bytes]]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def grouped(rows: DataFrame, shards: int):
+    """Rows by block; as many tasks as the texts need."""
+    return rows.repartition(shards, "block").groupBy("block")
+
+
+def blocks(docs: DataFrame, split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, block_bytes: int = BLOCK_BYTES, mark: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
     """Rows of kinds DOCS and WORDS, written once to the shared folder. ``docs`` has doc_id, flag and text; ``marked``
-    counts each word in the documents whose flag is set. ``split`` makes the function that cuts a text's bytes."""
-    spark = docs.sparkSession
-    return written(docs.select("doc_id", F.col("flag").cast("int"), "text").mapInArrow(_builder(split, shard_count(spark), block_bytes), ROW))
+    counts each word in the documents whose flag is set. ``split`` makes the function that cuts a text's bytes; ``mark``
+    gives numbers for a block's words, which its DOCS row keeps by code."""
+    return written(docs.select("doc_id", F.col("flag").cast("int"), "text").mapInArrow(_builder(split, shards, block_bytes, mark), ROW))
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of sorted batches, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 class Block:

@@ -57,7 +57,7 @@ def test_lm_probabilities_sum_to_one():
     size = three.sum(axis=(0, 1))
     types = np.minimum(size, 7)
     types[0] = 1
-    model = brown_lm.Model(np.zeros(brown_lm.N_UNITS, int), three.ravel(), types, 10, 4, int(size.sum()), int(types.sum()))
+    model = brown_lm.Model(three.ravel(), types, 10, 4, int(size.sum()), int(types.sum()))
     share = np.where(size > 0, 1 - model.discount * types / np.maximum(size, 1), 0)
     share[0] = 1.0
     total = (10**model.classes * share).sum(axis=2) + 10**model.unknown
