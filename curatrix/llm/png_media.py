@@ -4,8 +4,9 @@ A payload of a positive multiple of 192 bytes is an image 192 pixels wide. Each
 whichever has the smallest sum of absolute differences; the reader understands all five filters. Every chunk's
 checksum is tested on reading.
 
-Defined cases: null and empty texts give a payload of 192 spaces; repeated rows give repeated results; null ids are
-kept; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty texts give a payload of 192 spaces; a very long text is one tall image; where filters cost
+the same the first counts; repeated rows give repeated results; null ids are kept; an empty table gives an empty result;
+other columns, of whatever names, are ignored. Tasks hold a few rows or PART bytes at a time, and one image at least.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from curatrix.llm.common import texts
 
-WIDTH = 192
+#: Columns of an image; rows, and bytes, that a task works on at a time.
+WIDTH, ROWS, PART = 192, 256, 8 << 20
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MEDIA = "doc_id long, n_bytes long, media binary"
@@ -140,26 +143,34 @@ def cosine_hash(samples: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows and, by the sizes in the column, not many bytes."""
     for batch in batches:
-        data = batch.column(1).cast(pa.binary())
-        for start in range(0, len(data), 256):
-            part = data.slice(start, 256).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, 256), pa.array([len(x) for x in part], pa.int64()), pa.array([encode_png(payload_of(x)) for x in part], pa.binary())], names=["doc_id", "n_bytes", "media"]
-            )
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < batch.num_rows:
+            upto = np.cumsum(sizes[start : start + ROWS], dtype=np.int64)
+            n = max(1, int(np.searchsorted(upto, PART, side="right")))
+            yield batch.slice(start, n)
+            start += n
+
+
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches, 1):
+        data = part.column(1).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array([encode_png(payload_of(x)) for x in data], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in _parts(batches, 2):
         rows: list[tuple] = []
-        for media in batch.column(2).to_pylist():
+        for media in part.column(2):
+            media = media.as_py()
             samples = decode_png(media)
             payload = samples.tobytes()
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples)))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,8 +7,12 @@ length it takes, and the filling is repeated while the counts last. Each rest fi
 rests of equal length; ranks come from counts per (length, salt), so that a length that very many documents share
 doesn't meet in one task.
 
-Defined cases: null text counts as empty and is one piece of the end id alone; repeated rows are pieces of their own;
-rows with a null id are kept; an empty table gives an empty result; other columns are ignored.
+A tokenizer that is not known to drop white space (``plain_parts``) gets whole texts, all others get words.
+
+Defined cases: null text counts as empty and is one piece of the end id alone; a very long text is cut into as many full
+windows as it fills, and a rest; of fillings equally close the one that backtracking meets first is taken, and rests of
+equal length take their places in the order of doc_id and ids; repeated rows are pieces of their own; rows with a null
+id are kept; an empty table gives an empty result; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ def _byte_letters() -> dict[int, str]:
 @functools.lru_cache(maxsize=2)
 def plain_parts(path: str):
     """The tokenizer's splitting pattern, its bare model and which ids end a word, if its steps are: NFC, white space, lower case; splitting;
-    byte letters. Otherwise None, and every word takes the whole tokenizer."""
+    byte letters. Otherwise None, and every text takes the whole tokenizer."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
@@ -133,9 +137,9 @@ class WordIds:
         parts: list[int] = []
         counts = np.zeros(len(words), np.int64)
         whole: dict[int, list[int]] = {}
-        find, code = self.plain[0] if self.plain else None, self.part_codes
+        find, code = self.plain[0], self.part_codes
         for i, w in enumerate(words):
-            if find and _PLAIN(w) and "<|" not in w:
+            if _PLAIN(w) and "<|" not in w:
                 found = find(w.lower())
                 parts += [code[p] for p in found]
                 counts[i] = len(found)
@@ -158,6 +162,10 @@ class WordIds:
 
     def __call__(self, texts_: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text. Texts are taken together up to a size, so that new words are encoded in bulk."""
+        if self.plain is None:
+            for text in texts_:
+                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+            return
         at = 0
         while at < len(texts_):
             if len(self.codes) > self.most:
