@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ def fold(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % F.lit(n)
 
 
+def characters(text: str) -> Iterator[tuple[str, int]]:
+    """Each distinct character with its count."""
+    if text.isascii():
+        n = np.bincount(np.frombuffer(text.encode(), np.uint8))
+        at = np.flatnonzero(n)
+        return zip(map(chr, at.tolist()), n[at].tolist(), strict=True)
+    at, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    return zip(map(chr, at.tolist()), n.tolist(), strict=True)
+
+
 def _first_by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's first row of each doc_id."""
     seen: set[int] = set()

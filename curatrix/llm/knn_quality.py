@@ -7,16 +7,17 @@ are broadcast, at most ``SAMPLE`` x ``RANK`` numbers, and each document's cosine
 computed exactly, block by block. The ``NEIGHBOURS`` nearest vote with their similarity as weight. An id of the sample
 with several rows counts once, by the text of the smallest hash.
 
-Defined cases: null and empty texts have a zero vector and get the sample's share of label 1; repeated rows get equal
-scores; rows with a null id are kept; labels that are null or not 0 or 1 are ignored; an empty table gives an empty result, no
-labels give a score of 0.5; other columns are ignored.
+Defined cases: null and empty texts have a zero vector and get the sample's share of label 1; a very long text counts
+whole; all neighbours as near as the last of the ``NEIGHBOURS`` vote too (cosines are rounded to 4 decimals first, so that
+ties don't hang on the order of sums); repeated rows get equal scores; rows with a null id are kept; labels that are null
+or not 0 or 1 are ignored; an empty table gives an empty result, no labels give a score of 0.5; other columns, of
+whatever names, are ignored, and ``accepted`` keeps them.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import fold, one_each, texts
+from curatrix.llm.common import characters, fold, one_each, texts
 
 #: Most labelled rows used, hashed columns for words and for marks, latent dimensions, neighbours, weight of marks.
 SAMPLE, WORDS, MARKS, RANK, NEIGHBOURS, MARK_WEIGHT = 4000, 1 << 11, 1 << 9, 48, 15, 2.5
@@ -82,7 +83,7 @@ def term_counts(text: str, words_of: _Memo, symbols: _Memo) -> np.ndarray:
     out[_SAME_LINE] += len(lines) - len(set(lines))
     out[_SHORT_LINE] += sum(len(x) < 20 for x in lines)
     out[_FEW] += len(words) - len(set(words))
-    for c, n in Counter(text).items():
+    for c, n in characters(text):
         if (at := symbols[c]) >= 0:
             out[at] += n
     out[WORDS:] *= 100 / len(words)
@@ -144,13 +145,16 @@ class Model:
     def score(self, counts: np.ndarray, neighbours: int) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        cosines = self.latent(counts) @ self.vectors.T
+        cosines = np.round(self.latent(counts) @ self.vectors.T, 4)
         k = min(neighbours, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** 4
-        total = weight.sum(axis=1)
-        vote = (weight * self.labels[near]).sum(axis=1)
-        return np.where(total > 0, vote / np.where(total > 0, total, 1), self.prior)
+        last = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, cosines.shape[1] - k]
+        out = np.full(len(counts), self.prior)
+        for i in np.flatnonzero(last > -1).tolist():
+            near = np.flatnonzero(cosines[i] >= last[i])
+            weight = np.maximum(cosines[i, near], 0).astype(np.float64) ** 4
+            if weight.any():
+                out[i] = (weight * self.labels[near]).sum() / weight.sum()
+        return np.round(out, 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:

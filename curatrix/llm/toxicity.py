@@ -6,16 +6,19 @@ obfuscated spellings, which are undone before look-up. Of the labelled rows outs
 bounded sample is used: part of its folds for the lexicon, part for the trees, part for the calibration. An id of the
 sample with several rows counts once, by the text of the smallest hash.
 
-Defined cases: null and empty texts have zero features; repeated rows get equal scores; rows with a null id are kept;
+Every significant term of the bounded sample is in the lexicon, so the sample bounds it.
+
+Defined cases: null and empty texts have zero features; a very long text counts whole; of an id's labels the larger
+counts, and of a word's entries the one of most weight; repeated rows get equal scores; rows with a null id are kept;
 labels that are null or not 0 or 1 are ignored; where either label is missing in a part of the sample, the score is
-the sample's share of label 1 (0 without labels); an empty table gives an empty result; other columns are ignored.
+the sample's share of label 1 (0 without labels); an empty table gives an empty result; other columns, of whatever
+names, are ignored, and ``accepted`` keeps them.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import fold, one_each, texts, written
+from curatrix.llm.common import characters, fold, one_each, texts, written
 
-#: Most labelled rows used; most lexicon entries; least toxic rows of an entry; least z value; trees and their depth.
-SAMPLE, LEXICON, SUPPORT, SIGNIFICANT, TREES, DEPTH = 20_000, 2_000, 4, 3.5, 25, 3
+#: Most labelled rows used; least toxic rows of a lexicon entry; least z value; trees and their depth.
+SAMPLE, SUPPORT, SIGNIFICANT, TREES, DEPTH = 20_000, 4, 3.5, 25, 3
 FOLDS, HELD = 5, 0
 #: Words that address the reader, and insults, in the corpus languages.
 YOU = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer tú ti tus usted ustedes vosotros".split())
@@ -55,7 +58,7 @@ def plain(word: str) -> tuple[str, bool]:
 
 def terms(word: str) -> list[str]:
     """What the lexicon may hold of a plain word: itself, and its beginnings marked with a star."""
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)] if len(word) > 2 else []
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)] if word else []
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +70,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lexicon(rows: DataFrame) -> dict[str, float]:
-    """Weights of the terms significantly more frequent in toxic rows; at most LEXICON of them leave Spark."""
+    """Weights of the terms significantly more frequent in toxic rows: some of the terms of a bounded sample."""
     total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, toxic = total["n"] or 0, total["toxic"] or 0
     if not toxic or toxic == n:
@@ -76,7 +79,7 @@ def _lexicon(rows: DataFrame) -> dict[str, float]:
     a, b = F.col("a") + 0.5, F.col("k") - F.col("a") + 0.5
     odds = F.log(a / (toxic - F.col("a") + 1)) - F.log(b / ((n - toxic) - (F.col("k") - F.col("a")) + 1))
     z = odds / F.sqrt(1 / a + 1 / b)
-    best = counts.select("term", odds.alias("w"), z.alias("z")).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "term").limit(LEXICON).collect()
+    best = counts.select("term", odds.alias("w"), z.alias("z")).where(F.col("z") >= SIGNIFICANT).collect()
     return {r["term"]: float(r["w"]) for r in best}
 
 
@@ -107,7 +110,7 @@ def features(text: str, words_of: _Words) -> list[float]:
     insult, hit = flags & 2 > 0, (weight > 0) | (flags & 2 > 0)
     at, you = np.flatnonzero(hit), np.flatnonzero(flags & 1)
     near = int((np.searchsorted(you, at + 5, side="right") > np.searchsorted(you, at - 5)).sum()) if len(at) and len(you) else 0
-    chars = Counter(text)
+    chars = dict(characters(text))
     letters = capitals = marks = 0
     for c, k in chars.items():
         if c.isalpha():
@@ -127,8 +130,8 @@ def features(text: str, words_of: _Words) -> list[float]:
         len(you) * share,
         capitals / max(letters, 1),
         float((flags & 8 > 0).sum()) * share,
-        chars["!"] * share,
-        chars["?"] * share,
+        chars.get("!", 0) * share,
+        chars.get("?", 0) * share,
         marks / len(text),
         float((flags & 4 > 0).sum()) * share,
         float(((flags & 4 > 0) & hit).sum()) * share,
