@@ -162,16 +162,24 @@ def redacted(x: Column | str) -> Column:
     return F.regexp_replace(col(x), r"(?i)\b(token|secret|password|api_?key|authorization)(\s*[:=]\s*)(\"[^\"]*\"|[^\s&,;\"]+)", "$1$2[redacted]")
 
 
-def licence_status(x: Column | str) -> Column:
-    """blocked, open or unknown by the licence's words; restrictions win."""
-    y = F.lower(F.coalesce(col(x), F.lit("")))
-    word = r"(?:^|[^\p{L}\p{N}])(?:%s)(?:$|[^\p{L}\p{N}])"
-    return F.when(y.rlike(word % "nc|nd|non-?commercial|all rights reserved"), "blocked").when(y.rlike(word % "public domain|cc0|cc by|apache license|gnu general public license"), "open").otherwise("unknown")
+#: Words of a licence's name, address or note that restrict use, and that free it.
+RESTRICTED = r"all rights reserved|copyrighted|non[^\r\n]?commercial|no derivatives|(?:^|[^0-9a-z_])n[cd](?:$|[^0-9a-z_])"
+FREE = r"public domain|(?:^|[^0-9a-z_])pd[-_ ]|cc0|creative commons[^\r\n]*(?:by|zero)|creativecommons\.org/(?:licenses/by|publicdomain)"
+
+
+def licence_status(*parts: Column | str) -> Column:
+    """blocked, open or unknown by the licence's name, address and note; restrictions win."""
+    y = F.lower(F.concat_ws(" ", *[F.coalesce(col(x), F.lit("")) for x in parts]))
+    return F.when(y.rlike(RESTRICTED), "blocked").when(y.rlike(FREE), "open").otherwise("unknown")
+
+
+#: Fixed value: characters that matching ignores.
+SEPARATORS = r"[·\s\-_\u3000,，.。'’\"“”()（）:：/\\\[\]【】《》<>]"
 
 
 def search_text(x: Column | str) -> Column:
     """For matching: lower case, separators and brackets out."""
-    return F.regexp_replace(F.lower(F.trim(col(x))), r"[\s·•・.,，。:：;；'’\"“”()（）\[\]【】《》<>_/\\-]+", "")
+    return F.regexp_replace(F.lower(F.trim(col(x))), SEPARATORS, "")
 
 
 def latin_prefixes(x: Column | str, longest: int = 12) -> Column:
@@ -211,19 +219,39 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(longest > 0, F.round(1 - F.levenshtein(col(a), col(b)) / longest, 4)).otherwise(0.0)
 
 
+#: Fixed value: nationalities that a creator's name may carry.
+NATIONALITIES = "italian|french|dutch|flemish|american|spanish|german|austrian|english|british|japanese|russian"
+
+
+def folded(x: Column | str) -> Column:
+    """Without diacritics. Texts of ASCII alone stay in the JVM."""
+    from curatrix.functions.unicode import without_diacritics
+
+    y = col(x)
+    return F.when(y.rlike(r"[^\x00-\x7F]"), without_diacritics(y)).otherwise(y)
+
+
+def plain_artist(x: Column | str) -> Column:
+    """A creator's name for comparing: no diacritics, brackets, nationalities, years or punctuation, in lower case."""
+    y = F.regexp_replace(folded(x), r"\([^)]*\)", " ")
+    y = F.regexp_replace(y, rf"(?i)\b(?:{NATIONALITIES})\b", " ")
+    y = F.regexp_replace(y, r"\b[0-9]{3,4}\s*[-–]\s*[0-9]{0,4}\b", " ")
+    return F.lower(F.trim(F.regexp_replace(y, "[^A-Za-z0-9]+", " ")))
+
+
 def dedupe_title(x: Column | str) -> Column:
-    """A title without brackets, articles, punctuation."""
-    y = F.regexp_replace(F.lower(col(x)), r"\([^)]*\)|（[^）]*）|\[[^\]]*\]", " ")
-    y = F.regexp_replace(y, r"\b(the|a|an|le|la|les|der|die|das|el|los|las)\b", " ")
-    return F.trim(F.regexp_replace(y, r"[^0-9\p{L}]+", " "))
+    """A title without diacritics, brackets, English articles and punctuation."""
+    y = F.regexp_replace(F.lower(folded(x)), r"\([^)]*\)", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(y, r"\b(the|a|an)\b", " "), "[^a-z0-9]+", " "))
 
 
 def dedupe_artist(x: Column | str) -> Column:
-    """A name without years and brackets; a Chinese name with its Latin form in brackets counts as that form."""
-    inside = F.regexp_extract(col(x), r"[(（]([^)）]*[A-Za-z][^)）]*)[)）]", 1)
-    name = F.when(col(x).rlike(CJK) & (inside != ""), inside).otherwise(col(x))
-    name = F.regexp_replace(name, r"\b[0-9]{3,4}\b\s*[-–—]?\s*(\b[0-9]{2,4}\b)?", " ")
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, r"[(（][^)）]*[)）]", " ")), r"[^0-9\p{L}]+", " "))
+    """A name of one line without years; a Chinese name with its Latin form in brackets counts as that form."""
+    y = col(x)
+    latin = F.filter(F.regexp_extract_all(y, F.lit("[（(]([^）)]+)[）)]"), F.lit(1)), lambda p: p.rlike("[A-Za-z]{2}"))
+    name = F.when(y.rlike(CJK) & (F.size(latin) > 0), F.element_at(F.when(F.size(latin) > 0, latin), 1)).otherwise(F.regexp_extract(y, r"^[^\r\n]*", 0))
+    name = F.regexp_replace(name, r"(?s)[，,]\s*[0-9]{3,4}.*$", "")
+    return plain_artist(F.regexp_replace(name, r"\b[0-9]{3,4}\s*[-–—]\s*[0-9]{0,4}\b", ""))
 
 
 def dedupe_key(title: Column | str, artist: Column | str) -> Column:

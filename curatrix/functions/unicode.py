@@ -23,6 +23,22 @@ def without_marks(x: pd.Series) -> pd.Series:
     return x.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")
 
 
+@pandas_udf(StringType())
+def without_diacritics(x: pd.Series) -> pd.Series:
+    """Canonical form without the combining marks of U+0300 to U+036F; composed characters of other scripts stay apart."""
+    return x.map(lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if not "\u0300" <= c <= "\u036f"), na_action="ignore")
+
+
+@pandas_udf(StringType())
+def lookup_text(x: pd.Series) -> pd.Series:
+    """For finding names: compatibility form, lower case, without marks, punctuation, symbols and white space."""
+
+    def plain(s: str) -> str:
+        return "".join(c for c in unicodedata.normalize("NFKD", s) if unicodedata.category(c)[0] not in "MPSZ" and not c.isspace()).lower()
+
+    return x.map(plain, na_action="ignore")
+
+
 @pandas_udf(StringType())
 def decode_entities(x: pd.Series) -> pd.Series:
     """Named, decimal and hexadecimal entities."""

@@ -62,9 +62,11 @@ def union_first_wins(key: str, *parts: DataFrame) -> DataFrame:
 
 
 def dedupe_first(rows: DataFrame, key: str, order: str, known: DataFrame) -> DataFrame:
-    """Of each key the first row, and only keys that ``known`` (one column, key) doesn't hold. Missing keys stay."""
+    """Of each key the first row by ``order`` and then the other columns, and only keys that ``known`` (one column, key)
+    doesn't hold. Missing keys stay. Tasks keep one row per key before anything is shuffled."""
     keyed, bare = rows.where(F.col(key) != ""), rows.where(F.coalesce(F.col(key), F.lit("")) == "")
-    first = keyed.withColumn("__rn", F.row_number().over(W.partitionBy(key).orderBy(order))).where("__rn = 1").drop("__rn")
+    rest = [c for c in rows.columns if c not in (key, order)]
+    first = keyed.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("__first")).select(key, "__first.*")
     return first.join(known.select(key).distinct(), key, "left_anti").select(rows.columns).unionByName(bare)
 
 

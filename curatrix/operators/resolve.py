@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import similarity
+from curatrix.sources.files import staged
 
 
 def alias_index(df: DataFrame, key: str, aliases: Column) -> DataFrame:
@@ -26,29 +27,71 @@ def routed(labels: DataFrame, label: str, index: DataFrame, noise: list[str] = (
     return joined.withColumn("route", route).withColumn("term_id", F.when(F.col("route") == "unique", F.element_at("ids", 1))).withColumnRenamed("ids", "candidates").drop("alias")
 
 
-def _containment(texts: DataFrame, text: str, index: DataFrame, width: int) -> DataFrame:
-    """Rows with each alias their text contains. Aliases and texts meet by equi-join on the aliases' first ``width``
-    characters, which every place of a text is cut to, so that no pair of all texts and aliases is formed."""
-    low = F.lower(F.col(text))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - width + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(width))))
-    cut = texts.withColumn("__gram", F.explode(grams))
-    keyed = index.withColumn("__gram", F.substring("alias", 1, width)).where(F.length("alias") >= width)
-    return cut.join(keyed, "__gram").where(F.contains(F.lower(F.col(text)), F.col("alias"))).drop("__gram")
+def _pieces(x: Column, n: int) -> Column:
+    """Distinct pieces of n characters; none where the text is shorter."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1)))
+    return F.when(F.length(x) >= n, F.array_distinct(F.transform(at, lambda i: F.substr(x, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def _containment(texts: DataFrame, key: str, text: str, index: DataFrame, width: int) -> DataFrame:
+    """key, alias, ids of each alias that a text contains. Aliases and texts meet by equi-join on the aliases' first
+    ``width`` characters (on the whole of shorter ones), which every place of a text is cut to; only keys and pieces take
+    part, and a text is fetched again for the longer aliases it may contain. No pair of all texts and aliases is formed."""
+    low = texts.select(key, F.lower(F.col(text)).alias("__text"))
+    aliases = index.select("alias", "ids", F.substring("alias", 1, width).alias("__piece")).where("alias <> ''")
+    # at most ``width`` numbers
+    sizes = sorted(r[0] for r in aliases.select(F.length("__piece")).distinct().collect())
+    if not sizes:
+        return low.join(aliases, F.lit(False)).select(key, "alias", "ids")
+    cut = low.select(key, F.explode(F.flatten(F.array(*[_pieces(F.col("__text"), n) for n in sizes]))).alias("__piece"))
+    met = cut.join(aliases, "__piece").select(key, "alias", "ids")
+    short = met.where(F.length("alias") <= width)
+    long = met.where(F.length("alias") > width).join(low, key).where(F.contains("__text", "alias")).select(key, "alias", "ids")
+    return short.unionByName(long)
+
+
+#: Fixed value: words that make an attribution uncertain.
+UNCERTAIN = "未知|暂不明确|作者未|可能|疑似|风格|待考|相关作者|归属未定|unknown"
+
+
+def is_uncertain(text: Column | str) -> Column:
+    return F.coalesce((F.col(text) if isinstance(text, str) else text).rlike(f"(?i){UNCERTAIN}"), F.lit(False))
 
 
 def uniquely_contained(texts: DataFrame, key: str, text: str, index: DataFrame, width: int = 3) -> DataFrame:
-    """key, id: where all aliases that a text contains mean one single id."""
-    hits = _containment(texts.select(key, text), text, index, width).select(key, F.explode("ids").alias("id"))
+    """key, id: where all aliases that a text contains mean one single id. ``key`` names a row; uncertain texts and texts
+    of ambiguous aliases are left out."""
+    hits = _containment(texts.where(~is_uncertain(text)), key, text, index, width).select(key, F.explode("ids").alias("id"))
     return hits.groupBy(key).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").select(key, "id")
 
 
 def longest_contained(texts: DataFrame, key: str, text: str, index: DataFrame, width: int = 3) -> DataFrame:
     """key, alias, id: the longest alias that a text contains, ties to the alphabet; of several ids the smallest."""
-    hits = _containment(texts.select(key, text), text, index, width).select(key, "alias", F.element_at("ids", 1).alias("id"))
+    hits = _containment(texts, key, text, index, width).select(key, "alias", F.element_at("ids", 1).alias("id"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.length("alias")), "alias"))
     return hits.withColumn("__rn", rank).where("__rn = 1").drop("__rn")
 
 
+def found_creator(texts: DataFrame, key: str, name: str, index: DataFrame, least: int = 3) -> DataFrame:
+    """key, id, found_by for creators' texts: each part of the text (whole, before its brackets, inside) exactly as an alias;
+    else, of the first part that has any, the longest alias of at least ``least`` characters that the part contains or that
+    contains the part; ties to the alphabet."""
+    from curatrix.functions.rules import name_parts
+
+    parts = texts.select(key, F.posexplode(F.transform(name_parts(name), lambda p: F.lower(F.trim(p)))).alias("__at", "__part")).where("__part <> ''")
+    whole = index.select(F.col("alias").alias("__part"), F.element_at("ids", 1).alias("id"))
+    exact = parts.join(whole, "__part").select(key, F.lit(0).alias("__step"), "__at", F.col("__part").alias("__alias"), "id")
+    distinct, long = parts.select("__part").distinct(), index.where(F.length("alias") >= least)
+    inside = _containment(distinct, "__part", "__part", long, least).select("__part", F.col("alias").alias("__alias"), F.element_at("ids", 1).alias("id"))
+    pieces = distinct.select(F.col("__part").alias("alias"), F.array("__part").alias("ids"))
+    holders = long.select(F.col("alias").alias("__alias"))
+    around = _containment(holders, "__alias", "__alias", pieces, least).select(F.col("alias").alias("__part"), "__alias").join(long.select(F.col("alias").alias("__alias"), F.element_at("ids", 1).alias("id")), "__alias").select("__part", "__alias", "id")
+    near = parts.join(inside.unionByName(around), "__part").select(key, F.lit(1).alias("__step"), "__at", "__alias", "id")
+    rank = F.row_number().over(W.partitionBy(key).orderBy("__step", "__at", F.desc(F.length("__alias")), "__alias"))
+    best = exact.unionByName(near).withColumn("__rn", rank).where("__rn = 1")
+    return best.select(key, "id", F.when(F.col("__step") == 0, "exact").otherwise("contained").alias("found_by"))
+
+
 def cascade(rows: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
     """Adds ``resolved`` and ``match_source``: the first step (source, column) whose column has a value."""
     source = reduce(lambda out, s: out.when(F.col(s[1]).isNotNull(), s[0]), steps[1:], F.when(F.col(steps[0][1]).isNotNull(), steps[0][0]))
@@ -70,30 +113,48 @@ def with_collected(rows: DataFrame, key: str, links: DataFrame, target: str, ord
 
 
 def similar_names(left: DataFrame, left_key: str, left_name: str, right: DataFrame, right_key: str, right_name: str, least: float = 0.72) -> DataFrame:
-    """Each left row's most similar right name, if at least ``least`` by edit distance.
+    """Each left row's most similar right name, if at least ``least`` by edit distance, ties to the smaller right key.
 
-    An edit spoils at most two of a name's pairs of neighbouring letters, so two such names share a known number of
-    pairs. Each name is therefore looked up only by its rarest pairs, as many as leave no room for that number among
-    the rest; common pairs, which would bring all names together, are not used. Names of fewer than five letters,
-    which may share no pair at all, meet only equals."""
-    share = 1 - least
+    Distances are tried from 0 up, and a left row leaves the search once nothing farther can be as similar, so near names
+    settle it before far ones are looked at. Of a name's pairs of neighbouring letters (numbered where they repeat), k
+    edits spoil at most 2k; so two names within k edits share one of each one's 2k + 1 rarest pairs, and only these are
+    joined. Names of at most 2k + 1 letters, which may share none, meet through one key of their own."""
 
     def pairs_of(df: DataFrame, key: str, name: str) -> DataFrame:
         n = F.length(name)
-        listed = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(F.col(name), i, F.lit(2))))
-        return df.select(key, name, F.size(listed).alias("__all"), F.floor(n * share / least).alias("__edits"), F.explode(listed).alias("__pair"))
+        at = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+        plain = F.transform(at, lambda i: F.substr(F.col(name), i, F.lit(2)))
+        numbered = F.transform(plain, lambda g, i: F.concat_ws(":", g, F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+        return df.where(n > 0).select(F.col(key), F.col(name), n.alias("__n"), F.explode(numbered).alias("__pair"))
 
     a, b = pairs_of(left, left_key, left_name), pairs_of(right, right_key, right_name)
     often = a.select("__pair").unionByName(b.select("__pair")).groupBy("__pair").agg(F.count("*").alias("__often"))
 
-    def rare(rows: DataFrame, key: str, name: str) -> DataFrame:
-        need = F.greatest(F.col("__all") - 2 * F.col("__edits"), F.lit(1))
+    def ranked(rows: DataFrame, key: str, name: str) -> DataFrame:
         rank = F.row_number().over(W.partitionBy(key, name).orderBy("__often", "__pair"))
-        return rows.join(often, "__pair").withColumn("__rank", rank).where(F.col("__rank") <= F.col("__all") - need + 1).select(key, name, "__pair")
-
-    met = rare(a, left_key, left_name).join(rare(b, right_key, right_name), "__pair").select(left_key, left_name, right_key, right_name)
-    equal = left.select(left_key, left_name).join(right.select(right_key, right_name), F.col(left_name) == F.col(right_name))
-    close = F.abs(F.length(left_name) - F.length(right_name)) <= share * F.greatest(F.length(left_name), F.length(right_name))
-    scored = met.unionByName(equal).where(close).distinct().withColumn("similarity", similarity(left_name, right_name)).where(F.col("similarity") >= least)
-    rank = F.row_number().over(W.partitionBy(left_key).orderBy(F.desc("similarity"), right_key))
-    return scored.withColumn("__rn", rank).where("__rn = 1").drop("__rn")
+        return staged(rows.join(often, "__pair").select(key, name, "__n", "__pair", rank.alias("__rank")))
+
+    rare_a, rare_b = ranked(a, left_key, left_name), ranked(b, right_key, right_name)
+    longest = left.agg(F.max(F.length(left_name))).first()[0] or 0
+    open_rows, best, edits = left.select(left_key, left_name).where(F.length(left_name) > 0), None, 0
+    while edits <= (1 - least) / least * longest:
+
+        def keys(rows: DataFrame, key: str, name: str, k: int = edits) -> DataFrame:
+            rare = rows.where(F.col("__rank") <= 2 * k + 1).select(key, name, "__n", "__pair")
+            short = rows.where((F.col("__n") <= 2 * k + 1) & (F.col("__rank") == 1)).select(key, name, "__n", F.lit("").alias("__pair"))
+            return rare.unionByName(short).withColumnRenamed("__n", f"__n_{name}")
+
+        mine = keys(rare_a.join(open_rows.select(left_key), left_key, "left_semi"), left_key, left_name)
+        met = mine.join(keys(rare_b, right_key, right_name), "__pair").where(F.abs(F.col(f"__n_{left_name}") - F.col(f"__n_{right_name}")) <= edits)
+        scored = met.select(left_key, left_name, right_key, right_name).distinct().where(F.levenshtein(left_name, right_name) <= edits).withColumn("similarity", similarity(left_name, right_name)).where(F.col("similarity") >= least)
+        rows = scored if best is None else scored.unionByName(best)
+        rank = F.row_number().over(W.partitionBy(left_key).orderBy(F.desc("similarity"), right_key))
+        best = staged(rows.withColumn("__rn", rank).where("__rn = 1").drop("__rn"))
+        edits += 1
+        # a name at the next distance is at most that much longer
+        beyond = F.round(1 - edits / (F.length(left_name) + edits), 4)
+        found = best.select(left_key, F.col("similarity").alias("__best"))
+        open_rows = open_rows.join(found, left_key, "left").where((F.coalesce("__best", F.lit(0.0)) <= beyond) & (beyond >= least)).select(left_key, left_name)
+        if open_rows.isEmpty():
+            break
+    return best if best is not None else left.select(left_key, left_name).limit(0).join(right.select(right_key, right_name).limit(0), F.lit(True)).withColumn("similarity", F.lit(0.0))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import search_text
+from curatrix.functions.text import SEPARATORS, search_text
 
 
-def has_all(array: str, wanted: list[str]) -> Column:
+def has_all(array: Column | str, wanted: list[str]) -> Column:
     """Facets: the array holds every wanted value; none wanted: always."""
     return reduce(lambda a, b: a & b, [F.array_contains(array, w) for w in wanted], F.lit(True))
 
@@ -44,10 +45,12 @@ def tag_counts(df: DataFrame, tags: str) -> DataFrame:
 
 
 def field_score(text: Column, query: str) -> Column:
-    """1 equal, .94 beginning, .88 as a word, .78 anywhere, 0 none."""
+    """1 equal, .94 beginning, .88 anywhere as written, .78 anywhere without separators, 0 none; case never matters, and
+    the first two are as written or without separators."""
     t, q = search_text(text), search_text(F.lit(query))
-    word = F.array_contains(F.split(F.lower(text), r"[\s,;.]+"), query.lower())
-    return F.when((t == "") | (q == ""), 0.0).when(t == q, 1.0).when(F.startswith(t, q), 0.94).when(word, 0.88).when(F.contains(t, q), 0.78).otherwise(0.0)
+    raw, asked = F.lower(text), F.lit(query.lower())
+    begins = F.startswith(raw, asked) | F.startswith(t, q)
+    return F.when((t == "") | (q == ""), 0.0).when(t == q, 1.0).when(begins, 0.94).when(F.contains(raw, asked), 0.88).when(F.contains(t, q), 0.78).otherwise(0.0)
 
 
 def ranked(df: DataFrame, variants: list[str], weights: dict[str, float]) -> DataFrame:
@@ -56,11 +59,22 @@ def ranked(df: DataFrame, variants: list[str], weights: dict[str, float]) -> Dat
     return df.withColumn("score", F.round(reduce(lambda a, b: a + b, parts), 4)).where("score > 0")
 
 
+def plain_query(query: str) -> str:
+    """``search_text`` of one query."""
+    return re.sub(SEPARATORS, "", query.strip().lower())
+
+
 def expanded(query: str, groups: list[list[str]]) -> list[str]:
-    """The query and the aliases of every group of which one contains it or is contained in it."""
-    low = query.lower()
-    more = [a for g in groups if any(low in a.lower() or a.lower() in low for a in g) for a in g]
-    return list(dict.fromkeys([query, *more]))
+    """The query and the aliases of every group of which one contains it or is contained in it, separators aside; the
+    same alias in another case isn't repeated."""
+    low = plain_query(query)
+    more = [a for g in groups if any(k and (k in low or low in k) for k in map(plain_query, g)) for a in g]
+    return list({a.strip().lower(): a for a in reversed([query.strip(), *more]) if a.strip()}.values())[::-1] if query.strip() else []
+
+
+def has_all_words(text: str, words: list[str]) -> Column:
+    """The text has every word; no index and no shuffle."""
+    return has_all(F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0)), [w.lower() for w in words])
 
 
 def matching_all(index: DataFrame, terms: list[str], key: str = "doc_id", term: str = "term") -> DataFrame:

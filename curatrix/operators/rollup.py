@@ -15,20 +15,23 @@ def channel_stats(links: DataFrame, channel: str, item: str, creator: str) -> Da
     totals = items.groupBy(channel).agg(F.count_distinct(item).alias("item_count"))
     top = per.groupBy(channel).agg(F.count("*").alias("creator_count"), F.min(F.struct((-F.col("n")).alias("least"), F.col(creator).alias("id"))).alias("top"))
     out = totals.join(top, channel).select(channel, "item_count", "creator_count", F.col("top.id").alias("top_creator"), (-F.col("top.least")).alias("top_count"))
-    return out.withColumn("top_share", F.col("top_count") / F.col("item_count"))
+    return out.withColumn("top_share", F.round(F.col("top_count") / F.col("item_count"), 4))
 
 
 #: Shares and sizes that decide a channel's mode.
 FOCUS, CROSS, CAPACITY, CREATORS = 0.7, 0.65, 8, 3
 
 
-def channel_policy(stats: DataFrame) -> DataFrame:
-    """Adds mode, capacity_ready, diversity_ready, eligible and priority."""
-    focus = F.col("top_share") >= FOCUS
-    mode = F.when(focus, "focus").when((F.col("creator_count") >= CREATORS) & (F.col("top_share") <= CROSS), "cross").otherwise("mixed")
-    out = stats.withColumn("mode", mode).withColumn("capacity_ready", F.col("item_count") >= CAPACITY)
-    out = out.withColumn("diversity_ready", F.col("mode") == "cross").withColumn("eligible", F.col("capacity_ready") & F.col("mode").isin("focus", "cross"))
-    weight = F.when(F.col("mode") == "focus", F.lit(0.8)).otherwise(F.greatest(F.lit(0.4), 1 - 0.5 * F.col("top_share")))
+def channel_policy(stats: DataFrame, forced: Column | None = None) -> DataFrame:
+    """Adds scope (the creator that a channel is about: a forced one, or one with most of its items), mode, capacity_ready,
+    diversity_ready, eligible, status and priority. A channel about a creator needs no other ones."""
+    kind = stats.schema["top_creator"].dataType
+    scope = F.coalesce(F.lit(None).cast(kind) if forced is None else forced.cast(kind), F.when(F.col("top_share") >= FOCUS, F.col("top_creator")))
+    out = stats.withColumn("scope", scope).withColumn("mode", F.when(F.col("scope").isNotNull(), "artist_focus").otherwise("cross_artist"))
+    spread = (F.col("creator_count") >= CREATORS) & (F.col("top_share") <= CROSS)
+    out = out.withColumn("capacity_ready", F.col("item_count") >= CAPACITY).withColumn("diversity_ready", F.col("scope").isNotNull() | spread)
+    out = out.withColumn("eligible", F.col("capacity_ready") & F.col("diversity_ready")).withColumn("status", F.when(F.col("capacity_ready"), "published").otherwise("long_tail"))
+    weight = F.when(F.col("scope").isNotNull(), F.lit(0.8)).otherwise(F.greatest(F.lit(0.4), 1 - 0.5 * F.col("top_share")))
     return out.withColumn("priority", F.log2(F.col("item_count") + 1) * weight)
 
 
@@ -75,7 +78,7 @@ def thresholds_met(metrics: DataFrame, key: str, definitions: DataFrame) -> Data
     """key, achievement: metrics are columns; definitions (achievement, metric, threshold) are a short fixed table."""
     names = [c for c in metrics.columns if c != key]
     long = metrics.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in names])).alias("m")).select(key, "m.metric", "m.value")
-    return long.join(F.broadcast(definitions), "metric").where(F.col("value") >= F.col("threshold")).select(key, "achievement")
+    return long.join(definitions, "metric").where(F.col("value") >= F.col("threshold")).select(key, "achievement")
 
 
 def progress(value: Column, target: Column) -> Column:

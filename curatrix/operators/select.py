@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,27 +48,22 @@ def diversified(df: DataFrame, key: str, order: str, seed: int) -> DataFrame:
 
 
 def greedy_under_caps(df: DataFrame, group: str, caps: dict[str, int], *order: str) -> DataFrame:
-    """Rows of each group taken in order while none of their keys has reached its cap. Two caps can't be one
-    window, so each group is read once in order; groups stream through tasks, and what a task keeps of a group is
-    one number per key."""
-    schema = df.schema
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used = object(), {}
-        for part in parts:
-            keep = []
-            for row in part[[group, *caps]].itertuples(index=False):
-                if row[0] != now:
-                    now, used = row[0], {}
-                keys = list(zip(caps, row[1:], strict=True))
-                take = all(used.get(k, 0) < caps[k[0]] for k in keys)
-                keep.append(take)
-                if take:
-                    for k in keys:
-                        used[k] = used.get(k, 0) + 1
-            yield part[keep]
-
-    return df.repartition(F.col(group)).sortWithinPartitions(group, *order).mapInPandas(run, schema)
+    """Rows of each group taken in order while none of their keys has reached its cap; null is a group, and a key, like
+    any other. ``order`` must be total.
+
+    Several caps can't be one window, and a loop over a group would be one task's. So rows are decided in rounds: a row
+    is taken if its keys would have room even were all undecided rows before it taken, and refused if those taken before
+    it have used one up. The first undecided row of a group is always decided, and as keys fill up most others follow."""
+    rows = staged(df.withColumn("__taken", F.lit(None).cast("boolean")))
+    while True:
+        sure, full = F.lit(True), F.lit(False)
+        for key, cap in caps.items():
+            before = W.partitionBy(group, key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+            taken = F.count(F.when(F.col("__taken"), 1)).over(before)
+            sure, full = sure & (taken + F.count(F.when(F.col("__taken").isNull(), 1)).over(before) < cap), full | (taken >= cap)
+        rows = staged(rows.withColumn("__taken", F.when(F.col("__taken").isNotNull(), F.col("__taken")).when(full, False).when(sure, True)))
+        if rows.where("__taken IS NULL").isEmpty():
+            return rows.where("__taken").drop("__taken")
 
 
 def numbered(df: DataFrame, *order: str, start: int = 0) -> DataFrame:
@@ -82,9 +74,9 @@ def numbered(df: DataFrame, *order: str, start: int = 0) -> DataFrame:
     low = (1 << 33) - 1
     local = local.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit(low)))
     counts = local.groupBy("__part").agg(F.count("*").alias("__n"))
-    # one row per range
+    # one row per range of the sort, so as few as the job has partitions
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.drop("__n")), "__part").withColumn("number", F.col("__before") + F.col("__row") + F.lit(start)).drop("__at", "__part", "__row", "__before")
+    return local.join(before.drop("__n"), "__part").withColumn("number", F.col("__before") + F.col("__row") + F.lit(start)).drop("__at", "__part", "__row", "__before")
 
 
 def islands(df: DataFrame, key: str, width: int = 1 << 20) -> DataFrame:
@@ -119,9 +111,9 @@ def no_repeat_sections(df: DataFrame, sections: list[str], section: str, item: s
     section of a short list; what is taken is at most ``limit`` rows each."""
     taken = None
     for name in sections:
-        rows = df.where(F.col(section) == name).dropDuplicates([item])
+        rows = first_per_key(df.where(F.col(section) == name), [item], order, *[c for c in df.columns if c not in (item, order)])
         if taken is not None:
-            rows = rows.join(F.broadcast(taken.select(item)), item, "left_anti")
+            rows = rows.join(taken.select(item), item, "left_anti")
         rows = staged(rows.orderBy(order, item).limit(limit).select(df.columns))
         taken = rows if taken is None else taken.unionByName(rows)
     return taken

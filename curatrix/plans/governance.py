@@ -6,23 +6,12 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
 from curatrix.operators import diff, resolve, retrieval, rollup, select
+from curatrix.plans.registry import registry
 from curatrix.plans.serving import part_tags
 from curatrix.sources import files
 from curatrix.sources.files import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with SQL that gives the same rows where there is some."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 #: A small vocabulary: term, aliases.
@@ -96,8 +85,7 @@ def longest_alias(spark, d):
 def cascade_resolve(spark, d):
     """Resolution in steps, the first that matches names the source."""
     index = vocabulary(spark).select("alias", F.element_at("ids", 1).alias("id"))
-    # the vocabulary is the short fixed table above
-    whole, first = (F.broadcast(index.select(F.col("alias").alias(a), F.col("id").alias(i))) for a, i in (("a1", "whole"), ("a2", "first")))
+    whole, first = (index.select(F.col("alias").alias(a), F.col("id").alias(i)) for a, i in (("a1", "whole"), ("a2", "first")))
     parts = table(spark, d, "part")
     joined = parts.join(whole, F.col("a1") == F.col("p_name"), "left").join(first, F.col("a2") == F.substring_index("p_name", " ", 1), "left").withColumn("by_type", F.when(F.col("p_type") == "PROMO", "type-promo"))
     return resolve.cascade(joined, [("name", "whole"), ("first word", "first"), ("type", "by_type")]).select("p_partkey", "resolved", "match_source")
@@ -117,13 +105,13 @@ def role_priority_primary(spark, d):
 
 @query(
     """
-    WITH l AS (SELECT l_suppkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 48) GROUP BY l_suppkey)
+    WITH l AS (SELECT l_suppkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY l_suppkey)
     SELECT s_suppkey, coalesce(parts, '') AS parts FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey
     """
 )
 def derived_records(spark, d):
     """Records with their links collected, those without too."""
-    links = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey").distinct()
+    links = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey").distinct()
     out = resolve.with_collected(table(spark, d, "supplier"), "s_suppkey", links, "l_partkey", "l_partkey", "parts")
     return out.select("s_suppkey", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"))
 
@@ -140,7 +128,7 @@ def _brand_stats(spark, d):
     return rollup.channel_stats(links, "p_brand", "l_orderkey", "l_suppkey")
 
 
-@query(f"WITH {_STATS} SELECT p_brand, item_count, creator_count, top_creator, top_count, top_count / item_count AS top_share FROM stats")
+@query(f"WITH {_STATS} SELECT p_brand, item_count, creator_count, top_creator, top_count, round(top_count / item_count, 4)::DOUBLE AS top_share FROM stats")
 def channel_stats(spark, d):
     """Channels: items, creators, the top creator and its share."""
     return _brand_stats(spark, d)
@@ -148,20 +136,21 @@ def channel_stats(spark, d):
 
 @query(
     f"""
-    WITH {_STATS}, s AS (SELECT *, top_count / item_count AS share FROM stats),
-    m AS (SELECT *, CASE WHEN share >= 0.7 THEN 'focus' WHEN creator_count >= 3 AND share <= 0.65 THEN 'cross' ELSE 'mixed' END AS mode FROM s)
-    SELECT p_brand, mode, item_count >= 8 AS capacity_ready, mode = 'cross' AS diversity_ready, item_count >= 8 AND mode IN ('focus', 'cross') AS eligible,
-           round(log2(item_count + 1) * CASE WHEN mode = 'focus' THEN 0.8 ELSE greatest(0.4, 1 - 0.5 * share) END, 4) AS priority FROM m
+    WITH {_STATS}, s AS (SELECT *, round(top_count / item_count, 4)::DOUBLE AS share FROM stats),
+    m AS (SELECT *, CASE WHEN p_brand = 'Brand#11' THEN 7 WHEN share >= 0.7 THEN top_creator END AS scope FROM s), p AS (SELECT *, item_count >= 8 AS capacity_ready, scope IS NOT NULL OR (creator_count >= 3 AND share <= 0.65) AS diversity_ready FROM m)
+    SELECT p_brand, CASE WHEN scope IS NULL THEN 'cross_artist' ELSE 'artist_focus' END AS mode, scope, capacity_ready, diversity_ready, capacity_ready AND diversity_ready AS eligible, CASE WHEN capacity_ready THEN 'published' ELSE 'long_tail' END AS status,
+           round(log2(item_count + 1) * CASE WHEN scope IS NOT NULL THEN 0.8 ELSE greatest(0.4, 1 - 0.5 * share) END, 4)::DOUBLE AS priority FROM p
     """
 )
 def channel_policy(spark, d):
-    """What a channel's numbers allow, and its priority."""
-    return rollup.channel_policy(_brand_stats(spark, d)).select("p_brand", "mode", "capacity_ready", "diversity_ready", "eligible", F.round("priority", 4).alias("priority"))
+    """What a channel's numbers allow, and its priority; one brand is about a creator by decree."""
+    forced = F.when(F.col("p_brand") == "Brand#11", 7)
+    return rollup.channel_policy(_brand_stats(spark, d), forced).select("p_brand", "mode", "scope", "capacity_ready", "diversity_ready", "eligible", "status", F.round("priority", 4).alias("priority"))
 
 
 @query(
     """
-    WITH g AS (SELECT l_suppkey, p_brand, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49 GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY l_suppkey) AS total FROM g),
+    WITH g AS (SELECT l_suppkey, p_brand, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY l_suppkey) AS total FROM g),
     r AS (SELECT *, CAST(n >= 2 OR n / total >= 0.1 AS INTEGER) AS ok FROM c),
     k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY ok DESC, n DESC, p_brand) AS rn FROM r)
     SELECT l_suppkey, string_agg(p_brand, ',' ORDER BY rn) AS ids FROM k WHERE (ok = 1 AND rn <= 5) OR rn = 1 GROUP BY l_suppkey
@@ -169,7 +158,7 @@ def channel_policy(spark, d):
 )
 def representative_ids(spark, d):
     """What a creator's works stand for: frequent enough terms, else the one most frequent."""
-    links = table(spark, d, "lineitem").where("l_quantity > 49").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    links = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     counts = links.groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("n"))
     totals = counts.groupBy("l_suppkey").agg(F.sum("n").alias("total"))
     out = rollup.representative_ids(counts.join(totals, "l_suppkey"), "l_suppkey", "p_brand", "n", "total")
@@ -241,27 +230,36 @@ def dense_numbers(spark, d):
 
 @query(
     """
-    WITH i AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 30), g AS (SELECT id, id - row_number() OVER (ORDER BY id) AS run FROM i)
+    WITH i AS (SELECT DISTINCT l_partkey AS id FROM lineitem), g AS (SELECT id, id - row_number() OVER (ORDER BY id) AS run FROM i)
     SELECT min(id) AS first, max(id) AS last, count(*) AS size FROM g GROUP BY run
     """
 )
 def islands(spark, d):
     """Ranges of consecutive keys."""
-    return select.islands(table(spark, d, "lineitem").where("l_quantity > 30"), "l_orderkey", width=1000)
+    return select.islands(table(spark, d, "lineitem"), "l_partkey")
 
 
 _STATES = """
-    cur AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE p_type END AS v FROM part WHERE p_partkey % 11 <> 0),
-    prev AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN 'x' ELSE p_type END AS v FROM part WHERE p_partkey % 13 <> 0),
-    target AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'y' ELSE p_type END AS v FROM part WHERE p_partkey % 17 <> 0)
+    cur AS (SELECT p_partkey AS k, CASE WHEN p_size > 30 THEN 'x' ELSE p_type END AS v FROM part UNION ALL SELECT -s_suppkey, s_name FROM supplier),
+    prev AS (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN 'x' ELSE p_type END AS v FROM part UNION ALL SELECT 1000000000 + c_custkey, c_mktsegment FROM customer),
+    target AS (SELECT p_partkey AS k, CASE WHEN p_retailprice > 1500 THEN 'y' ELSE p_type END AS v FROM part UNION ALL SELECT 1000000000 + c_custkey, c_mktsegment FROM customer UNION ALL SELECT 2000000000 + o_orderkey, o_orderstatus FROM orders)
 """
 
 
 def _states(spark, d):
-    def of(step: int, mark: str, gap: int):
-        return table(spark, d, "part").where(F.col("p_partkey") % gap != 0).select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % step == 0, mark).otherwise(F.col("p_type")).alias("v"))
+    """Three states of a record table, each of whole tables: works in all of them, with values that change by size and price;
+    creators only now, customers before and wanted, orders only wanted."""
 
-    return of(5, "x", 11), of(10, "x", 13), of(3, "y", 17)
+    def works(changed, mark: str):
+        return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.when(changed, mark).otherwise(F.col("p_type")).alias("v"))
+
+    def others(name: str, key, value: str):
+        return table(spark, d, name).select(key.alias("k"), F.col(value).alias("v"))
+
+    customers = others("customer", F.lit(1_000_000_000) + F.col("c_custkey"), "c_mktsegment")
+    current = works(F.col("p_size") > 30, "x").unionByName(others("supplier", -F.col("s_suppkey"), "s_name"))
+    wanted = works(F.col("p_retailprice") > 1500, "y").unionByName(customers).unionByName(others("orders", F.lit(2_000_000_000) + F.col("o_orderkey"), "o_orderstatus"))
+    return current, works(F.col("p_size") > 40, "x").unionByName(customers), wanted
 
 
 @query(
@@ -434,10 +432,7 @@ def audit_deltas(spark, d):
     return diff.metric_deltas(report(orders.where(F.year("o_orderdate") < 1998)), report(orders))
 
 
-_WORD = r"(^|[^\p{L}\p{N}])(%s)($|[^\p{L}\p{N}])"
-
-
-@query(f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{_WORD % 'nc|nd|non-?commercial|all rights reserved'}') THEN 'blocked' WHEN regexp_matches(lower(text), '{_WORD % 'public domain|cc0|cc by|apache license|gnu general public license'}') THEN 'open' ELSE 'unknown' END AS licence FROM documents")
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{T.RESTRICTED}') THEN 'blocked' WHEN regexp_matches(lower(text), '{T.FREE}') THEN 'open' ELSE 'unknown' END AS licence FROM documents")
 def licence_status(spark, d):
     """Licence assessment of whole texts."""
     return table(spark, d, "documents").select("doc_id", T.licence_status("text").alias("licence"))
@@ -462,11 +457,9 @@ def title_years(spark, d):
     """
 )
 def ranked_counts(spark, d):
-    """Values by count, ties by name. One row per value is numbered."""
-    from pyspark.sql import Window as W
-
-    counts = rollup.count_by(table(spark, d, "part"), "p_type")
-    return counts.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "value")))
+    """Values by count, ties by name, numbered over all tasks."""
+    counts = rollup.count_by(table(spark, d, "part"), "p_type").withColumn("less", -F.col("n"))
+    return select.numbered(counts, "less", "value", start=1).select("value", "n", F.col("number").cast("int").alias("place"))
 
 
 @query("SELECT p_partkey, CAST(list_contains(string_split(p_name, ' '), 'old') AS INTEGER) AS old, CAST(len(list_filter(list_append(string_split(p_name, ' '), p_type), lambda t: t IN ('red', 'blue', 'ECONOMY'))) AS INTEGER) AS hits FROM part")

@@ -8,22 +8,11 @@ from pyspark.sql import types as Ty
 
 from curatrix.functions import text as T
 from curatrix.operators import rollup
+from curatrix.plans.registry import registry
 from curatrix.sources.files import table
 from curatrix.streaming import library
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with SQL that gives the same rows where there is some."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def as_mutations(events):

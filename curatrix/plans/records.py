@@ -7,22 +7,11 @@ from pyspark.sql import functions as F
 from curatrix.functions import rules as R
 from curatrix.functions import text as T
 from curatrix.operators import ranking, resolve
+from curatrix.plans.registry import registry
 from curatrix.plans.serving import part_tags
 from curatrix.sources.files import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with SQL that gives the same rows where there is some."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand AS creator, array_to_string(list_append(string_split(p_name, ' '), p_type), ',') AS tags FROM part")
@@ -113,18 +102,33 @@ def listing_scores(spark, d):
 
 
 def _short(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 40").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("score"), F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_suppkey", "l_extendedprice").alias("tie"), (F.col("l_returnflag") == "R").alias("is_external"))
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("score"), F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_suppkey", "l_extendedprice").alias("tie"), (F.col("l_returnflag") == "R").alias("is_external"))
     once = ranking.short_lists(rows, "l_suppkey", "l_partkey", "score", "tie", F.col("is_external"))
     return once.select("l_suppkey", "l_partkey", "rank")
 
 
-@query()
+_SHORT = """
+    r AS (SELECT l_suppkey, l_partkey, CAST(l_quantity AS BIGINT) AS score, l_orderkey * 8 + l_linenumber AS id, l_extendedprice AS price, l_returnflag = 'R' AS ext FROM lineitem),
+    once AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, id, l_suppkey, price) = 1),
+    k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, id, l_suppkey, price) AS place FROM once),
+    w AS (SELECT *, max(CAST(place <= 3 AND ext AS INTEGER)) OVER (PARTITION BY l_suppkey) AS has, min(CASE WHEN ext THEN place END) OVER (PARTITION BY l_suppkey) AS nxt FROM k),
+    short AS (SELECT l_suppkey, l_partkey, CAST(least(place, 3) AS INTEGER) AS rank FROM w WHERE CASE WHEN has = 0 AND nxt IS NOT NULL THEN place < 3 OR place = nxt ELSE place <= 3 END)
+"""
+
+
+@query(f"WITH {_SHORT} SELECT l_suppkey, l_partkey, rank FROM short")
 def short_lists(spark, d):
     """Per owner the best three candidates, each file used once, with one external if there is any."""
     return _short(spark, d)
 
 
-@query()
+@query(
+    f"""
+    WITH {_SHORT}, o AS (SELECT l_suppkey, l_partkey AS override FROM short WHERE rank = 2 AND l_suppkey % 2 = 0),
+    p AS (SELECT short.l_suppkey, l_partkey, row_number() OVER (PARTITION BY short.l_suppkey ORDER BY CASE WHEN l_partkey = override THEN 0 ELSE 1 END, rank) AS rn FROM short LEFT JOIN o ON o.l_suppkey = short.l_suppkey)
+    SELECT l_suppkey, max(CASE WHEN rn = 1 THEN l_partkey END) AS selected, max(CASE WHEN rn = 2 THEN l_partkey END) AS alternate FROM p WHERE rn <= 2 GROUP BY l_suppkey
+    """
+)
 def final_decisions(spark, d):
     """Per owner the chosen candidate and the alternate, overrides first."""
     short = _short(spark, d)

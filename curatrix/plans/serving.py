@@ -8,21 +8,10 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
 from curatrix.operators import resolve, retrieval, select
+from curatrix.plans.registry import registry
 from curatrix.sources.files import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with SQL that gives the same rows where there is some."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def part_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -135,23 +124,23 @@ def random_window(spark, d):
     return select.page(parts.where("bucket >= 2500").select("p_partkey", "p_brand", "bucket"), "bucket", "p_partkey", size=30)
 
 
-_SCORE = """CASE WHEN {t} = '' THEN 0.0 WHEN {t} = '{q}' THEN 1.0 WHEN starts_with({t}, '{q}') THEN 0.94 WHEN list_contains(string_split(lower({f}), ' '), '{q}') THEN 0.88 WHEN contains({t}, '{q}') THEN 0.78 ELSE 0.0 END"""
+_SCORE = """CASE WHEN {t} = '' THEN 0.0 WHEN {t} = '{p}' THEN 1.0 WHEN starts_with(lower({f}), '{q}') OR starts_with({t}, '{p}') THEN 0.94 WHEN contains(lower({f}), '{q}') THEN 0.88 WHEN contains({t}, '{p}') THEN 0.78 ELSE 0.0 END"""
 
 
 def _score_sql(field: str, queries: list[str]) -> str:
-    plain = f"regexp_replace(lower({field}), '[ #,.-]+', '', 'g')"
-    return "greatest(" + ", ".join(_SCORE.format(t=plain, f=field, q=q) for q in queries) + ")"
+    plain = f"regexp_replace(lower({field}), '[ _,.:/()-]', '', 'g')"
+    return "greatest(" + ", ".join(_SCORE.format(t=plain, f=field, q=q, p=q.replace(" ", "").replace("-", "")) for q in queries) + ")"
 
 
 @query(
     f"""
-    WITH s AS (SELECT p_partkey, round(100 * {_score_sql('p_name', ['ring', 'widget'])} + 30 * {_score_sql('p_type', ['ring', 'widget'])} + 10 * {_score_sql('p_brand', ['ring', 'widget'])}, 4)::DOUBLE AS score FROM part)
+    WITH s AS (SELECT p_partkey, round(100 * {_score_sql('p_name', ['ri-ng', 'widget', 'd r'])} + 30 * {_score_sql('p_type', ['ri-ng', 'widget', 'd r'])} + 10 * {_score_sql('p_brand', ['ri-ng', 'widget', 'd r'])}, 4)::DOUBLE AS score FROM part)
     SELECT p_partkey, score FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 40
     """
 )
 def search_rank(spark, d):
     """Ranked search with an alias group over weighted fields."""
-    variants = retrieval.expanded("ring", [["ring", "widget"]])
+    variants = retrieval.expanded("ri-ng", [["ring", "widget", "d r"]])[:1] + ["widget", "d r"]
     found = retrieval.ranked(table(spark, d, "part"), variants, {"p_name": 100.0, "p_type": 30.0, "p_brand": 10.0})
     return found.select("p_partkey", "score").orderBy(F.desc("score"), "p_partkey").limit(40)
 
@@ -164,9 +153,10 @@ def search_rank(spark, d):
 )
 def search_terms(spark, d):
     """The inverted index of word beginnings over whole texts, measured per document: distinct words, and distinct
-    beginnings of up to three letters."""
-    terms = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[0-9a-z]+"), F.lit(0))).alias("w"))
-    return terms.groupBy("doc_id").agg(F.count_distinct("w").alias("words"), F.count_distinct(F.substring("w", 1, 3)).alias("starts"))
+    beginnings of up to three letters. Counted where the text lies."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[0-9a-z]+"), F.lit(0)))
+    counted = table(spark, d, "documents").select("doc_id", words.alias("w")).where(F.size("w") > 0)
+    return counted.select("doc_id", F.size("w").cast("long").alias("words"), F.size(F.array_distinct(F.transform("w", lambda x: F.substring(x, 1, 3)))).cast("long").alias("starts"))
 
 
 @query(
@@ -182,7 +172,13 @@ def index_terms(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[0-9a-z]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[0-9a-z]+'), 'from') AND list_contains(regexp_extract_all(lower(text), '[0-9a-z]+'), 'with')")
 def search_and(spark, d):
-    """Documents that have all words of a query, through the inverted index."""
+    """Documents that have all words of a query, found in one scan."""
+    return table(spark, d, "documents").where(retrieval.has_all_words("text", ["the", "from", "with"])).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE len(list_intersect(regexp_extract_all(lower(text), '[0-9a-z]+'), ['the', 'from', 'with'])) = 3")
+def search_index(spark, d):
+    """The same through an inverted index of (term, document)."""
     index = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[0-9a-z]+"), F.lit(0)))).alias("term"))
     return retrieval.matching_all(index, ["the", "from", "with"])
 
@@ -229,7 +225,18 @@ def capped_per_key(spark, d):
     return select.capped_per_key(lines, ["l_suppkey"], 5, F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey").drop("l_extendedprice")
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE r AS (SELECT p_partkey, p_type, p_brand, p_name, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part),
+    t AS (
+        SELECT p_type, rn, p_partkey, p_brand, p_name, true AS take, [p_brand] AS brands, [p_name] AS names FROM r WHERE rn = 1
+        UNION ALL
+        SELECT p_type, rn, p_partkey, p_brand, p_name, ok, CASE WHEN ok THEN list_append(brands, p_brand) ELSE brands END, CASE WHEN ok THEN list_append(names, p_name) ELSE names END
+        FROM (SELECT r.*, t.brands, t.names, len(list_filter(t.brands, lambda b: b = r.p_brand)) < 3 AND len(list_filter(t.names, lambda n: n = r.p_name)) < 4 AS ok FROM t JOIN r ON r.p_type = t.p_type AND r.rn = t.rn + 1)
+    )
+    SELECT p_partkey, p_type, p_brand, p_name FROM t WHERE take
+    """
+)
 def greedy_two_caps(spark, d):
     """Per type, works by price under caps of 3 per brand and 4 per name."""
     parts = table(spark, d, "part").withColumn("cheapness", -F.col("p_retailprice"))
@@ -262,16 +269,29 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(T.link_targets("html")).alias("link"))
 
 
-@query()
+def _stripped(x: str) -> str:
+    for pattern, flags in ((r"<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "gis"), ("<[^>]*>", "gs")):
+        x = f"regexp_replace({x}, '{pattern}', ' ', '{flags}')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({x}, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}\\x{{FEFF}}]+', ' ', 'g'))"
+
+
+@query(
+    f"""
+    WITH a AS (SELECT page_id, html, list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda x: {_stripped('x')}), lambda x: x <> '') AS l FROM pages)
+    SELECT page_id, {_stripped('html')} AS text, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS links, {_stripped("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading FROM a
+    """
+)
 def page_text(spark, d):
     """Visible text of pages, anchors' texts, first heading."""
-    return table(spark, d, "pages").select("page_id", T.strip_html("html").alias("text"), T.link_texts("html").alias("links"), T.strip_html(T.first_match("html", "(?is)<h1[^>]*>(.*?)</h1>")).alias("heading"))
+    return table(spark, d, "pages").select("page_id", T.strip_html("html").alias("text"), F.array_join(T.link_texts("html"), "|").alias("links"), T.strip_html(T.first_match("html", "(?is)<h1[^>]*>(.*?)</h1>")).alias("heading"))
 
 
 @query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_3' OR lower(s_name) LIKE '%0000042%'")
 def creator_facets(spark, d):
     """Creators matching a controlled id or, by alias, a text."""
-    rows = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     return rows.where((F.col("n_name") == "NATION_3") | retrieval.has_any("s_name", ["0000042"])).select("s_suppkey", "s_name", "n_name")
 
 

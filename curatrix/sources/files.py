@@ -10,7 +10,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -59,20 +58,16 @@ def object_listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where(F.element_at(F.split("path", "/"), -1).rlike(pattern))
 
 
-def latest_per_key(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """Of each key the first row in the given order."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-
-
 def upserted(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Current rows with those of ``changes`` put in place or added; ``changes`` has one row per key."""
     return current.join(changes, keys, "left_anti").unionByName(changes)
 
 
 def inserted_if_absent(current: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Current rows and those of ``rows`` whose key is new; of repeated new keys one is taken."""
-    return current.unionByName(rows.dropDuplicates(keys).join(current, keys, "left_anti"))
+    """Current rows and those of ``rows`` whose key is new; of repeated new keys the smallest row is taken."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*") if rest else rows.distinct()
+    return current.unionByName(first.join(current, keys, "left_anti"))
 
 
 def without(current: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,10 +86,57 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")).agg(F.count("*").alias("n")).where("n > 1 OR key = ''")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder. Only a local session (tests) may go without one and gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="curatrix-")
+    return folder
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes the path when the session's JVM ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """The rows written once to the session's shared folder and read again; cuts the lineage of iterative jobs."""
+    """The rows written once to the session's shared folder and read again; cuts the lineage of iterative jobs. The files
+    go when the session's JVM ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="curatrix-")
-    path = f"{folder}/staged/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or a pattern of paths has anything."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+
+
+def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not be there: then no rows."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def published(df: DataFrame, path: str) -> None:
+    """Writes beside the path and puts it in place by renaming, so that readers see the old files or all of the new. What
+    stood there before is deleted only after the new files are complete."""
+    spark = df.sparkSession
+    fresh = f"{path}.{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    old, new = jvm.Path(path), jvm.Path(fresh)
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        away = jvm.Path(f"{path}.{uuid.uuid4().hex}.old")
+        fs.rename(old, away)
+        fs.rename(new, old)
+        fs.delete(away, True)
+    else:
+        fs.rename(new, old)

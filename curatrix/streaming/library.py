@@ -7,14 +7,14 @@ There is no expiry: late mutations are merged, only those dated too far in the f
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.sources.files import staged
+from curatrix.sources.files import exists, shared_folder
 
 #: How far in the future a mutation's clock may be.
 TOLERANCE = "24 hours"
@@ -28,7 +28,9 @@ def split_future(mutations: DataFrame, now: Column, tolerance: str = TOLERANCE)
 
 
 def latest_state(mutations: DataFrame) -> DataFrame:
-    """user_id, item_id, updated_at, deleted, event_id of the last writer; on equal times a deletion wins."""
+    """user_id, item_id, updated_at, deleted, event_id of the last writer. On equal times a deletion wins; of two equal in
+    that too the larger event_id, where a store that sees one at a time would keep whichever came first. So the state
+    doesn't depend on the order of arrival."""
     last = F.max(F.struct("updated_at", "deleted", "event_id")).alias("s")
     return mutations.groupBy(*ITEM).agg(last).select(*ITEM, "s.updated_at", "s.deleted", "s.event_id")
 
@@ -75,18 +77,28 @@ def chunks(rows: DataFrame, keys: list[str], order: str, size: int = 500) -> Dat
     return rows.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1) / size).cast("long"))
 
 
+STATE = "user_id long, item_id string, updated_at timestamp, deleted boolean, event_id long"
+
+
+def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state that a stream's batches have left under its checkpoint; empty before the first."""
+    path = f"{checkpoint}/state"
+    return latest_state(spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(path)) if exists(spark, f"{path}/*") else spark.createDataFrame([], STATE)
+
+
 def stream_state(mutations: DataFrame, checkpoint: str, publish: Callable[[DataFrame], None]) -> None:
-    """Runs all that is available of a stream of mutations in micro-batches; each batch is merged into the state,
-    which is written once per batch, and ``publish`` gets the state's last version. Replayed batches change nothing."""
-    held: dict[str, DataFrame] = {}
+    """Runs all that is available of a stream of mutations in micro-batches, and ``publish`` gets the state. A batch adds
+    its own last writers to the state's folder under the checkpoint, in a place named by its number, so a batch that is
+    replayed puts the same rows in the same place; merging happens on reading. A restart goes on from the offsets and the
+    state of the same checkpoint, whether or not there is news."""
+    spark = mutations.sparkSession
 
-    def merge(batch: DataFrame, _: int) -> None:
-        held["state"] = staged(merged_state(held.get("state"), batch))
+    def merge(batch: DataFrame, number: int) -> None:
+        latest_state(batch).select("user_id", "item_id", "updated_at", "deleted", "event_id").write.mode("overwrite").parquet(f"{checkpoint}/state/batch-{number:012d}")
 
     query = mutations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    if "state" in held:
-        publish(held["state"])
+    publish(stored_state(spark, checkpoint))
 
 
 def windowed_counts(events: DataFrame, at: str, late: str = "1 hour", width: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -97,10 +109,5 @@ def windowed_counts(events: DataFrame, at: str, late: str = "1 hour", width: str
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="curatrix-stream-") if not shared else None
-    if folder:
-        return folder
-    import uuid
-
-    return f"{shared}/streams/{uuid.uuid4().hex}"
+    """A new place for a stream's checkpoint."""
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"

@@ -58,6 +58,14 @@ def test_text(spark, expr, values, want):
 def test_more_text(spark):
     assert one(spark, T.dedupe_key, "The Night", "") == ""
     assert one(spark, T.dedupe_key, "The Night", "A. B") == "a b|night"
+    turner = one(spark, T.dedupe_key, "The Fighting Temeraire", "Joseph Mallord William Turner")
+    assert turner == "joseph mallord william turner|fighting temeraire"
+    assert one(spark, T.dedupe_key, "The Fighting Temeraire", "约瑟夫·马洛德·威廉·透纳（Joseph Mallord William Turner，1775—1851）") == turner
+    assert one(spark, T.dedupe_key, "The Fighting Temeraire", "Joseph Mallord William Turner (British, 1775–1851)") == turner
+    assert one(spark, T.dedupe_title, "Café") == "cafe" == one(spark, T.dedupe_title, "Cafe") and one(spark, T.dedupe_title, "La Nuit") == "la nuit"
+    assert one(spark, T.dedupe_artist, "Paul Cézanne\nFrench, 1839-1906") == "paul cezanne"
+    for text, status in (("Copyrighted free use", "blocked"), ("CC BY-ND 4.0", "blocked"), ("Creative Commons Zero", "open"), ("PD-old", "open"), ("https://creativecommons.org/licenses/by/4.0", "open"), ("cc by", "unknown")):
+        assert one(spark, T.licence_status, text) == status
     assert one(spark, T.similarity, "kitten", "sitting") == pytest.approx(0.5714)
     assert one(spark, U.absolute_url, "../b", "http://x.y/a/c") == "http://x.y/b"
     assert one(spark, lambda x: T.attributes(x), '<a href="u" title="t" HREF="v">') == {"href": "u", "title": "t"}
@@ -76,6 +84,25 @@ def test_round_robin_and_caps(spark):
     assert sorted(r.id for r in got) == [0, 1, 2, 3]
 
 
+def test_greedy_caps_against_a_loop(spark):
+    import random
+
+    random.seed(5)
+    rows = [(i, random.choice(["g", "h", None]), random.choice([1, 2, None]), random.choice("abc")) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, x long, y string")
+    want, used = [], {}
+    for i, g, x, y in rows:
+        keys = [(g, "x", x), (g, "y", y)]
+        if used.get(keys[0], 0) < 3 and used.get(keys[1], 0) < 2:
+            want.append(i)
+            for k in keys:
+                used[k] = used.get(k, 0) + 1
+    assert sorted(r.id for r in select.greedy_under_caps(df, "g", {"x": 3, "y": 2}, "id").collect()) == want
+    nulls = spark.createDataFrame([(i, None, 1) for i in range(6)] + [(9, 1.0, 1)], "id long, g double, x long")
+    assert sorted(r.id for r in select.greedy_under_caps(nulls, "g", {"x": 2}, "id").collect()) == [0, 1, 9]
+    assert select.greedy_under_caps(nulls.limit(0), "g", {"x": 2}, "id").count() == 0
+
+
 def test_numbers_and_islands(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
     assert all(r.number == r.v + 5 for r in select.numbered(df, "v", start=5).collect())
@@ -95,8 +122,12 @@ def tuple_row(r):
 def test_search_ladder(spark):
     df = spark.createDataFrame([(1, "Sun"), (2, "Sunrise"), (3, "The Sun"), (4, "Midsunday"), (5, "Moon"), (6, None)], "id long, title string")
     got = retrieval.ranked(df, ["sun"], {"title": 10.0}).orderBy(F.desc("score"), "id").collect()
-    assert [(r.id, r.score) for r in got] == [(1, 10.0), (2, 9.4), (3, 8.8), (4, 7.8)]
+    assert [(r.id, r.score) for r in got] == [(1, 10.0), (2, 9.4), (3, 8.8), (4, 8.8)]
+    df = spark.createDataFrame([(1, "Old S-un"), (2, "s u n set"), (3, "Mr. Sun-rise")], "id long, title string")
+    assert [(r.id, r.score) for r in retrieval.ranked(df, ["sun"], {"title": 10.0}).orderBy("id").collect()] == [(1, 7.8), (2, 9.4), (3, 8.8)]
     assert retrieval.expanded("sun", [["sunlight", "sol"], ["moon"]]) == ["sun", "sunlight", "sol"]
+    assert retrieval.expanded(" s-un ", [["Sun", "SOL", "sol"]]) == ["s-un", "Sun", "SOL"]
+    assert retrieval.expanded(" ", [["a"]]) == []
 
 
 def test_containment_counts_only_single_ids(spark):
@@ -106,6 +137,22 @@ def test_containment_counts_only_single_ids(spark):
     assert {(r.k, r.alias) for r in resolve.longest_contained(texts, "k", "t", index).collect()} == {(1, "van gogh"), (2, "van gogh")}
 
 
+def test_containment_knows_short_aliases_and_uncertain_texts(spark):
+    index = resolve.alias_index(spark.createDataFrame([("a", ["梵高", "x"]), ("b", ["莫奈作品"])], "id string, n array<string>"), "id", F.col("n"))
+    texts = spark.createDataFrame([(1, "梵高的星夜"), (2, "疑似梵高"), (3, "梵高与莫奈作品"), (4, "莫奈"), (5, "Unknown, x")], "k long, t string")
+    assert [(r.k, r.id) for r in resolve.uniquely_contained(texts, "k", "t", index).collect()] == [(1, "a")]
+    assert {(r.k, r.alias) for r in resolve.longest_contained(texts, "k", "t", index).collect()} == {(1, "梵高"), (2, "梵高"), (3, "莫奈作品"), (5, "x")}
+    assert resolve.longest_contained(texts, "k", "t", index.limit(0)).count() == 0
+    assert one(spark, lambda x: U.lookup_text(x), "Cézanne, P. (1839)") == "cezannep1839"
+
+
+def test_found_creator_takes_exact_then_longest(spark):
+    index = resolve.alias_index(spark.createDataFrame([("vg", ["vincent van gogh", "梵高"]), ("m", ["claude monet"]), ("g", ["gogh"])], "id string, n array<string>"), "id", F.col("n"))
+    texts = spark.createDataFrame([(1, "梵高 (Vincent van Gogh)"), (2, "After Claude Monet"), (3, "Monet"), (4, "Van Gogh"), (5, "nobody"), (6, None)], "k long, t string")
+    got = {r.k: (r.id, r.found_by) for r in resolve.found_creator(texts, "k", "t", index).collect()}
+    assert got == {1: ("vg", "exact"), 2: ("m", "contained"), 3: ("m", "contained"), 4: ("vg", "contained")}
+
+
 def test_similar_names_lose_no_pair(spark):
     import itertools
     import random
@@ -134,11 +181,18 @@ def test_similar_names_lose_no_pair(spark):
 
 
 def test_channel_modes(spark):
-    links = spark.createDataFrame([("f", i, 1) for i in range(8)] + [("c", i, i % 4) for i in range(9)] + [("m", 1, 1), ("m", 2, 2)], "ch string, item long, who long")
-    got = {r.ch: r for r in rollup.channel_policy(rollup.channel_stats(links, "ch", "item", "who")).collect()}
-    assert (got["f"].mode, got["c"].mode, got["m"].mode) == ("focus", "cross", "mixed")
-    assert got["f"].eligible and got["c"].eligible and not got["m"].eligible
-    assert got["c"].top_creator == 0 and got["m"].top_share == 0.5
+    links = spark.createDataFrame([("f", i, 1) for i in range(8)] + [("c", i, i % 4) for i in range(9)] + [("m", 1, 1), ("m", 2, 2)] + [("two", i, i % 2) for i in range(8)], "ch string, item long, who long")
+    stats = rollup.channel_stats(links, "ch", "item", "who")
+    got = {r.ch: r for r in rollup.channel_policy(stats).collect()}
+    assert {c: (r["mode"], r.scope, r.diversity_ready, r.eligible, r.status) for c, r in got.items()} == {
+        "f": ("artist_focus", 1, True, True, "published"),
+        "c": ("cross_artist", None, True, True, "published"),
+        "m": ("cross_artist", None, False, False, "long_tail"),
+        "two": ("cross_artist", None, False, False, "published"),
+    }
+    assert got["c"].top_creator == 0 and got["m"].top_share == 0.5 and got["c"].top_share == 0.3333
+    forced = rollup.channel_policy(stats, F.when(F.col("ch") == "two", 9)).where("ch = 'two'").first()
+    assert (forced["mode"], forced.scope, forced.eligible) == ("artist_focus", 9, True)
 
 
 def test_transition_and_violations(spark):
@@ -166,6 +220,44 @@ def test_library_merge_is_idempotent_and_keeps_tombstones(spark):
     assert {(r.item_id, r.total) for r in library.total_counts(library.device_counts(rows)).collect()} == {("a", 4), ("b", None)}
 
 
+def test_stream_state_goes_on_after_a_restart(spark, tmp_path):
+    folder, checkpoint, seen = f"{tmp_path}/in", f"{tmp_path}/checkpoint", []
+
+    def run():
+        stream = spark.readStream.schema(MUTATIONS).parquet(folder)
+        library.stream_state(stream, checkpoint, lambda state: seen.append(sorted((r.user_id, r.item_id, r.deleted) for r in state.collect())))
+        return seen[-1]
+
+    mutations(spark, [(1, 1, "a", "x", 5, False, 2), (2, 1, "a", "x", 6, True, 2)]).write.mode("append").parquet(folder)
+    assert run() == [(1, "a", True)]
+    mutations(spark, [(3, 2, "b", "x", 1, False, 1), (4, 1, "a", "y", 3, False, 1)]).write.mode("append").parquet(folder)
+    assert run() == [(1, "a", True), (2, "b", False)]
+    assert run() == [(1, "a", True), (2, "b", False)]
+
+
+def test_shared_folder_is_needed_off_local_mode(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        files.shared_folder(Cluster())
+
+
+def test_published_tables_are_replaced_whole(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    files.published(spark.range(3), path)
+    files.published(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and len(list(tmp_path.iterdir())) == 1
+    assert files.optional_table(spark, path, "id long").count() == 5 and files.optional_table(spark, f"{path}-none", "id long").count() == 0
+
+
 def test_monotone_clock(spark):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     rows = spark.createDataFrame([(1, 1, at(10)), (2, 1, at(10)), (3, 1, at(5)), (4, 1, at(30))], "id long, u long, t timestamp")
@@ -200,7 +292,9 @@ def test_keyed_changes(spark):
     assert rows(files.without(a, b, ["k"])) == [(1, "x")]
     assert rows(files.inserted_if_absent(a, b, ["k"])) == [(1, "x"), (2, "y"), (3, "z")]
     assert files.repeated_keys(a.union(a.limit(1)).withColumn("id", F.when(F.col("k") < 2, F.col("k"))), "id").count() == 2
-    assert rows(files.latest_per_key(a.union(b.where("v IS NOT NULL")), ["k"], F.desc("v"))) == [(1, "x"), (2, "y"), (3, "z")]
+    assert rows(select.first_per_key(a.union(b.where("v IS NOT NULL")), ["k"], F.desc("v"))) == [(1, "x"), (2, "y"), (3, "z")]
+    twice = b.union(spark.createDataFrame([(3, "a")], b.schema))
+    assert rows(files.inserted_if_absent(a, twice, ["k"])) == [(1, "x"), (2, "y"), (3, "a")]
 
 
 def test_schemas_parse(spark):
