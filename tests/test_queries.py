@@ -5,12 +5,12 @@ import decimal
 import duckdb
 import pytest
 
-from curatrix.plans import governance, library, records, serving
+from curatrix.plans import checks, governance, library, records, serving, shapes
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = serving.QUERIES | records.QUERIES | governance.QUERIES | library.QUERIES
-SQL = serving.SQL | records.SQL | governance.SQL | library.SQL
+QUERIES = serving.QUERIES | records.QUERIES | governance.QUERIES | library.QUERIES | shapes.QUERIES | checks.QUERIES
+SQL = serving.SQL | records.SQL | governance.SQL | library.SQL | shapes.SQL | checks.SQL
 
 
 @pytest.fixture(scope="module")
