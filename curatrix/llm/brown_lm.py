@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ UNITS, ENDINGS, ENDING, CLASSES, ROUNDS = 1 << 14, 1 << 12, 3, 64, 8
 #: Weights of the lower order in the class bigram and trigram, units per group of the exchange step, groups that add up a
 #: range first.
 MU2, MU3, RANGE, SALTS = 20.0, 50.0, 256, 32
-#: Tokens worked on at once inside a task, sparse counts added up at once, words of a row of the vocabulary.
-TOKENS, CELLS, LISTED = 1 << 20, 1 << 22, 1 << 16
+#: Tokens worked on at once inside a task, sparse counts added up at once, words of a row of the vocabulary, levels of counts.
+TOKENS, CELLS, LISTED, LEVELS = 1 << 20, 1 << 22, 1 << 16, 4096
 END = b""
 FOLDS, HELD = 7, 2
 
@@ -122,13 +123,37 @@ def _count_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from _vocabulary_rows(shard, total)
 
 
-def _most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each row of the vocabulary that may be among the UNITS most frequent."""
+def _level(n: np.ndarray) -> np.ndarray:
+    """Counts in steps of about one percent."""
+    return np.minimum(np.floor(np.log2(n.astype(np.float64)) * 64).astype(np.int64), LEVELS - 1)
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(LEVELS, np.int64)
     for row in runs(batches):
-        words, n = unpack_words(row["words"]), unpack(row["n"]).astype(np.int64)
-        least = np.partition(n, len(n) - UNITS)[len(n) - UNITS] if len(n) > UNITS else 0
-        at = [i for i in np.flatnonzero(n >= least).tolist() if words[i] != END]
-        yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at], pa.binary()), pa.array(n[at], pa.int64())], names=["word", "n"])
+        seen += np.bincount(_level(unpack(row["n"])), minlength=LEVELS)
+    at, n = _sparse(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+
+def _from_level(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in runs(batches):
+            words, n = unpack_words(row["words"]), unpack(row["n"]).astype(np.int64)
+            at = [i for i in np.flatnonzero(_level(n) >= least).tolist() if words[i] != END]
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at], pa.binary()), pa.array(n[at], pa.int64())], names=["word", "n"])
+
+    return run
+
+
+def most_frequent(vocabulary: DataFrame) -> list[bytes]:
+    """The UNITS most frequent words, ties to the lesser. How many words there are of each level of counts tells which
+    levels to look at, so tasks send no more than the words of these, whatever their number."""
+    words = _collected(vocabulary.select("n").mapInArrow(_levels, "cell int, n long"), LEVELS)
+    upto = np.cumsum(words[::-1])
+    least = LEVELS - 1 - int(np.searchsorted(upto, UNITS + 1))
+    rows = vocabulary.select("words", "n").mapInArrow(_from_level(max(least, 0)), "word binary, n long")
+    return [bytes(r["word"]) for r in rows.orderBy(F.desc("n"), "word").limit(UNITS).select("word").collect()]
 
 
 def _parts(row: dict) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -240,10 +265,11 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-12))
 
 
-def best_classes(owner: np.ndarray, cell: np.ndarray, n: np.ndarray, mine: np.ndarray, pairs: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+def best_classes(owner: np.ndarray, cell: np.ndarray, n: np.ndarray, mine: np.ndarray, pairs: np.ndarray, held: bool = False, step: int = 1 << 14) -> np.ndarray:
     """The class with the largest gain for each item. ``owner`` (ascending), ``cell`` (side x class) and ``n`` are the
     items' sparse contexts, ``mine`` their classes, ``pairs`` the class pair counts. An item counts in ``pairs`` already:
-    for its own class the gain is what leaving it would lose."""
+    for its own class the gain is what leaving it would lose. With ``held`` only classes that have words are open: an
+    empty one would look best to all items at once."""
     table = np.concatenate([pairs, pairs.T])  # neighbour on the left, on the right
     known, sums = _xlogx(table), np.stack([pairs.sum(axis=0), pairs.sum(axis=1)])
     gain = np.zeros((len(mine), N_CLASSES))
@@ -262,6 +288,8 @@ def best_classes(owner: np.ndarray, cell: np.ndarray, n: np.ndarray, mine: np.nd
         cost[row, mine] = _xlogx(sums[side])[mine] - _xlogx(np.maximum(sums[side][mine] - size[:, 0], 0))
         gain -= cost
     gain[:, 0] = -np.inf
+    if held:
+        gain[:, sums[0] == 0] = -np.inf
     best = gain.argmax(axis=1)
     return np.where((mine > 0) & (gain[row, best] > gain[row, mine] + 1e-9), best, mine)
 
@@ -402,7 +430,7 @@ class _Shard:
         mine = class_of[frequent.of_words(self.words)].astype(np.int64)
         if self.keys:
             key, n = _added(self.keys, self.counts)
-            mine = best_classes(key // SIDES, key % SIDES, n, mine, pairs)
+            mine = best_classes(key // SIDES, key % SIDES, n, mine, pairs, held=True)
         return mine
 
 
@@ -569,8 +597,19 @@ def word_classes(word_rows: DataFrame, vocabulary: DataFrame, docs: DataFrame, f
     return by_shard(met, shards, "block", "kind").mapInArrow(_exchange_words(sc.broadcast((frequent, class_of, pairs))), CLASSED)
 
 
-def scored(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document."""
+class Trained(NamedTuple):
+    """Blocks of documents with counts and classes of their words, the vocabulary with its classes, the model, and what
+    gives a word that is not in the vocabulary its class."""
+
+    state: DataFrame
+    classed: DataFrame
+    model: Model
+    frequent: Frequent
+    class_of: np.ndarray
+
+
+def trained(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> Trained:
+    """Counts, classes and model from all documents outside the held-out fold; the blocks hold every document."""
     sc = docs.sparkSession.sparkContext
     plain = texts(docs, id_col, text_col)
     shards = shard_count(plain)
@@ -578,8 +617,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_c
     word_rows, kept = parts.where(F.col("kind") == WORDS), parts.where(F.col("kind") == DOCS)
     vocabulary = written(by_shard(word_rows.select("shard", "words", "marked"), shards).mapInArrow(_count_shards, VOCABULARY))
     total = vocabulary.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice")]).first()
-    top = vocabulary.select("words", "n").mapInArrow(_most, "word binary, n long").orderBy(F.desc("n"), "word").limit(UNITS).select("word").collect()
-    frequent = Frequent([bytes(r["word"]) for r in top])
+    frequent = Frequent(most_frequent(vocabulary))
     coded = kept.select("block", "ids", "flags", "sizes", "codes", "shards", "marks")
     class_of = clustered(coded, frequent, rounds)
     classed = written(word_classes(word_rows, vocabulary, coded, frequent, class_of, shards))
@@ -589,7 +627,12 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_c
     state = written(grouped(kept.select("block", "ids", "flags", "sizes", "codes", "shards"), shards).cogroup(grouped(known, shards)).applyInArrow(_joined, STATE))
     cells = _collected(state.mapInArrow(_trigrams, "cell int, n long"), N_CLASSES**3)
     types = _collected(classed.mapInArrow(_types, "cell int, n long"), N_CLASSES)
-    model = Model(cells, types, total["once"], total["twice"], total["tokens"], total["types"])
-    rows = state.mapInArrow(_scores(sc.broadcast(model)), SCORES)
+    return Trained(state, classed, Model(cells, types, total["once"], total["twice"], total["tokens"], total["types"]), frequent, class_of)
+
+
+def scored(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document."""
+    got = trained(docs, rounds, id_col, text_col)
+    rows = got.state.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(got.model)), SCORES)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
-    return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "n_tokens", "n_known", F.lit(total["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
+    return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "n_tokens", "n_known", F.lit(got.model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))

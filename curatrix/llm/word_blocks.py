@@ -116,9 +116,10 @@ def _builder(split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, b
     return build
 
 
-#: Bytes of text per shard, and bounds of the number of shards. More than the upper bound would leave hardly a word of a
-#: block to each; a shard's rows stream, so that then only its reading takes longer.
-SHARD_BYTES, SHARDS = 8 << 20, (8, 1 << 16)
+#: Bytes of text per shard, bounds of the number of shards, and shards per task, so that tasks are alike. More shards than
+#: the upper bound would leave hardly a word of a block to each; a shard's rows stream, so that then only its reading
+#: takes longer.
+SHARD_BYTES, SHARDS, TASK = 2 << 20, (32, 1 << 16), 4
 
 
 def shard_count(docs: DataFrame) -> int:
@@ -129,12 +130,12 @@ def shard_count(docs: DataFrame) -> int:
 
 def by_shard(rows: DataFrame, shards: int, *order: str) -> DataFrame:
     """Rows of a shard in one task, shards one after the other."""
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", *order)
+    return rows.repartition(shards // TASK, "shard").sortWithinPartitions("shard", *order)
 
 
 def grouped(rows: DataFrame, shards: int):
     """Rows by block; as many tasks as the texts need."""
-    return rows.repartition(shards, "block").groupBy("block")
+    return rows.repartition(shards // TASK, "block").groupBy("block")
 
 
 def blocks(docs: DataFrame, split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, block_bytes: int = BLOCK_BYTES, mark: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest_data import SF, read
 
@@ -40,6 +41,112 @@ def test_lm_base_is_exact_and_model_is_better(spark):
     assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
 
 
+def brute_lm(got, docs):
+    """log10 probability of each text, token by token, from the words' classes alone."""
+    from curatrix.llm.word_blocks import unpack, unpack_words
+
+    class_of, k = {}, brown_lm.N_CLASSES
+    for r in got.classed.collect():
+        class_of |= dict(zip(unpack_words(r.words), unpack(r.classes).tolist(), strict=True))
+    tokens = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]) for i, t in docs]
+    new = sorted({w for _, ws in tokens for w in ws} - set(class_of))
+    class_of |= dict(zip(new, got.class_of[got.frequent.of_words(new)].tolist(), strict=True)) if new else {}
+    count, three, pair, one = Counter(), Counter(), Counter(), Counter()
+    for i, ws in tokens:
+        if remainder(i, 7) != 2:
+            count.update(ws)
+            cs = [0, 0, *(class_of[w] for w in ws)]
+            three.update(zip(cs, cs[1:], cs[2:], strict=False))
+    for (a, b, c), n in three.items():
+        pair[b, c] += n
+        one[c] += n
+    before, before2 = Counter(), Counter()
+    for (a, b, _), n in three.items():
+        before2[a, b] += n
+        before[b] += n
+    types = Counter(class_of[w] for w in count)
+    once, twice = sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values())
+    discount = min(max(once / (once + 2 * twice), 0.05), 0.95)
+    used = [c for c in range(k) if one[c]]
+    whole = sum(one[c] + 1 for c in used)
+
+    def p_class(a, b, c):
+        unigram = (one[c] + 1) / whole if one[c] else 0.0
+        bigram = (pair[b, c] + brown_lm.MU2 * unigram) / (before[b] + brown_lm.MU2)
+        return (three[a, b, c] + brown_lm.MU3 * bigram) / (before2[a, b] + brown_lm.MU3)
+
+    out = []
+    for i, ws in tokens:
+        a = b = 0
+        total = 0.0
+        for w in ws:
+            c = class_of[w]
+            if count[w]:
+                total += math.log10(p_class(a, b, c) * (count[w] - (discount if c else 0)) / one[c])
+            else:
+                total += math.log10(sum(p_class(a, b, x) * discount * types[x] / one[x] for x in used if x))
+            a, b = b, c
+        out.append((str(i), round(total, 6)))
+    return sorted(out)
+
+
+def test_lm_scores_against_brute_force(spark):
+    docs = spark.createDataFrame(read("documents", "doc_id", "text")[:60], "doc_id long, text string")
+    got = brown_lm.trained(docs, rounds=2)
+    rows = got.state.mapInArrow(brown_lm._scores(spark.sparkContext.broadcast(got.model)), brown_lm.SCORES).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in rows) == brute_lm(got, [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_rare_words_have_classes_of_their_own(spark, monkeypatch):
+    # rare words of one ending: those with a stand where the p words do, behind x, those with b where the q words do
+    monkeypatch.setattr(brown_lm, "UNITS", 22)
+    rng = np.random.default_rng(3)
+
+    def step(k):
+        return f"{'xy'[k]} {'pq'[k]}{rng.integers(0, 10)}" if rng.random() < 0.8 else f"{'xy'[k]} {'ab'[k]}{rng.integers(0, 30)}zzz"
+
+    text = " ".join(step(k) for k in rng.integers(0, 2, 6000).tolist())
+    docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+    from curatrix.llm.word_blocks import unpack, unpack_words
+
+    class_of = {}
+    for r in brown_lm.trained(docs).classed.collect():
+        class_of |= dict(zip(unpack_words(r.words), unpack(r.classes).tolist(), strict=True))
+    kinds = {k: {c for w, c in class_of.items() if w.startswith(k.encode())} for k in "abpq"}
+    assert len(class_of) == 83 and kinds["a"] <= kinds["p"] and kinds["b"] <= kinds["q"] and not kinds["p"] & kinds["q"]
+
+
+def test_exchange_finds_the_best_class():
+    # gains against all likelihoods computed anew
+    rng = np.random.default_rng(8)
+    k = brown_lm.N_CLASSES
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-12)), 0)
+    pairs = rng.poisson(3.0, (k, k)).astype(float)
+    owner, cell, n, mine = [], [], [], []
+    for item in range(6):
+        a = int(rng.integers(1, k))
+        left = [c for c in rng.choice(k, 4, replace=False).tolist() if c != a]
+        right = [c for c in rng.choice(k, 4, replace=False).tolist() if c != a]
+        for side, found in ((0, left), (1, right)):
+            for c in sorted(found):
+                owner.append(item), cell.append(side * k + c), n.append(2)
+                pairs[(c, a) if side == 0 else (a, c)] += 2
+        mine.append(a)
+    owner, cell, n, mine = (np.array(x) for x in (owner, cell, n, mine))
+    got = brown_lm.best_classes(owner, cell, n, mine, pairs)
+    for item in range(6):
+        def likelihood(to, item=item):
+            p = pairs.copy()
+            for c, x in zip(cell[owner == item].tolist(), n[owner == item].tolist(), strict=True):
+                at, new = ((c, mine[item]), (c, to)) if c < k else ((mine[item], c - k), (to, c - k))
+                p[at] -= x
+                p[new] += x
+            return f(p).sum() - f(p.sum(axis=0)).sum() - f(p.sum(axis=1)).sum()
+
+        values = [-np.inf, *(likelihood(c) for c in range(1, k))]
+        assert values[got[item]] >= max(values) - 1e-6 * abs(max(values)) or abs(values[got[item]] - max(values)) < 1.0
+
+
 def test_lm_odd_rows(spark, odd_docs):
     check_lm(brown_lm.scored(odd_docs, rounds=2).collect(), [(r.doc_id, r.text) for r in odd_docs.collect()])
     assert brown_lm.scored(odd_docs.limit(0), rounds=1).count() == 0
@@ -132,6 +239,21 @@ def test_surrogates_of_a_used_up_form_are_dealt_anew(spark):
     assert all(re.fullmatch(r"[a-z-]+@[a-z-]\.co", r.surrogate) for r in got if r.kind == "email")
 
 
+def test_surrogates_against_brute_force(spark):
+    import hashlib
+
+    def swapped(kind, value, attempt=0):
+        h = hashlib.sha512("\u0001".join([pii_surrogates.KEY, kind, value, str(attempt)]).encode()).hexdigest()
+        byte = lambda k: int(h[(2 * k) % 126 : (2 * k) % 126 + 2], 16)
+        return "".join(str(byte(k) % 10) if c.isdigit() else "abcdefghijklmnopqrstuvwxyz"[byte(k) % 26].upper() if "A" <= c <= "Z" else "abcdefghijklmnopqrstuvwxyz"[byte(k) % 26] if "a" <= c <= "z" else c for k, c in enumerate(value))
+
+    values = [("ssn", f"{i:03d}-45-{i * 7:04d}") for i in range(40)] + [("code", f"Ab{i}-xY") for i in range(10, 30)]
+    got = {(r.kind, r.value): r.surrogate for r in pii_surrogates.surrogates(spark.createDataFrame(values, "kind string, value string")).collect()}
+    first = {(k, v): swapped(k, v) for k, v in values}
+    unique = [x for x, s in first.items() if list(first.values()).count(s) == 1 and (x[0], s) not in first]
+    assert len(unique) > 50 and all(got[x] == first[x] for x in unique)
+
+
 def test_surrogate_key_of_the_session(spark):
     text = [(1, "mail Anna.B7@mail7.example.com")]
     before = surrogate_rows(spark, text)[1].text
@@ -194,12 +316,48 @@ def test_classifiers_odd_rows(spark, odd_docs, scored):
     assert scored(odd_docs.limit(0), labels).count() == 0
 
 
-def test_labels_of_held_out_rows_are_not_used(spark):
+@pytest.mark.parametrize("scored,column,n,rest", [(knn_quality.scored, "quality", 3, 1), (toxicity.scored, "toxic", 5, 0)])
+def test_labels_of_held_out_rows_are_not_used(spark, scored, column, n, rest):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    swapped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(doc_id AS STRING)) % 3 = 1 THEN 1 - quality ELSE quality END AS quality", "toxic")
+    swapped = labels.withColumn(column, F.expr(f"CASE WHEN crc32(CAST(doc_id AS STRING)) % {n} = {rest} THEN 1 - {column} ELSE {column} END"))
     key = lambda df: sorted((r.doc_id, round(r.score, 9)) for r in df.collect())
-    assert key(knn_quality.scored(docs, labels)) == key(knn_quality.scored(docs, swapped))
+    assert key(scored(docs, labels)) == key(scored(docs, swapped))
+
+
+def test_quality_votes_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = knn_quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    words_of, symbols = knn_quality._Memo(knn_quality._word_columns), knn_quality._Memo(knn_quality._symbol)
+    want = []
+    for i, text in read("documents", "doc_id", "text"):
+        counts = knn_quality.term_counts(text or "", words_of, symbols)
+        score = model.prior
+        if counts.any():
+            mine = model.latent(counts[None, :])[0]
+            near = sorted(((round(float(mine @ v), 4), y) for v, y in zip(model.vectors, model.labels.tolist(), strict=True)), reverse=True)
+            near = [(max(c, 0) ** 4, y) for c, y in near if c >= near[min(knn_quality.NEIGHBOURS, len(near)) - 1][0]]
+            score = sum(w * y for w, y in near) / sum(w for w, _ in near) if sum(w for w, _ in near) else model.prior
+        want.append(score)
+    got = {r.doc_id: r.score for r in knn_quality.scored(docs, None, model=model).collect()}
+    # cosines may round either way where they are near the middle of two values
+    assert np.mean([abs(got[i] - w) < 0.02 for (i, _), w in zip(read("documents", "doc_id", "text"), want, strict=True)]) > 0.97
+
+
+def test_toxic_scores_against_brute_force(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{LARGER}/labels.parquet"))
+    few = docs.where("doc_id < 60")
+    got = {r.doc_id: r.score for r in toxicity.scored(few, None, model=model).collect()}
+    words, xs, ys = toxicity._Words(model.lexicon), list(model.calibration.boundaries), list(model.calibration.predictions)
+
+    from pyspark.ml.linalg import Vectors
+
+    for r in few.collect():
+        x = Vectors.dense(toxicity.features(r.text or "", words))
+        margin = 2 * sum(w * t.predict(x) for w, t in zip(model.trees.treeWeights, model.trees.trees, strict=True))
+        # the margin of boosted trees is their weighted sum; its raw prediction is twice that in this library
+        assert min(abs(got[r.doc_id] - np.interp(m, xs, ys)) for m in (margin, margin / 2)) < 1e-6
 
 
 def test_toxic_features():
@@ -268,6 +426,48 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in pieces} == set(kept[3])
 
 
+def test_pipeline_stages_take_odd_rows(spark, odd_docs):
+    odd = odd_docs.withColumn("found", F.lit(1)).withColumn("label", F.lit("x")).withColumn("features", F.lit(2)).withColumn("key", F.lit(3)).withColumn("__id", F.lit(4))
+    key = lambda df: Counter(map(str, df.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        assert not key(out) - key(odd), name
+        none = stage(spark, odd.limit(0), SF)
+        assert none.columns == odd.columns and none.count() == 0, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, odd, SF)
+    assert pieces.where("start = 0").count() == odd.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), SF).count() == 0
+
+
+def test_tables_go_when_asked(spark):
+    import os
+
+    from curatrix.llm import common
+
+    kept = common.written(spark.range(3))
+    place = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 3 and os.path.isdir(place)
+    assert common.drop_tables(spark) >= 1 and not os.path.isdir(place)
+
+
+def test_tables_need_a_shared_folder_off_local_mode(spark):
+    from curatrix.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("C", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})())
+
+    with pytest.raises(ValueError):
+        common.checkpoint_dir(Session())
+
+
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
