@@ -100,6 +100,20 @@ def drop_tables(spark: SparkSession) -> int:
     return n
 
 
+def one_of_each(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, in its own columns, that ``gone`` doesn't name by id or by id and hash of the text; of rows
+    repeated in all columns one. Only rows whose id occurs again can be repeated, so all others stay where they are, as far
+    as the optimiser sends out the ids. Columns travel in a struct, so none can clash."""
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"))
+    kept = rows.join(gone, [c for c in ("doc_id", "raw") if c in gone.columns], "left_anti")
+    again = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")))
+    if again.isEmpty():
+        return kept.select("row.*")
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    return kept.join(again, same, "left_anti").select("row").unionByName(kept.join(again, same, "left_semi").select("row").dropDuplicates()).select("row.*")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()

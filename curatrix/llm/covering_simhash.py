@@ -10,9 +10,10 @@ an exact way that has no large groups: a fingerprint and its one-bit neighbours
 can share one, and two of them share one exactly if they differ in at most two bits (so this way holds for radius 2,
 and, with the fingerprint alone as key, 0).
 
-Defined cases: null text counts as empty; texts without words have fingerprint zero and link like any other; rows with
-a null id keep their row and don't count for component ids; repeated rows fall into one component; an empty table
-gives an empty result; other columns are ignored.
+Defined cases: null text counts as empty; texts without words have fingerprint zero and link like any other; a very long
+text counts whole; a bit set in just half of the hashes is not set; rows with a null id keep their row and don't count
+for component ids; repeated rows fall into one component; an empty table gives an empty result; other columns, of
+whatever names, are ignored, and ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import texts, written
+from curatrix.llm.common import one_of_each, texts, written
 from curatrix.llm.graph import components
 
 RADIUS, SHINGLE, BLOCK = 2, 3, 256
@@ -140,7 +141,6 @@ def hex_print(fp) -> "F.Column":
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with its smallest doc_id stays, and of rows
-    repeated in all columns one. Rows without an id stay."""
-    marked = near_duplicates(docs, radius, width).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(marked, "doc_id", "left_anti").select(docs.columns).dropDuplicates()
+    """The documents without near-duplicates: of each component the rows of its smallest doc_id stay, and of rows repeated
+    in all columns one. Rows without an id stay."""
+    return one_of_each(docs, near_duplicates(docs, radius, width).where("doc_id <> component_id").select("doc_id").distinct())
