@@ -86,9 +86,8 @@ def attributes(tag: Column | str) -> Column:
     """Map of the quoted attributes of one tag; of a repeated one the first counts."""
     pairs = F.regexp_extract_all(col(tag), F.lit(r'([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*"[^"]*"'), F.lit(0))
     names = F.transform(pairs, lambda p: F.lower(F.regexp_extract(p, r"^([^=\s]+)", 1)))
-    values = F.transform(pairs, lambda p: F.regexp_extract(p, r'"([^"]*)"', 1))
-    first = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda e, i: F.array_position(names, e["n"]) == i + 1)
-    return F.map_from_arrays(F.transform(first, lambda e: e["n"]), F.transform(first, lambda e: e["v"]))
+    both = F.transform(pairs, lambda p: F.struct(F.lower(F.regexp_extract(p, r"^([^=\s]+)", 1)).alias("n"), F.regexp_extract(p, r'"([^"]*)"', 1).alias("v")))
+    return F.map_from_entries(F.filter(both, lambda e, i: F.array_position(names, e["n"]) == i + 1))
 
 
 def host(url: Column | str) -> Column:

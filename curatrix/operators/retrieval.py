@@ -97,6 +97,11 @@ def section(df: DataFrame, kind: str, value: str, columns: dict[str, str]) -> Da
     return df.where(F.array_contains(columns.get(kind, columns["tag"]), value))
 
 
+def by_key(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key; the comparison reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
 def unseen(existing: DataFrame, incoming: DataFrame, key: str, order: str, limit: int) -> DataFrame:
     """The first incoming rows whose key isn't there yet."""
     return incoming.join(existing.select(key).distinct(), key, "left_anti").orderBy(order).limit(limit)

@@ -111,3 +111,31 @@ def windowed_counts(events: DataFrame, at: str, late: str = "1 hour", width: str
 def checkpoint_folder(spark: SparkSession) -> str:
     """A new place for a stream's checkpoint."""
     return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+
+
+#: Form of a device's id, longest id of an item, most views that one device may report.
+DEVICE, LONGEST_ID, MOST_VIEWS = "(?i)^dev_[a-z0-9_-]{8,76}$", 180, 1_000_000
+
+
+def checked_mutations(rows: DataFrame, now: Column, tolerance: str = TOLERANCE) -> DataFrame:
+    """Adds ``problem``, null for valid mutations: a device's or an item's id of the wrong form, or a time that is missing or
+    too far ahead. Ids are trimmed and cut, counts bounded, a deletion is one only if it says so."""
+    item = F.substring(F.trim("item_id"), 1, LONGEST_ID)
+    bad_item = F.coalesce((item == "") | item.rlike(r"[\x00-\x1f\x7f]"), F.lit(True))
+    late = ~F.coalesce(F.col("updated_at") <= now + F.expr(f"INTERVAL {tolerance}"), F.lit(False))
+    problem = F.when(~F.coalesce(F.trim("device_id").rlike(DEVICE), F.lit(False)), "device").when(bad_item, "item").when(late, "time")
+    count = F.least(F.greatest(F.coalesce("device_count", F.lit(0)), F.lit(0)), F.lit(MOST_VIEWS))
+    return rows.withColumn("problem", problem).withColumn("item_id", item).withColumn("deleted", F.coalesce("deleted", F.lit(False))).withColumn("device_count", count)
+
+
+def compacted(spark: SparkSession, checkpoint: str) -> None:
+    """Merges what a stream's batches have left into one table, between two runs. The merged rows are in place before the
+    old ones go, and merging them again changes nothing."""
+    state = stored_state(spark, checkpoint)
+    whole = f"{checkpoint}/state/merged-{uuid.uuid4().hex}"
+    state.write.parquet(whole)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(whole).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for x in fs.listStatus(jvm.Path(f"{checkpoint}/state")):
+        if x.getPath().getName() != whole.rsplit("/", 1)[-1]:
+            fs.delete(x.getPath(), True)

@@ -5,12 +5,12 @@ import decimal
 import duckdb
 import pytest
 
-from curatrix.plans import checks, enrich, governance, library, records, serving, shapes
+from curatrix.plans import checks, enrich, governance, library, records, serving, shapes, transfers
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = serving.QUERIES | records.QUERIES | governance.QUERIES | library.QUERIES | shapes.QUERIES | checks.QUERIES | enrich.QUERIES
-SQL = serving.SQL | records.SQL | governance.SQL | library.SQL | shapes.SQL | checks.SQL | enrich.SQL
+QUERIES = serving.QUERIES | records.QUERIES | governance.QUERIES | library.QUERIES | shapes.QUERIES | checks.QUERIES | enrich.QUERIES | transfers.QUERIES
+SQL = serving.SQL | records.SQL | governance.SQL | library.SQL | shapes.SQL | checks.SQL | enrich.SQL | transfers.SQL
 
 
 @pytest.fixture(scope="module")

@@ -103,3 +103,43 @@ def test_accounts_and_visibility(spark):
     works, patches = rows(spark, [(1, "a"), (2, "b")], "id long, v string"), rows(spark, [(1, "c", 0)], "id long, v string, previous int")
     assert [tuple(r) for r in release.released_works(works, patches, "id", "v1").collect()] == [(1, "c", "v1")]
     assert [r.id for r in release.unpatched(works, patches, "id").collect()] == [2]
+
+
+def test_mutations_are_checked(spark):
+    import datetime
+
+    from curatrix.streaming import library
+
+    at = datetime.datetime(2024, 1, 1)
+    rows_ = [("dev_abcdefgh", " i ", at, None, 5), ("dev_short", "i", at, True, -1), ("dev_abcdefgh", "a\tb", at, False, 10**9), ("dev_abcdefgh", "i", None, False, None), (None, "i", at, False, 1), ("dev_abcdefgh", "x" * 300, at, False, 1)]
+    got = library.checked_mutations(rows(spark, rows_, "device_id string, item_id string, updated_at timestamp, deleted boolean, device_count long"), F.lit(at)).collect()
+    assert [r.problem for r in got] == [None, "device", "item", "time", "device", None]
+    assert (got[0].item_id, got[0].deleted, got[1].device_count, got[2].device_count, len(got[5].item_id)) == ("i", False, 0, 1_000_000, 180)
+
+
+def test_compacted_state_is_the_same(spark, tmp_path):
+    from curatrix.streaming import library
+
+    state = "user_id long, item_id string, updated_at timestamp, deleted boolean, event_id long"
+    for k in range(3):
+        rows(spark, [(1, "a", None, False, k), (k, "b", None, True, k)], state).write.parquet(f"{tmp_path}/c/state/batch-{k}")
+    before = sorted(map(str, library.stored_state(spark, f"{tmp_path}/c").collect()))
+    library.compacted(spark, f"{tmp_path}/c")
+    assert sorted(map(str, library.stored_state(spark, f"{tmp_path}/c").collect())) == before
+    assert len(list((tmp_path / "c" / "state").iterdir())) == 1
+
+
+def test_one_key_reaches_the_scan(spark):
+    from curatrix.operators import retrieval
+
+    found = retrieval.by_key(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), "p_partkey", 42)
+    assert "PushedFilters: [IsNotNull(p_partkey), EqualTo(p_partkey,42)]" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_and_terms_need_no_shuffle(spark):
+    from curatrix.plans import serving
+
+    for name in ("search_and", "search_terms", "licence_status"):
+        plans = serving.QUERIES
+        if name in plans:
+            assert "Exchange" not in plans[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
