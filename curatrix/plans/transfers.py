@@ -112,8 +112,8 @@ def cleaned_fields(spark, d):
 )
 def absolute_links(spark, d):
     """Links of pages as whole addresses, and the attributes of their first tag."""
-    pages = table(spark, d, "pages").withColumn("tag", F.regexp_extract("html", "<html [^>]*>", 0))
-    links = pages.select("page_id", "url", T.attributes("tag")["lang"].alias("lang"), F.explode(T.link_targets("html")).alias("link"))
+    pages = table(spark, d, "pages").withColumn("tag", F.regexp_extract("html", "<html [^>]*>", 0)).withColumn("lang", T.attributes("tag")["lang"])
+    links = pages.select("page_id", "url", "lang", F.explode(T.link_targets("html")).alias("link"))
     return links.select("page_id", "link", U.absolute_url("link", "url").alias("target"), "lang")
 
 
