@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import SEPARATORS, search_text
+from curatrix.sources.files import staged
 
 
 def has_all(array: Column | str, wanted: list[str]) -> Column:
@@ -59,16 +60,38 @@ def ranked(df: DataFrame, variants: list[str], weights: dict[str, float]) -> Dat
     return df.withColumn("score", F.round(reduce(lambda a, b: a + b, parts), 4)).where("score > 0")
 
 
+def field_text(df: DataFrame, keys: list[str]) -> Column:
+    """The values of a field's columns that the table has, lists taken apart, in one text."""
+    kinds = dict(df.dtypes)
+    known = [F.array_join(k, " ") if kinds[k].startswith("array") else F.nullif(F.col(k).cast("string"), F.lit("")) for k in keys if k in kinds]
+    return F.concat_ws(" ", *known)
+
+
+def search_corpus(df: DataFrame, key: str, fields: list[tuple[list[str], int]]) -> DataFrame:
+    """What a search reads of a table, written once for many searches: the key, and one text per field, f0, f1 and so on."""
+    return staged(df.select(key, *[field_text(df, keys).alias(f"f{i}") for i, (keys, _) in enumerate(fields)]))
+
+
+def searched(corpus: DataFrame, key: str, query: str, groups: list, fields: list[tuple[list[str], int]], skip: int = 0, size: int = 20) -> DataFrame:
+    """key, score: a page of the best matches in a corpus, ties by key; of rows with one key the best counts."""
+    variants = expanded(query, groups)
+    if not variants:
+        return corpus.select(key, F.lit(0.0).alias("score")).limit(0)
+    found = ranked(corpus, variants, {f"f{i}": float(w) for i, (_, w) in enumerate(fields)})
+    return found.groupBy(key).agg(F.max("score").alias("score")).orderBy(F.desc("score"), key).offset(skip).limit(size)
+
+
 def plain_query(query: str) -> str:
     """``search_text`` of one query."""
     return re.sub(SEPARATORS, "", query.strip().lower())
 
 
-def expanded(query: str, groups: list[list[str]]) -> list[str]:
-    """The query and the aliases of every group of which one contains it or is contained in it, separators aside; the
-    same alias in another case isn't repeated."""
+def expanded(query: str, groups: list) -> list[str]:
+    """The query and the aliases of every group of which a key contains it or is contained in it, separators aside; the
+    same alias in another case isn't repeated. A group is (keys, aliases), or one list that is both."""
     low = plain_query(query)
-    more = [a for g in groups if any(k and (k in low or low in k) for k in map(plain_query, g)) for a in g]
+    pairs = [g if isinstance(g, tuple) else (g, g) for g in groups]
+    more = [a for keys, aliases in pairs if any(k and (k in low or low in k) for k in map(plain_query, keys)) for a in aliases]
     return list({a.strip().lower(): a for a in reversed([query.strip(), *more]) if a.strip()}.values())[::-1] if query.strip() else []
 
 

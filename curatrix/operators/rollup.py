@@ -35,6 +35,17 @@ def channel_policy(stats: DataFrame, forced: Column | None = None) -> DataFrame:
     return out.withColumn("priority", F.log2(F.col("item_count") + 1) * weight)
 
 
+def created_channels(channels: DataFrame, published: Column) -> DataFrame:
+    """Channels with their policy, held back as candidates while what they are about isn't published."""
+    ok = F.coalesce(published, F.lit(False))
+    return channels.withColumn("status", F.when(ok, F.col("status")).otherwise("candidate")).withColumn("eligible", ok & F.col("eligible"))
+
+
+def listed_channels(channels: DataFrame, key: str, limit: int = 180) -> DataFrame:
+    """Published channels by priority, ties by key; 1 to 200 of them."""
+    return channels.where("status = 'published'").orderBy(F.desc("priority"), key).limit(min(max(limit, 1), 200))
+
+
 def representative_ids(counts: DataFrame, key: str, term: str, n: str, total: str, most: int = 5, least: int = 2, ratio: float = 0.1) -> DataFrame:
     """Per key the ``most`` frequent terms that are frequent enough, else its one most frequent term."""
     ok = (F.col(n) >= least) | (F.col(n) / F.col(total) >= ratio)
