@@ -194,10 +194,10 @@ def exported_tags(tags: Column | str, text: Column | str) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != ""))
 
 
-def evidence_record(df: DataFrame, *more: Column | str) -> DataFrame:
-    """A crawled work as evidence for review: where it comes from, what was read, and its image, each a struct."""
+def evidence_record(df: DataFrame, site: str, *more: Column | str) -> DataFrame:
+    """A work crawled from ``site`` as evidence for review: where it comes from, what was read, and its image, each a struct."""
     v = lambda name: _value(df, Field(name))
-    source = F.struct(F.lit("Artvee").alias("name"), v("source_url").alias("url"), v("source_record_id").alias("record_id"))
+    source = F.struct(F.lit(site).alias("name"), v("source_url").alias("url"), v("source_record_id").alias("record_id"))
     raw = F.struct(*[v(n).alias(n) for n in ("title_cn", "title_en", "artist")], v("location").alias("collection"), v("year_and_place").alias("year_text"), v("medium").alias("file_format"), v("dimensions").alias("image_pixel_dimensions"), v("license").alias("license"))
     image = F.struct(F.coalesce(F.nullif(v("image_id"), F.lit("")), F.regexp_replace(v("asset_name"), r"\.[^.]+$", "")).alias("id"), v("asset_name").alias("asset_name"), v("image_url").alias("preview_url"), v("download_url").alias("download_url"))
     return df.select(*more, F.lit(1).alias("schema_version"), F.lit("pending").alias("review_status"), F.lit("unreviewed").alias("confidence"), source.alias("source"), raw.alias("raw"), image.alias("image"))

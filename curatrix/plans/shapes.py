@@ -94,7 +94,7 @@ def client_works(spark, d):
 def evidence_records(spark, d):
     """Crawled works as evidence for review."""
     rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("https://a/"), F.col("p_partkey").cast("string")).alias("source_url"), F.col("p_name").alias("title_en"), F.col("p_type").alias("medium"), F.when(F.col("p_size") > 25, F.concat(F.lit("i"), F.col("p_partkey").cast("string"))).alias("image_id"), M.asset_name("p_size").alias("asset_name"))
-    return S.evidence_record(rows, "p_partkey").select("p_partkey", "review_status", F.col("source.url").alias("url"), F.col("raw.title_en").alias("title_en"), F.col("raw.file_format").alias("file_format"), F.col("image.id").alias("image_id"))
+    return S.evidence_record(rows, "site", "p_partkey").select("p_partkey", "review_status", F.col("source.url").alias("url"), F.col("raw.title_en").alias("title_en"), F.col("raw.file_format").alias("file_format"), F.col("image.id").alias("image_id"))
 
 
 @query("SELECT event_id, replace(replace(props, ': ', ': '), ' ', '') AS props FROM events")
