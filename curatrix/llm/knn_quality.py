@@ -16,6 +16,7 @@ whatever names, are ignored, and ``accepted`` keeps them.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,15 +48,26 @@ class _Memo(dict):
         return out
 
 
+def _form(c: str) -> str:
+    return "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
+
+
+_ASCII = str.maketrans({chr(i): _form(chr(i)) for i in range(128)})
+
+
 def _shape(word: str) -> str:
     """The word's form: letters as x or X, digits as 0, symbols as they are, runs cut to one."""
-    marks = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return _RUN.sub(r"\1", marks)
+    return _RUN.sub(r"\1", word.translate(_ASCII) if word.isascii() else "".join(map(_form, word)))
+
+
+@functools.lru_cache(maxsize=50_000)
+def _shape_column(shape: str) -> int:
+    return zlib.crc32(("shape " + shape).encode()) % MARKS
 
 
 def _word_columns(word: str) -> int:
     """The columns of the word and of its shape, as one number."""
-    return zlib.crc32(word.lower().encode()) % WORDS * MARKS + zlib.crc32(("shape " + _shape(word)).encode()) % MARKS
+    return zlib.crc32(word.lower().encode()) % WORDS * MARKS + _shape_column(_shape(word))
 
 
 def _mark(name: str) -> int:
