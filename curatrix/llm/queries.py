@@ -52,6 +52,24 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_blob_ledger, op3_slack_packing, op4_pii_surrogates, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words)}
 
 ORACLE_SQL = {
+    # a match begins behind all gaps and matches before it; without a kept ledger every blob is scanned with all six rules
+    "op2_blob_ledger": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, place, pattern, part, least) AS (VALUES
+  ('assign', 0, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 20),
+  ('hex', 2, '[0-9a-f]+', 0, 24),
+  ('pem', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1),
+  ('jwt', 4, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 0, 1),
+  ('hosting', 5, 'gh[pousr]_[A-Za-z0-9]{36,}', 0, 1)),
+f AS (SELECT rid, kind, place, least, regexp_extract_all(t, pattern) AS m, CASE WHEN part = 2 THEN regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) ELSE regexp_extract_all(t, pattern) END AS g, string_split_regex(t, pattern) AS gaps FROM d, k WHERE regexp_matches(t, pattern)),
+p AS (SELECT rid, kind, place, least, unnest(range(1, len(m) + 1)) AS i, m, g, gaps FROM f),
+s AS (SELECT rid, kind, place, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n FROM p WHERE length(g[i]) >= least),
+o AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, place) FILTER (place < 3) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, place) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob, CAST(6 AS BIGINT) AS scanned, CAST(0 AS BIGINT) AS reused
+FROM d LEFT JOIN o USING (rid)
+""",
     "op5_norm_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v

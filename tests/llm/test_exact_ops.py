@@ -28,6 +28,21 @@ def base_spans(text):
     return [(order[k], a, b) for a, k, b in sorted(found)]
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = sorted(c[0] for c in want.description)
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == names
+    want = want.df()[names].values.tolist()
+    assert sorted(tuple(map(str, r)) for r in got.select(*names).collect()) == sorted(tuple(map(str, r)) for r in want)
+
+
 def check_secrets(rows, docs):
     texts = defaultdict(list)
     for i, t in docs:
