@@ -507,5 +507,9 @@ def test_near_duplicate_stage_keeps_one_of_ordinary_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     want = brute_components(rows)
+    # the same with groups parted
+    from curatrix.llm import near_copies
+
+    assert {r.doc_id for r in near_copies.keep_one(docs, most=6).collect()} == kept
     assert len(set(want.values())) < len({t for _, t in rows})
     assert kept == set(want.values())
