@@ -83,7 +83,16 @@ def written(df: DataFrame) -> DataFrame:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     _tables.append(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = folder
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table that ``written`` has given, once nothing reads it any more."""
+    folder = df.written_at
+    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _tables.remove(folder)
 
 
 #: Tables of this process that still lie in the shared folder.
