@@ -49,12 +49,16 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def spaced(pattern: str) -> str:
+    """The pattern with \\s and \\S written out as characters of White_Space."""
+    return pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
+
+
 def splitter(pattern: str):
     """Cuts a text's bytes into pre-tokens."""
-    spaced = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
 
     def make():
-        find = regex.compile(spaced).findall
+        find = regex.compile(spaced(pattern)).findall
         return lambda data: [w.encode() for w in find(data.decode())] if not data.isascii() else [w.encode("ascii") for w in find(data.decode("ascii"))]
 
     return make

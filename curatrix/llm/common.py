@@ -22,6 +22,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def strings(column: pa.Array) -> list[str]:
+    """Texts of an Arrow column without nulls; bytes that are not UTF-8 become replacement characters."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+
+
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % F.lit(n)

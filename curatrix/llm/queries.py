@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import blob_ledger, bpe_words, brown_lm, covering_simhash, knn_quality, norm_topk, pii_surrogates, png_media, slack_packing, toxicity
+from curatrix.llm import blob_ledger, bpe_words, brown_lm, covering_simhash, knn_quality, norm_topk, pii_surrogates, png_media, slack_packing, speculative_bpe, toxicity
 from curatrix.llm.common import table
 
 
@@ -49,7 +49,11 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_blob_ledger, op3_slack_packing, op4_pii_surrogates, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words)}
+def op11_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speculative_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_blob_ledger, op3_slack_packing, op4_pii_surrogates, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words, op11_speculative_bpe)}
 
 ORACLE_SQL = {
     # a match begins behind all gaps and matches before it; without a kept ledger every blob is scanned with all six rules
