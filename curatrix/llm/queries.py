@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import blob_ledger, bpe_words, brown_lm, covering_simhash, knn_quality, norm_topk, pii_surrogates, png_media, slack_packing, speculative_bpe, toxicity, whitening
+from curatrix.llm import alignment, blob_ledger, bpe_words, brown_lm, covering_simhash, knn_quality, norm_topk, pii_surrogates, png_media, slack_packing, speculative_bpe, toxicity, whitening
 from curatrix.llm.common import table
 
 
@@ -58,7 +58,11 @@ def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_blob_ledger, op3_slack_packing, op4_pii_surrogates, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words, op11_speculative_bpe, op12_exact_whitening)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_blob_ledger, op3_slack_packing, op4_pii_surrogates, op5_norm_topk, op6_png_media, op7_boosted_toxicity, op8_covering_simhash, op9_knn_quality, op10_bpe_words, op11_speculative_bpe, op12_exact_whitening, op13_token_alignment)}
 
 ORACLE_SQL = {
     # a match begins behind all gaps and matches before it; without a kept ledger every blob is scanned with all six rules

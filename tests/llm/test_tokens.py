@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from conftest_data import SF, read
 
-from curatrix.llm import queries, speculative_bpe
+from curatrix.llm import alignment, queries, speculative_bpe
 
 ODD = ["a<|endoftext|>B  <|endoftext|>", "<|endoftext|>", "  lead", "\n b  c \t d \x1c e", "x" * 5000, "aaaaaaa " * 9, "I'll don't 'S", "漢字かな" * 400, " \xa0 　 x", "😀" * 30, "﻿ a\x00b", "1234567 89", "trail  ", "▁a <0x0A>"]
 
@@ -90,3 +90,60 @@ def test_any_text(text):
 
 
 _library = {}
+
+
+def alignment_want(docs):
+    """Rows by whole texts and dictionaries."""
+    import base64
+    from collections import Counter
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    first = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    second = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    all_links, rows = [], []
+    for i, text in docs:
+        a, b = first.encode_ordinary(f" {text or ''}"), second.encode(text or "")
+        bytes_a = [first.decode_single_token_bytes(t) for t in a]
+        bytes_b = [bytes([int(second.id_to_piece(t)[3:5], 16)]) if second.is_byte(t) else second.id_to_piece(t).replace("▁", " ").encode() for t in b]
+        whole = f" {text}".encode()
+        if not text or b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+            a = b = bytes_a = bytes_b = []
+        ends = []
+        for spelt in (bytes_a, bytes_b):
+            at, stops = 0, []
+            for t in spelt:
+                at += len(t)
+                stops.append(at)
+            ends.append(stops)
+        common = sorted(set(ends[0]) & set(ends[1]))
+        of = [dict(zip(e, ids, strict=True)) for e, ids in zip(ends, (a, b), strict=True)]
+        links = [(of[0][e], of[1][e]) for e in common]
+        groups = [tuple([t for e, t in zip(stops, ids, strict=True) if begin < e <= end] for stops, ids in zip(ends, (a, b), strict=True)) for begin, end in zip([0, *common], common, strict=False)]
+        shown = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        spans = [list(zip([0, *e], e, strict=False)) for e in ends]
+        overlaps = len(spans[0]) + len(spans[1]) - len(common) if links else 0
+        all_links.append(links)
+        rows.append([i, len(a), len(b), len(groups), len(links), hashlib.sha256(shown.encode()).hexdigest() if links else "", overlaps])
+    counts = Counter(x for links in all_links for x in links)
+    most = {}
+    for (_, b), n in counts.items():
+        most[b] = max(most.get(b, 0), n)
+    return [(*r[:5], sum(counts[x] == most[x[1]] for x in links), sum(counts[x] for x in links), *r[5:]) for r, links in zip(rows, all_links, strict=True)]
+
+
+def test_alignment_against_brute_force(spark):
+    got = sorted(map(tuple, queries.op13_token_alignment(spark, SF).collect()))
+    assert got == sorted(alignment_want(read("documents", "doc_id", "text")))
+
+
+def test_alignment_odd_rows(spark, odd_docs):
+    more = spark.createDataFrame([(50 + k, t, k) for k, t in enumerate([*ODD, "▁", "a ▁ b", "same words", "same words here"])], "doc_id long, text string, `a.b` int")
+    docs = odd_docs.unionByName(more, allowMissingColumns=True)
+    want = sorted(alignment_want([(r.doc_id, r.text) for r in docs.collect()]), key=str)
+    assert sorted(map(tuple, alignment.aligned(docs).collect()), key=str) == want
+    assert sorted(map(tuple, alignment.aligned(docs.repartition(3), block_bytes=9).collect()), key=str) == want
+    assert alignment.aligned(docs.limit(0)).count() == 0
