@@ -19,7 +19,7 @@ import functools
 import hashlib
 import itertools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ from curatrix.llm import speculative_bpe
 from curatrix.llm.common import strings, texts, written
 from curatrix.llm.word_blocks import gather, pack, unpack
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: Pieces that the libraries get at once; an encoding of theirs is much larger than its ids.
+AT_ONCE = 1 << 14
 SPACE = "▁"
 DOCS, PAIRS = 0, 1
 ROW = "kind int, block long, ids array<long>, totals binary, groups array<string>, codes binary, sizes binary, links binary, code int, a int, b int, n long"
@@ -72,9 +74,14 @@ def _second(path: str):
     return s, (np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(spelt), np.uint8)), not any(SPACE in p.lstrip(SPACE) for p in names)
 
 
-def _ragged(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return sizes, np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
+def _ragged(pieces: list[str], encode: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each piece, and all ids."""
+    sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for k in range(0, len(pieces), AT_ONCE):
+        found = encode(pieces[k : k + AT_ONCE])
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        flat.append(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+    return np.concatenate(sizes), np.concatenate(flat)
 
 
 def _spells(sizes: np.ndarray, ids: np.ndarray, table: tuple, wanted: list[bytes]) -> np.ndarray:
@@ -90,7 +97,8 @@ def _spells(sizes: np.ndarray, ids: np.ndarray, table: tuple, wanted: list[bytes
 
 def _intervals(sizes: np.ndarray, ids: np.ndarray, table: tuple) -> pa.Table:
     stop = np.cumsum(table[1][ids])
-    return pa.table({"pos": np.arange(len(ids)), "piece": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "id": ids.astype(np.int32), "start": stop - table[1][ids], "stop": stop})
+    kind = np.int32 if len(ids) and stop[-1] < 1 << 31 else np.int64
+    return pa.table({"pos": np.arange(len(ids), dtype=kind), "piece": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "id": ids, "start": (stop - table[1][ids]).astype(kind), "stop": stop.astype(kind)})
 
 
 #: Links are pairs of tokens that end together; ``part`` numbers the groups that such ends cut.
@@ -110,7 +118,7 @@ def joined(a: pa.Table, b: pa.Table, often: np.ndarray) -> dict:
     groups of both sides' tokens, and overlaps. ``often``: how often each piece occurs."""
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
     try:
         con.execute("SET enable_progress_bar = false")
         con.register("a", a)
@@ -149,8 +157,8 @@ def _block(block: int, docs: list[tuple], codes: speculative_bpe._New, path: str
     second, table_b, _ = _second(model)
     pieces = list(codes)
     wanted = [p.encode() for p in pieces]
-    size_a, ids_a = _ragged([e.ids for e in first.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else [])
-    size_b, ids_b = _ragged(second.encode([p[1:] for p in pieces], num_threads=1) if pieces else [])
+    size_a, ids_a = _ragged(pieces, lambda some: [e.ids for e in first.encode_batch_fast(some, add_special_tokens=False)])
+    size_b, ids_b = _ragged(pieces, lambda some: second.encode([p[1:] for p in some], num_threads=1))
     good = _spells(size_a, ids_a, table_a, wanted) & _spells(size_b, ids_b, table_b, wanted)
     docs = [(i, c if good[c].all() else c[:0]) for i, c in docs]
     every = np.concatenate([c for _, c in docs])
