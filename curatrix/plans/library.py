@@ -9,7 +9,7 @@ from pyspark.sql import types as Ty
 from curatrix.functions import text as T
 from curatrix.operators import rollup
 from curatrix.plans.registry import registry
-from curatrix.sources.files import table
+from curatrix.sources.files import is_folder, table
 from curatrix.streaming import library
 
 QUERIES, SQL, query = registry()
@@ -60,13 +60,7 @@ def library_stream(spark, d):
 
 def _stream_path(spark, d: str) -> str:
     """A stream reads folders: the table if it is one, else its parent narrowed to the table's name."""
-    return f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events*"
-
-
-def _is_folder(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    return f"{d}/events.parquet" if is_folder(spark, f"{d}/events.parquet") else f"{d}/events*"
 
 
 @query("SELECT event_id, CASE WHEN ts <= TIMESTAMP '2024-01-20 00:00:00' + INTERVAL 24 HOUR THEN 'kept' ELSE 'future' END AS verdict FROM events")
