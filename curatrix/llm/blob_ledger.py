@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import checkpoint_dir, texts
+from curatrix.llm.common import checkpoint_dir, strings, texts
 
 
 class Rule(NamedTuple):
@@ -62,10 +62,10 @@ def _scanner(rules: tuple[Rule, ...]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("version", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
         for batch in batches:
-            blobs, contents, pending = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            blobs, contents, pending = batch.column(0), strings(batch.column(1)), batch.column(2).to_pylist()
             found = []
             for i, todo in enumerate(pending):
-                text = contents[i].as_py()
+                text = contents[i]
                 low = text.encode("utf-8", "surrogatepass").lower()
                 found.append(
                     [
@@ -182,7 +182,7 @@ def _redact(names: list[str], text_col: str):
             dirty = [i for i, ok in enumerate(found.is_valid().to_pylist()) if ok]
             if dirty:
                 at = names.index(text_col)
-                new = columns[at].to_pylist()
+                new = [b if b is None else b.decode("utf-8", "replace") for b in columns[at].cast(pa.binary()).to_pylist()]
                 for i in dirty:
                     new[i] = _without(new[i], found[i].as_py())
                 columns[at] = pa.array(new, pa.string())

@@ -59,7 +59,7 @@ def splitter(pattern: str):
 
     def make():
         find = regex.compile(spaced(pattern)).findall
-        return lambda data: [w.encode() for w in find(data.decode())] if not data.isascii() else [w.encode("ascii") for w in find(data.decode("ascii"))]
+        return lambda data: [w.encode() for w in find(data.decode("utf-8", "replace"))] if not data.isascii() else [w.encode("ascii") for w in find(data.decode("ascii"))]
 
     return make
 

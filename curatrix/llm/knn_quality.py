@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import characters, fold, one_each, texts
+from curatrix.llm.common import characters, fold, one_each, strings, texts
 
 #: Most labelled rows used, hashed columns for words and for marks, latent dimensions, neighbours, weight of marks.
 SAMPLE, WORDS, MARKS, RANK, NEIGHBOURS, MARK_WEIGHT = 4000, 1 << 11, 1 << 9, 48, 15, 2.5
@@ -117,7 +117,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tupl
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             part = batch.slice(k, rows)
-            yield part.column(0), np.stack([term_counts(t.as_py(), words_of, symbols) for t in part.column(1)]), part
+            yield part.column(0), np.stack([term_counts(t, words_of, symbols) for t in strings(part.column(1))]), part
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,14 +226,14 @@ def scored(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS, mod
     return got.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _acceptor(shared, neighbours: int, text_at: int, least: float):
+def _acceptor(shared, neighbours: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         words_of, symbols = _Memo(_word_columns), _Memo(_symbol)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                counts = np.stack([term_counts(t.as_py() or "", words_of, symbols) for t in part.column(text_at)])
+                counts = np.stack([term_counts(t, words_of, symbols) for t in strings(part.column(1))])
                 score = model.score(counts, neighbours)
                 score[~counts.any(axis=1)] = model.prior
                 yield part.filter(pa.array(score >= least))
@@ -244,4 +244,5 @@ def _acceptor(shared, neighbours: int, text_at: int, least: float):
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, neighbours: int = NEIGHBOURS, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score is at least ``least``; scored where they lie."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col))
-    return docs.mapInArrow(_acceptor(shared, neighbours, docs.columns.index(text_col), least), docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(_acceptor(shared, neighbours, least), rows.schema).select("row.*")

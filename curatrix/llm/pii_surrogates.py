@@ -57,7 +57,7 @@ _WORD = r"\p{L}\p{N}"
 _NAME = r"[\p{Lu}\p{IsHan}](?:[\p{L}'’-]*\p{L})?"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "email": rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@[{_WORD}-]+(?:\.[{_WORD}-]+)*\.\p{{L}}{{2,}}",
+    "email": rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@(?:[{_WORD}-]++(?:\.[{_WORD}-]++)*+(?<=\.\p{{L}}{{2,63}})|[{_WORD}-]++(?:\.[{_WORD}-]++){{0,8}}\.\p{{L}}{{2,}})",
     "iban": rf"(?<![{_WORD}])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_WORD}])",
     "ip": rf"(?<![{_WORD}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![{_WORD}]|\.[0-9])",
     "card": rf"(?<![{_WORD}])(?:[0-9]{{4}}[ -]?){{3}}[0-9]{{1,7}}(?![{_WORD}])",
@@ -72,7 +72,7 @@ HINT = rf"[0-9@]|(?=[{''.join(sorted({t[0] for t in _ANY.split('|')}))}])(?:{_AN
 
 
 def _chars(x: str) -> str:
-    return f"transform(sequence(1, length({x})), i -> substr({x}, i, 1))"
+    return f"split({x}, '')"
 
 
 def _list(words: str) -> str:

@@ -133,7 +133,7 @@ class WordIds:
             self.part_ids.add(sizes, ids)
 
     def _learn(self) -> None:
-        words = [w.decode() for w in itertools.islice(self.codes, self.ids.n, None)]
+        words = [w.decode("utf-8", "replace") for w in itertools.islice(self.codes, self.ids.n, None)]
         parts: list[int] = []
         counts = np.zeros(len(words), np.int64)
         whole: dict[int, list[int]] = {}
@@ -164,7 +164,7 @@ class WordIds:
         """Ids of each text. Texts are taken together up to a size, so that new words are encoded in bulk."""
         if self.plain is None:
             for text in texts_:
-                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+                yield np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
             return
         at = 0
         while at < len(texts_):

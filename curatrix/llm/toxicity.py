@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import characters, fold, one_each, texts, written
+from curatrix.llm.common import characters, fold, one_each, strings, texts, written
 
 #: Most labelled rows used; least toxic rows of a lexicon entry; least z value; trees and their depth.
 SAMPLE, SUPPORT, SIGNIFICANT, TREES, DEPTH = 20_000, 4, 3.5, 25, 3
@@ -65,7 +65,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 64):
             part = batch.slice(k, 64)
-            got = [(t, label) for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for t in {t for w in set(text.split()) for t in terms(plain(w)[0])}]
+            got = [(t, label) for text, label in zip(strings(part.column(0)), part.column(1).to_pylist(), strict=True) for t in {t for w in set(text.split()) for t in terms(plain(w)[0])}]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())], names=["term", "label"])
 
 
@@ -143,7 +143,7 @@ def _features(lexicon: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = _Words(lexicon)
         for batch in batches:
-            got = [features(t.as_py(), words_of) for t in batch.column("text")]
+            got = [features(t, words_of) for t in strings(batch.column("text"))]
             yield batch.drop_columns(["text"]).append_column("features", pa.array(got, pa.list_(pa.float64())))
 
     return run
@@ -200,5 +200,5 @@ def scored(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_co
 
 def accepted(docs: DataFrame, labels: DataFrame, below: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score is below ``below``; scored where they lie."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return _score(fit(docs, labels, text_col=text_col), rows).where(F.col("score") < below).select("row.*")
