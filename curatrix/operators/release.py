@@ -36,10 +36,12 @@ def promoted_channels(channels: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def released_works(works: DataFrame, patches: DataFrame, key: str, version: str) -> DataFrame:
-    """Works with their patch's fields and the release's version; works without a patch are an error that the caller
-    checks for with ``unpatched``."""
+    """Works with their patch's fields and the release's version. A work without a patch stops the release: the job that
+    reads it ends in an error that names the work. ``unpatched`` lists them beforehand."""
     fields = [c for c in patches.columns if c not in (key, "previous")]
-    return works.drop("previous", "changed", *fields).join(patches.select(key, *fields), key).withColumn("release_version", F.lit(version))
+    joined = works.drop("previous", "changed", *fields).join(patches.select(key, *fields, F.lit(True).alias("__patched")), key, "left")
+    stop = F.raise_error(F.concat(F.lit("no patch for "), F.coalesce(F.col(key).cast("string"), F.lit("a work without a key"))))
+    return joined.withColumn("release_version", F.when(F.col("__patched"), F.lit(version)).otherwise(stop)).drop("__patched")
 
 
 def unpatched(works: DataFrame, patches: DataFrame, key: str) -> DataFrame:

@@ -40,7 +40,7 @@ def flattened(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
-        out.append(F.concat_ws("|", f.name).alias(f.name) if kind == "array<string>" else F.to_json(f.name).alias(f.name) if kind.startswith(("array", "struct", "map")) else F.col(f.name).cast("string").alias(f.name))
+        out.append(F.concat_ws("|", f"`{f.name}`").alias(f.name) if kind == "array<string>" else F.to_json(f"`{f.name}`").alias(f.name) if kind.startswith(("array", "struct", "map")) else F.col(f"`{f.name}`").cast("string").alias(f.name))
     return df.select(*out)
 
 
@@ -49,8 +49,13 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, windows: bool = False) -> None:
-    """CSV with a header, quotes where needed; with carriage returns for spreadsheet programs."""
-    flattened(df).write.csv(path, header=True, escape='"', lineSep="\n", emptyValue="") if not windows else flattened(df).select([F.regexp_replace(c, "\r?\n", " ").alias(c) for c in df.columns]).write.csv(path, header=True, escape='"', emptyValue="")
+    """CSV with a header, quotes where needed. For spreadsheet programs (``windows``) each file begins with a byte-order mark
+    and its lines end with carriage return and line feed, those inside fields too; read back, these are line feeds."""
+    rows = flattened(df)
+    if windows:
+        first = rows.columns[0]
+        rows = rows.select([F.regexp_replace(f"`{c}`", "\r\n", "\n").alias(c) for c in rows.columns]).withColumnRenamed(first, f"\ufeff{first}")
+    rows.write.csv(path, header=True, escape='"', lineSep="\r\n" if windows else "\n", emptyValue="")
 
 
 def object_listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -124,24 +129,64 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The Hadoop package, a path, and its file system."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = fs.Path(path)
+    return fs, place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def pointer(spark: SparkSession, path: str) -> str | None:
+    """The text of a pointer file; None before there is one."""
+    _, place, system = _hadoop(spark, path)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def point(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a pointer file in place by one rename over the old one: a reader finds the old text or the new one."""
+    fs, place, system = _hadoop(spark, path)
+    fresh = fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = system.create(fresh)
+    stream.write(text.encode())
+    stream.close()
+    kind = fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    fs.FileContext.getFileContext(place.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, place, over)
+
+
+#: The pointer of a published table, beside the folders of its versions.
+CURRENT = "_current"
+
+
+def published_path(spark: SparkSession, path: str) -> str | None:
+    """Where the files of a published table are now; None before the first."""
+    version = pointer(spark, f"{path}/{CURRENT}")
+    return version and f"{path}/{version}"
+
+
 def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that may not be there: then no rows."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    """A table that may not be there: then no rows. A published one is read where its pointer says."""
+    place = published_path(spark, path) or path
+    return spark.read.schema(schema).parquet(place) if exists(spark, place) else spark.createDataFrame([], schema)
 
 
 def published(df: DataFrame, path: str) -> None:
-    """Writes beside the path and puts it in place by renaming, so that readers see the old files or all of the new. What
-    stood there before is deleted only after the new files are complete."""
+    """Writes a new version beside the old ones and then puts it in place by its pointer, in one rename: at any time, and if
+    the writer dies at any point, readers find the old files or all of the new. The version before stays for readers that
+    have begun; older ones, and what broken writers have left, go."""
     spark = df.sparkSession
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    old, new = jvm.Path(path), jvm.Path(fresh)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        away = jvm.Path(f"{path}.{uuid.uuid4().hex}.old")
-        fs.rename(old, away)
-        fs.rename(new, old)
-        fs.delete(away, True)
-    else:
-        fs.rename(new, old)
+    before = pointer(spark, f"{path}/{CURRENT}")
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    point(spark, f"{path}/{CURRENT}", version)
+    _, place, system = _hadoop(spark, path)
+    for x in system.listStatus(place):
+        if x.getPath().getName() not in (version, before, CURRENT, f".{CURRENT}.crc"):
+            system.delete(x.getPath(), True)

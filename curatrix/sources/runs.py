@@ -1,23 +1,28 @@
 """State of long runs, kept so that a run that broke off goes on where it stopped: what was made, what was seen, and the
-next number. Each table is put in place whole (``files.published``), the mark of a running or finished run last."""
+next number. A step writes all of them under a number of its own, and one pointer file that names it is put in place last
+(``files.point``), so the three always belong together."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.sources.files import optional_table, published
+from curatrix.sources.files import _hadoop, optional_table, point, pointer
 
 SEEN = "key string"
-MARK = "status string, next_number long"
+MARK = "mark"
 
 
 def resumed(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame, int]:
     """Rows made, keys seen, and the next number of a run that is still marked as running; else a new run's."""
-    mark = optional_table(spark, f"{path}/mark", MARK).where("status = 'running'").first()
-    if mark is None:
+    mark = json.loads(pointer(spark, f"{path}/{MARK}") or "{}")
+    if mark.get("status") != "running":
         return spark.createDataFrame([], schema), spark.createDataFrame([], SEEN), 1
-    return optional_table(spark, f"{path}/rows", schema), optional_table(spark, f"{path}/seen", SEEN), mark["next_number"]
+    step = f"{path}/{mark['step']}"
+    return optional_table(spark, f"{step}/rows", schema), optional_table(spark, f"{step}/seen", SEEN), mark["next_number"]
 
 
 def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
@@ -26,19 +31,26 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def saved(path: str, rows: DataFrame, seen: DataFrame, next_number: int, status: str = "running") -> None:
-    """Puts the run's state in place. A run that breaks off in between repeats the part since the last mark."""
-    published(rows, f"{path}/rows")
-    published(seen.select("key").distinct(), f"{path}/seen")
-    published(rows.sparkSession.createDataFrame([(status, next_number)], MARK), f"{path}/mark")
+    """Puts the run's state in place. A run that breaks off before the mark repeats the step from the state before."""
+    spark, step = rows.sparkSession, f"step-{uuid.uuid4().hex}"
+    before = json.loads(pointer(spark, f"{path}/{MARK}") or "{}").get("step")
+    rows.write.parquet(f"{path}/{step}/rows")
+    seen.select("key").distinct().write.parquet(f"{path}/{step}/seen")
+    point(spark, f"{path}/{MARK}", json.dumps({"status": status, "next_number": next_number, "step": step}))
+    _, place, system = _hadoop(spark, path)
+    for x in system.listStatus(place):
+        if x.getPath().getName().startswith("step-") and x.getPath().getName() not in (step, before):
+            system.delete(x.getPath(), True)
 
 
 def advanced(spark: SparkSession, path: str, rows: DataFrame, key: str, schema: str, number: str, *order: str) -> DataFrame:
-    """One step of a run: unseen rows are numbered in order from the next number, added to what was made, and saved."""
+    """One step of a run: unseen rows are numbered in order from the next number, added to what was made, and saved. A key's
+    rows within a step are taken for one: the first in order."""
     from curatrix.operators.select import numbered
 
     made, seen, first = resumed(spark, path, schema)
-    fresh = numbered(unseen(rows, seen, key), *order, start=first).withColumnRenamed("number", number)
+    once = unseen(rows, seen, key).groupBy(key).agg(F.min(F.struct(*order, *[c for c in rows.columns if c != key and c not in order])).alias("__row")).select(key, "__row.*")
+    fresh = numbered(once, *order, start=first).withColumnRenamed("number", number)
     every = made.unionByName(fresh.select(made.columns))
-    n = fresh.count()
-    saved(path, every, seen.unionByName(fresh.select(F.col(key).cast("string").alias("key"))), first + n)
-    return spark.read.schema(schema).parquet(f"{path}/rows")
+    saved(path, every, seen.unionByName(fresh.select(F.col(key).cast("string").alias("key"))), first + fresh.count())
+    return resumed(spark, path, schema)[0]

@@ -254,7 +254,7 @@ def test_published_tables_are_replaced_whole(spark, tmp_path):
     path = f"{tmp_path}/t"
     files.published(spark.range(3), path)
     files.published(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5 and len(list(tmp_path.iterdir())) == 1
+    assert spark.read.parquet(files.published_path(spark, path)).count() == 5 and len(list(tmp_path.iterdir())) == 1
     assert files.optional_table(spark, path, "id long").count() == 5 and files.optional_table(spark, f"{path}-none", "id long").count() == 0
 
 
