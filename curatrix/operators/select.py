@@ -49,21 +49,12 @@ def diversified(df: DataFrame, key: str, order: str, seed: int) -> DataFrame:
 
 def greedy_under_caps(df: DataFrame, group: str, caps: dict[str, int], *order: str) -> DataFrame:
     """Rows of each group taken in order while none of their keys has reached its cap; null is a group, and a key, like
-    any other. ``order`` must be total.
-
-    Several caps can't be one window, and a loop over a group would be one task's. So rows are decided in rounds: a row
-    is taken if its keys would have room even were all undecided rows before it taken, and refused if those taken before
-    it have used one up. The first undecided row of a group is always decided, and as keys fill up most others follow."""
-    rows = staged(df.withColumn("__taken", F.lit(None).cast("boolean")))
-    while True:
-        sure, full = F.lit(True), F.lit(False)
-        for key, cap in caps.items():
-            before = W.partitionBy(group, key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-            taken = F.count(F.when(F.col("__taken"), 1)).over(before)
-            sure, full = sure & (taken + F.count(F.when(F.col("__taken").isNull(), 1)).over(before) < cap), full | (taken >= cap)
-        rows = staged(rows.withColumn("__taken", F.when(F.col("__taken").isNotNull(), F.col("__taken")).when(full, False).when(sure, True)))
-        if rows.where("__taken IS NULL").isEmpty():
-            return rows.where("__taken").drop("__taken")
+    any other. ``order`` must be total. Rows are numbered once and decided in rounds (``matching``), each of which reads
+    and writes only those that are still undecided."""
+    from curatrix.operators.matching import taken_in_turn
+
+    keys = {name: ([group, name], cap) for name, cap in caps.items()}
+    return taken_in_turn(numbered(df, *order).withColumnRenamed("number", "__turn"), "__turn", ["__turn"], keys)[0].drop("__turn")
 
 
 def numbered(df: DataFrame, *order: str, start: int = 0) -> DataFrame:

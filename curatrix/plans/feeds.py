@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.catalogue import SEARCH_ALIASES, SEARCH_FIELDS
 from curatrix.functions.text import unlock_rate
-from curatrix.operators import diff, retrieval, rollup, select
+from curatrix.operators import diff, matching, retrieval, rollup, select
 from curatrix.plans.registry import registry
 from curatrix.plans.serving import _SCORE
 from curatrix.sources.files import table
@@ -107,3 +107,29 @@ def review_audit(spark, d):
     missing = table(spark, d, "documents").select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("missing"))
     # one row each
     return counts.join(missing, F.lit(True)).withColumn("repeated", F.col("rows") - F.col("ids"))
+
+
+@query(
+    """
+    WITH RECURSIVE s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS turn FROM supplier),
+    c AS (SELECT turn, s_suppkey, p_partkey, p_brand, p_name, max(l_extendedprice) AS score FROM lineitem JOIN s ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+    t AS (
+        SELECT 0::BIGINT AS turn, NULL::BIGINT AS s_suppkey, NULL::BIGINT AS p_partkey, []::BIGINT[] AS items, []::VARCHAR[] AS brands, []::VARCHAR[] AS names
+        UNION ALL
+        SELECT turn, b.s, b.i, CASE WHEN b.i IS NULL THEN items ELSE list_append(items, b.i) END, CASE WHEN b.i IS NULL THEN brands ELSE list_append(brands, b.b) END, CASE WHEN b.i IS NULL THEN names ELSE list_append(names, b.n) END
+        FROM (
+            SELECT t.turn + 1 AS turn, items, brands, names, arg_min({'s': c.s_suppkey, 'i': c.p_partkey, 'b': p_brand, 'n': p_name}, (-score, c.p_partkey)) AS b
+            FROM t LEFT JOIN c ON c.turn = t.turn + 1 AND NOT list_contains(items, c.p_partkey) AND len(list_filter(brands, lambda x: x = p_brand)) < 6 AND len(list_filter(names, lambda x: x = p_name)) < 4
+            WHERE t.turn < (SELECT max(turn) FROM s) GROUP BY t.turn, items, brands, names
+        )
+    )
+    SELECT s_suppkey, p_partkey FROM t WHERE p_partkey IS NOT NULL
+    """
+)
+def best_unused(spark, d):
+    """Each supplier in turn, richest first, takes its dearest unused part, at most 6 of a brand and 4 of a name over all."""
+    turns = select.numbered(table(spark, d, "supplier").select("s_suppkey", (-F.col("s_acctbal")).alias("poor")), "poor", "s_suppkey").select("s_suppkey", F.col("number").alias("turn"))
+    offers = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).agg(F.max("l_extendedprice").alias("score"))
+    rows = offers.join(turns, "s_suppkey").join(table(spark, d, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey").withColumn("worse", -F.col("score"))
+    found, _ = matching.taken_in_turn(rows, "turn", ["worse", "p_partkey"], {"item": (["p_partkey"], 1), "brand": (["p_brand"], 6), "name": (["p_name"], 4)})
+    return found.select("s_suppkey", "p_partkey")
