@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from curatrix.operators import rule_tables
+from curatrix.operators import evidence, rule_tables
 from curatrix.operators.select import numbered
 from curatrix.plans.registry import registry
-from curatrix.sources.files import table
+from curatrix.sources import paged
+from curatrix.sources.files import delete_at_end, shared_folder, table
 
 QUERIES, SQL, query = registry()
 
@@ -60,3 +63,57 @@ def taxonomy_analysis(spark, d):
     rules = numbered(makers.union(kinds).union(things).distinct(), "o", "anchor").withColumnRenamed("number", "rank").drop("o")
     labels = parts.select("p_partkey", F.explode(F.concat(F.split("p_name", " "), F.array(F.upper("p_type"), "p_brand", F.concat_ws(" ", "p_type", "p_name")))).alias("label"))
     return rule_tables.analysis(labels, "p_partkey", "label", rules).withColumn("sample", F.array_join("sample", " "))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment, ((row_number() OVER (ORDER BY c_custkey) - 1) // 500)::INTEGER AS page FROM customer")
+def paged_read(spark, d):
+    """Customers laid out in pages of 500, read back in parallel by the paged source and cleared of repeats."""
+    path = f"{shared_folder(spark)}/paged/{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    rows = numbered(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "c_custkey").withColumn("page", F.floor(F.col("number") / 500)).drop("number")
+    rows.repartition("page").sortWithinPartitions("page", "c_custkey").write.partitionBy("page").json(path)
+    name = f"pages_{uuid.uuid4().hex}"
+    place = path if "://" in path else f"file://{path}"
+    spark.dataSource.register(paged.paged(name, paged.Folder(place), "c_custkey long, c_name string, c_acctbal double, c_mktsegment string"))
+    return paged.sound(spark.read.format(name).load(), "c_custkey").drop("place")
+
+
+@query(
+    """
+    WITH e AS (SELECT 's' || s_suppkey AS id, s_name AS label, 1900 + s_suppkey % 60 AS b, CAST(NULL AS BIGINT) AS dd, ['n' || s_nationkey] AS places, ['s' || (s_suppkey * 7 % 100), 'x' || s_suppkey] AS peers FROM supplier
+               UNION ALL SELECT 'n' || n_nationkey, n_name, NULL, NULL, ['r' || n_regionkey], [] FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, NULL, NULL, [], [] FROM region),
+    t AS (SELECT c_custkey, 's' || (c_custkey % 150) AS entity_id, 1900 + c_custkey % 60 AS birth_year FROM customer WHERE c_acctbal >= 0)
+    SELECT c_custkey AS _id, entity_id, coalesce(e.label, '') AS label, birth_year = e.b AND e.b IS NOT NULL AS birth_matches, coalesce((SELECT f.label FROM e f WHERE f.id = e.places[1]), '') AS places,
+           CASE WHEN e.id IS NULL THEN '' ELSE coalesce((SELECT f.label FROM e f WHERE f.id = e.peers[1]), '') || '|' END AS peers
+    FROM t LEFT JOIN e ON e.id = entity_id
+    """
+)
+def creator_evidence(spark, d):
+    """Evidence for customers in good standing from a table of entities: places and peers by name, years compared."""
+    none = F.array().cast("array<string>")
+    year = (F.lit(1900) + F.col("s_suppkey") % 60).alias("birth_year")
+    blank = F.lit(None).cast("long")
+    of = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    suppliers = table(spark, d, "supplier").select(of("s", "s_suppkey").alias("id"), F.col("s_name").alias("label"), year, blank.alias("death_year"), F.array(of("n", "s_nationkey")).alias("places"), F.array(F.concat(F.lit("s"), (F.col("s_suppkey") * 7 % 100).cast("string")), of("x", "s_suppkey")).alias("peers"))
+    nations = table(spark, d, "nation").select(of("n", "n_nationkey").alias("id"), F.col("n_name").alias("label"), blank.alias("birth_year"), blank.alias("death_year"), F.array(of("r", "n_regionkey")).alias("places"), none.alias("peers"))
+    regions = table(spark, d, "region").select(of("r", "r_regionkey").alias("id"), F.col("r_name").alias("label"), blank.alias("birth_year"), blank.alias("death_year"), none.alias("places"), none.alias("peers"))
+    customers = table(spark, d, "customer")
+    targets = customers.select(F.col("c_custkey").alias("_id"), F.concat(F.lit("s"), (F.col("c_custkey") % 150).cast("string")).alias("entity_id"), (F.lit(1900) + F.col("c_custkey") % 60).alias("birth_year"), blank.alias("death_year"))
+    found = evidence.evidence(targets, customers.where("c_acctbal < 0").select(F.col("c_custkey").alias("_id")), suppliers.unionByName(nations).unionByName(regions), ["places", "peers"])
+    return found.select("_id", "entity_id", "label", "birth_matches", F.array_join("places", "|").alias("places"), F.array_join("peers", "|").alias("peers"))
+
+
+@query(
+    """
+    WITH RECURSIVE e AS (SELECT 'p' || p_partkey AS id, ['p' || (p_partkey * 3), 'p' || (p_partkey + p_size)] AS refs FROM part),
+    x(id, level) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_type = 'PROMO' AND p_size > 45 UNION SELECT r, level + 1 FROM (SELECT unnest(refs) AS r, level FROM x JOIN e USING (id) WHERE level < 3))
+    SELECT id, min(level) AS level, id IN (SELECT id FROM e) AS found FROM x GROUP BY id
+    """
+)
+def reference_levels(spark, d):
+    """Works within three references of the large promotional ones, each at its first level."""
+    parts = table(spark, d, "part")
+    of = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    works = parts.select(of(F.col("p_partkey")).alias("key"), F.array(of(F.col("p_partkey") * 3), of(F.col("p_partkey") + F.col("p_size"))).alias("refs"))
+    start = parts.where("p_type = 'PROMO' AND p_size > 45").select(of(F.col("p_partkey")).alias("id"))
+    return evidence.expanded(start, works, "key", ["refs"], 3)
