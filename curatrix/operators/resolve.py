@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import similarity
+from curatrix.functions.unicode import lookup_text
 from curatrix.sources.files import staged
 
 
@@ -60,8 +61,11 @@ def is_uncertain(text: Column | str) -> Column:
 
 def uniquely_contained(texts: DataFrame, key: str, text: str, index: DataFrame, width: int = 3) -> DataFrame:
     """key, id: where all aliases that a text contains mean one single id. ``key`` names a row; uncertain texts and texts
-    of ambiguous aliases are left out."""
-    hits = _containment(texts.where(~is_uncertain(text)), key, text, index, width).select(key, F.explode("ids").alias("id"))
+    of ambiguous aliases are left out. Both sides are compared as ``lookup_text`` gives them, without marks, punctuation and
+    white space; aliases that are then the same are one."""
+    plain = texts.where(~is_uncertain(text)).select(key, lookup_text(F.col(text)).alias("__plain"))
+    folded = index.select(lookup_text(F.col("alias")).alias("alias"), F.explode("ids").alias("id")).groupBy("alias").agg(F.collect_set("id").alias("ids"))
+    hits = _containment(plain, key, "__plain", folded, width).select(key, F.explode("ids").alias("id"))
     return hits.groupBy(key).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").select(key, "id")
 
 

@@ -96,8 +96,10 @@ def expanded(query: str, groups: list) -> list[str]:
 
 
 def has_all_words(text: str, words: list[str]) -> Column:
-    """The text has every word; no index and no shuffle."""
-    return has_all(F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0)), [w.lower() for w in words])
+    """The text has every word; no index and no shuffle. Most texts fail at a plain search for the words' letters, and only
+    the others are cut into words."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a & b, [F.contains(low, F.lit(w.lower())) for w in words], F.lit(True)) & has_all(F.regexp_extract_all(low, F.lit("[0-9a-z]+"), F.lit(0)), [w.lower() for w in words])
 
 
 def matching_all(index: DataFrame, terms: list[str], key: str = "doc_id", term: str = "term") -> DataFrame:
@@ -125,6 +127,22 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
+def pointed(asked: DataFrame, rows: DataFrame, key: str, second: str, prefix: str, hidden: Column) -> DataFrame:
+    """asked, answer and the row's columns for each asked id: the row of that key, else the one whose second id is the asked
+    one without the prefix (of several the smallest key). ``answer`` tells found from hidden (then without the row) and
+    absent. Two joins by key, whatever the number of ids."""
+    wanted = asked.select("asked").where("asked IS NOT NULL AND asked <> ''").distinct()
+    told = rows.withColumn("__hidden", F.coalesce(hidden, F.lit(False)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in told.columns]).alias("__row")
+    first = wanted.join(told.select(F.col(key).alias("asked"), whole), "asked").groupBy("asked").agg(F.min("__row").alias("__row"))
+    rest = wanted.join(first, "asked", "left_anti").withColumn("__second", F.regexp_replace("asked", f"^{re.escape(prefix)}", ""))
+    other = rest.join(told.select(F.col(second).alias("__second"), F.col(key).alias("__key"), whole), "__second").groupBy("asked").agg(F.min_by("__row", "__key").alias("__row"))
+    found = wanted.join(first.unionByName(other), "asked", "left")
+    answer = F.when(F.col("__row").isNull(), "absent").when(F.col("__row.__hidden"), "hidden").otherwise("found")
+    shown = found.withColumn("answer", answer)
+    return shown.select("asked", "answer", *[F.when(F.col("answer") == "found", F.col(f"__row.`{c}`")).alias(c) for c in rows.columns])
+
+
 def unseen(existing: DataFrame, incoming: DataFrame, key: str, order: str, limit: int) -> DataFrame:
     """The first incoming rows whose key isn't there yet."""
     return incoming.join(existing.select(key).distinct(), key, "left_anti").orderBy(order).limit(limit)

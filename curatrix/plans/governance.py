@@ -64,6 +64,24 @@ def unique_containment(spark, d):
     return resolve.uniquely_contained(table(spark, d, "part"), "p_partkey", "p_name", vocabulary(spark))
 
 
+@query(
+    """
+    WITH i AS (SELECT alias, min(id) AS id FROM (SELECT p_partkey AS id, unnest(list_concat(string_split(p_name, ' '), CASE WHEN p_size % 5 = 0 THEN [p_name] ELSE [] END)) AS alias FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')) WHERE length(alias) >= 3 GROUP BY alias),
+    t AS (SELECT p_partkey, lower(p_name) AS part FROM part),
+    m AS (SELECT part, alias, id, CASE WHEN alias = part THEN 0 ELSE 1 END AS step FROM (SELECT DISTINCT part FROM t) JOIN i ON contains(part, alias) OR contains(alias, part)),
+    b AS (SELECT part, id, step FROM m QUALIFY row_number() OVER (PARTITION BY part ORDER BY step, length(alias) DESC, alias) = 1)
+    SELECT p_partkey, id, CASE WHEN step = 0 THEN 'exact' ELSE 'contained' END AS found_by FROM t JOIN b USING (part)
+    """
+)
+def found_creators(spark, d):
+    """Creators found by free text: names of works against the names, whole and by word, of three makers' works."""
+    parts = table(spark, d, "part")
+    some = parts.where(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"))
+    aliases = some.select("p_partkey", F.explode(F.concat(F.split("p_name", " "), F.when(F.col("p_size") % 5 == 0, F.array("p_name")).otherwise(F.array().cast("array<string>")))).alias("alias"))
+    index = aliases.where("length(alias) >= 3").groupBy("alias").agg(F.array(F.min("p_partkey")).alias("ids"))
+    return resolve.found_creator(parts, "p_partkey", "p_name", index)
+
+
 @query(
     f"""
     WITH v AS (SELECT alias, min(id) AS id FROM {_VOCAB_SQL} GROUP BY alias)

@@ -51,6 +51,22 @@ def published_table(spark, d):
     return files.optional_table(spark, path, "c_custkey LONG, c_name STRING").unionByName(files.optional_table(spark, f"{path}-none", "c_custkey LONG, c_name STRING"))
 
 
+@query(
+    """
+    WITH w AS (SELECT 'w' || p_partkey AS id, CASE WHEN p_size > 3 THEN CAST(p_partkey * 2 AS VARCHAR) END AS second, p_name, p_size = 7 AS gone FROM part),
+    a AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'w' || l_partkey * 2 ELSE 'artwork_' || l_partkey END AS asked FROM lineitem),
+    f AS (SELECT asked, id, p_name, gone FROM a JOIN w ON id = asked),
+    s AS (SELECT asked, min(id) AS id, arg_min(p_name, id) AS p_name, arg_min(gone, id) AS gone FROM a JOIN w ON second = regexp_replace(asked, '^artwork_', '') WHERE asked NOT IN (SELECT asked FROM f) GROUP BY asked)
+    SELECT asked, CASE WHEN r.id IS NULL THEN 'absent' WHEN gone THEN 'hidden' ELSE 'found' END AS answer, CASE WHEN NOT gone THEN r.id END AS id, CASE WHEN NOT gone THEN r.p_name END AS p_name FROM a LEFT JOIN (SELECT * FROM f UNION ALL SELECT * FROM s) r USING (asked)
+    """
+)
+def works_by_ids(spark, d):
+    """Works by their own or a second id: found, hidden or absent."""
+    works = table(spark, d, "part").select(F.concat(F.lit("w"), "p_partkey").alias("id"), F.when(F.col("p_size") > 3, (F.col("p_partkey") * 2).cast("string")).alias("second"), "p_name", (F.col("p_size") == 7).alias("gone"))
+    asked = table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 1, F.concat(F.lit("w"), (F.col("l_partkey") * 2).cast("string"))).otherwise(F.concat(F.lit("artwork_"), "l_partkey")).alias("asked"))
+    return retrieval.pointed(asked, works, "id", "second", "artwork_", F.col("gone")).select("asked", "answer", "id", "p_name")
+
+
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 42")
 def work_by_id(spark, d):
     """One work by its id."""
