@@ -130,7 +130,7 @@ def _run(docs: DataFrame, path: str | None, pattern: str | None, id_col: str, te
     path, pattern = path or default_path(), pattern or default_pattern()
     plain = texts(docs, id_col, text_col)
     shards = shard_count(plain)
-    parts = blocks(plain.withColumn("flag", F.lit(True)), splitter(pattern), shards)
+    parts = blocks(plain.withColumn("flag", F.lit(True)), splitter(pattern), shards, level=9)
     # the vocabulary bounds the table
     tokens = docs.sparkSession.sparkContext.broadcast(token_bytes(path))
     encoded = by_shard(parts.where(F.col("kind") == WORDS).select("block", "shard", "words"), shards).mapInArrow(_encode_shards(path, pattern), "block long, shard int, sizes binary, flat binary")

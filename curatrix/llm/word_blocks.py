@@ -30,12 +30,12 @@ ROW = "kind int, block long, shard int, ids array<long>, flags binary, sizes bin
 _ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("flags", "sizes", "codes", "shards", "marks", "words", "marked")]])
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 3) -> bytes:
     """Integers as compressed byte planes."""
     values = np.ascontiguousarray(values)
     width = values.dtype.itemsize
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T)
-    return values.dtype.str.encode().ljust(8) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return values.dtype.str.encode().ljust(8) + zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -71,7 +71,7 @@ class Codes(dict):
         return code
 
 
-def _block_rows(block: int, codes: Codes, docs: list[tuple], shards: int, mark) -> Iterator[pa.RecordBatch]:
+def _block_rows(block: int, codes: Codes, docs: list[tuple], shards: int, mark, level: int) -> Iterator[pa.RecordBatch]:
     words = list(codes)
     parts = [d[2] for d in docs]
     every = np.concatenate(parts) if parts else np.empty(0, np.uint32)
@@ -85,7 +85,7 @@ def _block_rows(block: int, codes: Codes, docs: list[tuple], shards: int, mark)
     shard = np.array([zlib.crc32(w) % shards for w in words], np.uint32)
     by_shard = np.argsort(shard, kind="stable")
     found, first = np.unique(shard[by_shard], return_index=True)
-    rows = [{"kind": DOCS, "block": block, "shard": -1, "ids": [d[0] for d in docs], "flags": pack(np.array([d[1] for d in docs], np.uint8)), "sizes": pack(np.array([len(p) for p in parts], np.uint32)), "codes": pack(rank[every]), "shards": pack(shard), "marks": pack(mark(words)) if mark else None}]
+    rows = [{"kind": DOCS, "block": block, "shard": -1, "ids": [d[0] for d in docs], "flags": pack(np.array([d[1] for d in docs], np.uint8)), "sizes": pack(np.array([len(p) for p in parts], np.uint32)), "codes": pack(rank[every], level), "shards": pack(shard), "marks": pack(mark(words)) if mark else None}]
     yield pa.RecordBatch.from_pylist(rows, _ARROW)
     rows = []
     edges = [*first.tolist(), len(words)]
@@ -96,7 +96,7 @@ def _block_rows(block: int, codes: Codes, docs: list[tuple], shards: int, mark)
         yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
-def _builder(split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, block_bytes: int, mark):
+def _builder(split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, block_bytes: int, mark, level: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = split()
         block, codes, docs, size = TaskContext.get().partitionId() << 24, Codes(), [], 0
@@ -108,10 +108,10 @@ def _builder(split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, b
                 docs.append((i, flag, np.fromiter(map(codes.__getitem__, words), np.uint32, len(words))))
                 size += len(text)
                 if size >= block_bytes:
-                    yield from _block_rows(block, codes, docs, shards, mark)
+                    yield from _block_rows(block, codes, docs, shards, mark, level)
                     block, codes, docs, size = block + 1, Codes(), [], 0
         if docs:
-            yield from _block_rows(block, codes, docs, shards, mark)
+            yield from _block_rows(block, codes, docs, shards, mark, level)
 
     return build
 
@@ -138,11 +138,11 @@ def grouped(rows: DataFrame, shards: int):
     return rows.repartition(shards // TASK, "block").groupBy("block")
 
 
-def blocks(docs: DataFrame, split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, block_bytes: int = BLOCK_BYTES, mark: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
+def blocks(docs: DataFrame, split: Callable[[], Callable[[bytes], list[bytes]]], shards: int, block_bytes: int = BLOCK_BYTES, mark: Callable[[list[bytes]], np.ndarray] | None = None, level: int = 3) -> DataFrame:
     """Rows of kinds DOCS and WORDS, written once to the shared folder. ``docs`` has doc_id, flag and text; ``marked``
     counts each word in the documents whose flag is set. ``split`` makes the function that cuts a text's bytes; ``mark``
-    gives numbers for a block's words, which its DOCS row keeps by code."""
-    return written(docs.select("doc_id", F.col("flag").cast("int"), "text").mapInArrow(_builder(split, shards, block_bytes, mark), ROW))
+    gives numbers for a block's words, which its DOCS row keeps by code; ``level`` is the compression of codes."""
+    return written(docs.select("doc_id", F.col("flag").cast("int"), "text").mapInArrow(_builder(split, shards, block_bytes, mark, level), ROW))
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
