@@ -56,8 +56,8 @@ def fuzzy_search(spark, d):
 
 @query(
     rf"""
-    WITH w AS (SELECT p_partkey, p_name, p_brand, p_type, list_filter(string_split_regex(lower(p_name), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+'), lambda t: t <> '') AS n FROM part),
-    f AS (SELECT p_partkey, unnest([{{'field': 'title', 'text': p_name}}, {{'field': 'artist', 'text': p_brand}}, {{'field': 'medium', 'text': p_type}}, {{'field': 'alias', 'text': array_to_string(list_concat(n, list_transform(range(1, len(n)), lambda i: n[i] || n[i + 1]), CASE WHEN len(n) > 2 THEN [array_to_string(n, '')] ELSE [] END), ' ')}}]) AS f FROM w),
+    WITH named AS (SELECT p_partkey, p_name, p_brand, p_type, list_filter(string_split_regex(lower(p_name), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+'), lambda t: t <> '') AS n FROM part),
+    f AS (SELECT p_partkey, unnest([{{'field': 'title', 'text': p_name}}, {{'field': 'artist', 'text': p_brand}}, {{'field': 'medium', 'text': p_type}}, {{'field': 'alias', 'text': array_to_string(list_concat(n, list_transform(range(1, len(n)), lambda i: n[i] || n[i + 1]), CASE WHEN len(n) > 2 THEN [array_to_string(n, '')] ELSE [] END), ' ')}}]) AS f FROM named),
     told AS (SELECT f.field AS field, p_partkey AS key, {_TERMS.format('f.text')} AS found FROM f),
     b AS (FROM (VALUES ('title', 3.0::DOUBLE), ('artist', 2.0::DOUBLE), ('medium', 1.0::DOUBLE), ('alias', 2.0::DOUBLE)) b(field, boost)),
     q AS (SELECT DISTINCT s_suppkey AS query, unnest(list_distinct({_TERMS.format("replace(p_name, ' ', '') || ' ' || substr(p_brand, 2)")})) AS asked FROM supplier JOIN part ON p_partkey = s_suppkey * 3 + 1),
