@@ -42,6 +42,15 @@ def csv_round_trip(spark, d):
     return files.csv_records(spark, path, "conv_id STRING, turn STRING, role STRING, text STRING, tags STRING")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, 'a|' || source AS tags FROM documents WHERE text <> ''")
+def spreadsheet_csv(spark, d):
+    """Whole texts with line breaks written for spreadsheet programs and read again."""
+    path = _place(spark)
+    rows = table(spark, d, "documents").where("text <> ''").select("doc_id", "lang", "text", F.array(F.lit("a"), "source").alias("tags"))
+    files.write_csv(rows, path, windows=True)
+    return files.csv_records(spark, path, "doc_id STRING, lang STRING, text STRING, tags STRING")
+
+
 @query("SELECT c_custkey, c_name FROM customer")
 def published_table(spark, d):
     """A table put in place whole, twice; a table that isn't there has no rows."""
