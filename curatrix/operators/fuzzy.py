@@ -41,8 +41,9 @@ def compact_aliases(text: Column | str) -> Column:
 
 def postings(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """term, field, key, tf, length: how often a field of a row has a term, and how many distinct terms that field has."""
-    told = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), terms(text).alias("found")) for name, text in fields.items()]))
-    rows = docs.select(F.col(key).alias("key"), told.alias("f")).select("key", "f.field", F.size(F.array_distinct("f.found")).alias("length"), F.explode("f.found").alias("term"))
+    told = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.size(F.array_distinct(terms(text))).alias("length"), terms(text).alias("found")) for name, text in fields.items()]))
+    # lengths are counted before the texts are taken apart, not once per term
+    rows = docs.select(F.col(key).alias("key"), told.alias("f")).select("key", "f.field", "f.length", "f.found").select("key", "field", "length", F.explode("found").alias("term"))
     return rows.groupBy("term", "field", "key").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
