@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 def channel_stats(links: DataFrame, channel: str, item: str, creator: str) -> DataFrame:
     """channel, item_count, creator_count, top_creator, top_count, top_share: of each channel's distinct items, how
-    they spread over creators; ties for the top go to the smaller creator."""
+    they spread over creators; ties for the top go to the smaller creator. Items with a null creator count as items alone."""
     items = links.select(channel, item, creator).distinct()
-    per = items.groupBy(channel, creator).agg(F.count_distinct(item).alias("n"))
+    per = items.where(F.col(creator).isNotNull()).groupBy(channel, creator).agg(F.count_distinct(item).alias("n"))
     totals = items.groupBy(channel).agg(F.count_distinct(item).alias("item_count"))
     top = per.groupBy(channel).agg(F.count("*").alias("creator_count"), F.min(F.struct((-F.col("n")).alias("least"), F.col(creator).alias("id"))).alias("top"))
-    out = totals.join(top, channel).select(channel, "item_count", "creator_count", F.col("top.id").alias("top_creator"), (-F.col("top.least")).alias("top_count"))
+    out = totals.join(top, channel, "left").select(channel, "item_count", F.coalesce("creator_count", F.lit(0)).alias("creator_count"), F.col("top.id").alias("top_creator"), F.coalesce(-F.col("top.least"), F.lit(0)).alias("top_count"))
     return out.withColumn("top_share", F.round(F.col("top_count") / F.col("item_count"), 4))
 
 

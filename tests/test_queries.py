@@ -5,12 +5,12 @@ import decimal
 import duckdb
 import pytest
 
-from curatrix.plans import checks, enrich, feeds, governance, library, records, searches, serving, shapes, streams, taxonomy, transfers
+from curatrix.plans import checks, enrich, feeds, governance, library, recommend, records, searches, serving, shapes, streams, taxonomy, transfers
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = serving.QUERIES | records.QUERIES | governance.QUERIES | library.QUERIES | shapes.QUERIES | checks.QUERIES | enrich.QUERIES | transfers.QUERIES | feeds.QUERIES | searches.QUERIES | streams.QUERIES | taxonomy.QUERIES
-SQL = serving.SQL | records.SQL | governance.SQL | library.SQL | shapes.SQL | checks.SQL | enrich.SQL | transfers.SQL | feeds.SQL | searches.SQL | streams.SQL | taxonomy.SQL
+QUERIES = serving.QUERIES | records.QUERIES | governance.QUERIES | library.QUERIES | shapes.QUERIES | checks.QUERIES | enrich.QUERIES | transfers.QUERIES | feeds.QUERIES | searches.QUERIES | streams.QUERIES | taxonomy.QUERIES | recommend.QUERIES
+SQL = serving.SQL | records.SQL | governance.SQL | library.SQL | shapes.SQL | checks.SQL | enrich.SQL | transfers.SQL | feeds.SQL | searches.SQL | streams.SQL | taxonomy.SQL | recommend.SQL
 
 
 @pytest.fixture(scope="module")
