@@ -30,7 +30,17 @@ def is_artwork(*kinds: Column | str) -> Column:
 
 def _listed(*values: Column) -> Column:
     """Values trimmed, none empty, each once."""
-    return F.array_distinct(F.filter(F.transform(F.array(*values), lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != ""))
+    return _cleaned(F.array(*values))
+
+
+def _cleaned(values: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != ""))
+
+
+def _with_collection(items: DataFrame, *values: str) -> Column:
+    """The values and, where the records have one, their list of collections."""
+    more = F.coalesce(F.col("collection"), F.array().cast("array<string>")) if "collection" in items.columns else F.array().cast("array<string>")
+    return _cleaned(F.concat(F.array(*values), more))
 
 
 def _title(x: str) -> Column:
@@ -60,7 +70,7 @@ def cleveland(items: DataFrame, artist: str) -> DataFrame:
         F.array_join(_listed(F.array_join("culture", ", "), F.col("current_location")), "; ").alias("place"),
         _empty("technique").alias("medium"),
         _empty("measurements").alias("dimensions"),
-        _listed(F.col("type"), F.col("department")).alias("classification"),
+        _with_collection(free, "type", "department").alias("classification"),
         F.lit("CC0").alias("rights"),
     )
 

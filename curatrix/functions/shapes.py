@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 class Field(NamedTuple):
     """``kind``: plain (as it is), text (trimmed, at most ``limit`` characters), optional (trimmed, null where empty), list
-    (texts, trimmed, none empty, at most 30 of 100 characters), array (as it is), count (whole and not negative)."""
+    (texts, trimmed, none empty, at most 30 of 100 characters), array (as it is), count (whole and not negative), number (a
+    fixed one, in ``limit``)."""
 
     sources: str
     kind: str = "plain"
@@ -28,6 +29,8 @@ def _text(limit: int, *sources: str) -> Field:
 
 def _value(df: DataFrame, f: Field) -> Column:
     known = [F.col(s) for s in f.sources.split() if s in df.columns]
+    if f.kind == "number":
+        return F.lit(f.limit)
     if f.kind in ("list", "array"):
         found = F.coalesce(*known, F.array().cast("array<string>"))
         if f.kind == "array":
@@ -86,8 +89,13 @@ ARTIST_SNAPSHOT = {
     "aliases": Field("aliases", "list"),
     "avatarText": _text(10, "avatarText"),
     "portraitUrl": _text(1000, "portraitUrl"),
+    "portraitSource": _text(1000, "portraitSource"),
     "portraitLicense": _text(240, "portraitLicense"),
+    "portraitCredit": _text(500, "portraitCredit"),
+    "portraitKind": _text(120, "portraitKind"),
+    "portraitArtworkId": _text(180, "portraitArtworkId"),
     "portraitStatus": _text(80, "portraitStatus"),
+    "portraitSnapshotVersion": Field("", "number", limit=1),
     "artworkCount": Field("artworkCount", "count"),
     "tags": Field("tags", "list"),
     "followedAt": _text(80, "followedAt"),

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from curatrix.functions.catalogue import PAGED, RECOMMENDED
 from curatrix.functions.text import CJK, col
 
-#: States, kinds and roles that records may have, and bounds of a biography.
+#: States, kinds and roles that records may have, versions of the vocabulary, and bounds of a biography.
 REVIEW = ("candidate", "reviewed", "rejected")
 TERM_TYPES = ("style", "subject", "medium", "period", "region", "country", "collection", "source")
 ROLES = ("creator", "after", "attributed_to", "workshop", "publisher", "subject", "unknown")
 ENTITIES = ("person", "organization", "workshop", "attribution", "anonymous", "unresolved")
 IDENTITIES = ("verified", "provisional", "conflicted", "duplicate", "unresolved")
+VOCABULARY_VERSION, CLASSIFICATION_VERSION = "controlled-vocabulary-v2", "classification-v7"
 SHORTEST, LONGEST, FACTS = 200, 300, ("lifespan", "title", "career", "standing")
 PLACEHOLDER = "待审核|待补充|未知|不详|暂无|暂不明确|资料有限|不可考|未考证"
 
@@ -199,13 +200,15 @@ def usage_scopes(kind: Column, period_kind: Column, recommended: tuple[str, ...]
 
 
 def enriched_terms(terms: DataFrame, existing: Column, paged: tuple[str, ...] = PAGED) -> DataFrame:
-    """Vocabulary terms in full: kind of period by the id, clean aliases, status, whether shown, and uses."""
-    clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    """Vocabulary terms in full: kind of period by the id, clean aliases, status, whether shown, uses, the creator of a
+    series (``artist_id``), place (``sort_order``) and versions. Columns that a table lacks count as missing."""
+    clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in terms.columns else F.lit("")
+    place = F.coalesce(F.col("sort_order").cast("long"), F.lit(0)) if "sort_order" in terms.columns else F.lit(0).cast("long")
     period = F.when(clean("type") == "period", F.coalesce(F.nullif(clean("period_kind"), F.lit("")), F.when(clean("_id").rlike("^period-[0-9]{4}s$"), "decade"), F.lit(""))).otherwise("")
     aliases = F.array_distinct(F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != ""))
-    rows = terms.select(clean("_id").alias("_id"), clean("type").alias("type"), period.alias("period_kind"), clean("label_zh").alias("label_zh"), clean("label_en").alias("label_en"), aliases.alias("aliases"), clean("parent_id").alias("parent_id"), existing.alias("existing"))
+    rows = terms.select(clean("_id").alias("_id"), clean("type").alias("type"), period.alias("period_kind"), clean("label_zh").alias("label_zh"), clean("label_en").alias("label_en"), aliases.alias("aliases"), clean("parent_id").alias("parent_id"), clean("artist_id").alias("artist_id"), F.lit("reviewed").alias("review_status"), existing.alias("existing"), place.alias("sort_order"))
     shown = F.col("existing") & F.col("type").isin(*paged) & ((F.col("type") != "period") | (F.col("period_kind") == "decade"))
-    return rows.withColumn("publish_status", F.when(F.col("existing"), "published").otherwise("draft")).withColumn("display_enabled", shown).withColumn("usage_scopes", usage_scopes(F.col("type"), F.col("period_kind"))).drop("existing")
+    return rows.withColumn("publish_status", F.when(F.col("existing"), "published").otherwise("draft")).withColumn("display_enabled", shown).withColumn("usage_scopes", usage_scopes(F.col("type"), F.col("period_kind"))).drop("existing").withColumn("taxonomy_version", F.lit(VOCABULARY_VERSION)).withColumn("target_classification_version", F.lit(CLASSIFICATION_VERSION))
 
 
 def vocabulary_errors(terms: DataFrame, prefixes: dict[str, str]) -> DataFrame:

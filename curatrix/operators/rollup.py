@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curatrix.functions.text import unlock_rate
+from curatrix.operators.select import capped_per_key
+
 
 def channel_stats(links: DataFrame, channel: str, item: str, creator: str) -> DataFrame:
     """channel, item_count, creator_count, top_creator, top_count, top_share: of each channel's distinct items, how
@@ -95,3 +98,32 @@ def thresholds_met(metrics: DataFrame, key: str, definitions: DataFrame) -> Data
 def progress(value: Column, target: Column) -> Column:
     """Percent of the target, clamped."""
     return F.when(target > 0, F.round(100.0 * F.least(F.greatest(value, F.lit(0)), target) / target, 2)).otherwise(0.0)
+
+
+def library_stats(log: DataFrame, user: str, kind: str, item: Column, favorite: str = "favorite", history: str = "history") -> DataFrame:
+    """user, favorites, history (distinct items of each kind), views (all rows of the history)."""
+    of = lambda k: F.count_distinct(F.when(F.col(kind) == k, item))
+    return log.groupBy(user).agg(of(favorite).alias("favorites"), of(history).alias("history"), F.count_if(F.col(kind) == history).alias("views"))
+
+
+def achievement_items(users: DataFrame, user: str, value: Column, target: int) -> DataFrame:
+    """user, current (at most the target), target, unlocked, percent, and how many of all users have it; a null value is 0."""
+    current = F.greatest(F.least(F.coalesce(value, F.lit(0)), F.lit(target)), F.lit(0)).cast("long")
+    rows = users.select(user, current.alias("current"), F.lit(target).cast("long").alias("target")).withColumn("unlocked", F.col("current") >= F.col("target"))
+    # one row
+    totals = rows.agg(F.count("*").alias("active"), F.count_if("unlocked").alias("n"))
+    return rows.join(F.broadcast(totals), F.lit(True)).select(user, "current", "target", "unlocked", progress(F.col("current"), F.col("target")).alias("percent"), unlock_rate(F.col("n"), F.col("active")).alias("unlock_rate"))
+
+
+def channel_sections(channels: DataFrame, channel: str, value: str, items: DataFrame, item: str, values: Column, most: int, *order: str) -> DataFrame:
+    """The channel's column, item: the first ``most`` items by the order that have a channel's value among theirs."""
+    long = items.select(*dict.fromkeys([item, *order]), F.explode(F.array_distinct(values)).alias(value))
+    return capped_per_key(long.join(channels.select(channel, value).distinct(), value), [channel], most, *order, item).select(channel, item)
+
+
+def review_audit(reviews: DataFrame, key: str, rejected: Column, selected: Column, undecided: Column, scope: DataFrame) -> DataFrame:
+    """One row: rows, ids and repeated ones of a review, how they were decided, and keys of ``scope`` that it lacks."""
+    counts = reviews.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids"), *[F.count_if(c).alias(n) for n, c in (("undecided", undecided), ("selected", selected), ("rejected", rejected))])
+    missing = scope.select(key).join(reviews.select(key), key, "left_anti").agg(F.count("*").alias("missing"))
+    # one row each
+    return counts.join(F.broadcast(missing), F.lit(True)).withColumn("repeated", F.col("rows") - F.col("ids"))

@@ -120,16 +120,16 @@ def _terms(spark, d):
     WITH t AS (SELECT CASE WHEN p_size = 7 THEN 'style-7' WHEN p_size > 45 THEN 'period-18' || p_partkey || 's' ELSE NULL END AS i, p_partkey, p_size FROM part),
     k AS (SELECT coalesce(i, CASE WHEN p_size > 40 THEN 'period-' ELSE 'style-' END || p_partkey || 's') AS _id, p_partkey, p_size, CASE WHEN p_size > 40 THEN 'period' WHEN p_size > 38 THEN 'mood' WHEN p_size > 35 THEN 'subject' ELSE 'style' END AS type FROM t),
     e AS (SELECT *, type = 'period' AND regexp_full_match(_id, 'period-[0-9]{4}s') AS decade, p_partkey <= 100 AS existing FROM k)
-    SELECT p_partkey, _id, CASE WHEN decade THEN 'decade' ELSE '' END AS period_kind, CASE WHEN existing THEN 'published' ELSE 'draft' END AS publish_status, existing AND (type IN ('style', 'subject') OR decade) AS display_enabled,
+    SELECT p_partkey, _id, CASE WHEN decade THEN 'decade' ELSE '' END AS period_kind, CASE WHEN existing THEN 'published' ELSE 'draft' END AS publish_status, 'reviewed' AS review_status, CASE WHEN p_size > 20 THEN 'Brand ' || p_size ELSE '' END AS artist_id, CAST(1000 + 10 * p_size AS BIGINT) AS sort_order, 'controlled-vocabulary-v2' AS taxonomy_version, existing AND (type IN ('style', 'subject') OR decade) AS display_enabled,
            CASE WHEN type = 'mood' THEN 'search,metadata' WHEN type IN ('style', 'subject') OR decade THEN 'search,metadata,recommendation,classification_filter' ELSE 'search,metadata,recommendation' END AS usage_scopes FROM e
     """
 )
 def enriched_terms(spark, d):
     """Vocabulary terms in full."""
     rows = _terms(spark, d)
-    keyed = rows.withColumn("label_en", F.col("p_partkey").cast("string"))
+    keyed = rows.withColumn("label_en", F.col("p_partkey").cast("string")).withColumn("artist_id", F.when(F.col("p_size") > 20, F.concat(F.lit(" Brand "), "p_size"))).withColumn("sort_order", 1000 + 10 * F.col("p_size"))
     out = checks.enriched_terms(keyed, F.col("p_partkey") <= 100)
-    return out.select(F.col("label_en").cast("bigint").alias("p_partkey"), "_id", "period_kind", "publish_status", "display_enabled", F.array_join("usage_scopes", ",").alias("usage_scopes"))
+    return out.select(F.col("label_en").cast("bigint").alias("p_partkey"), "_id", "period_kind", "publish_status", "review_status", "artist_id", "sort_order", "taxonomy_version", "display_enabled", F.array_join("usage_scopes", ",").alias("usage_scopes"))
 
 
 @query(
@@ -141,7 +141,7 @@ def enriched_terms(spark, d):
 )
 def vocabulary_errors(spark, d):
     """What a vocabulary breaks, its aliases and parents included."""
-    terms = checks.enriched_terms(_terms(spark, d), F.lit(True)).withColumn("review_status", F.lit("reviewed"))
+    terms = checks.enriched_terms(_terms(spark, d), F.lit(True))
     return checks.vocabulary_errors(terms, PREFIXES)
 
 

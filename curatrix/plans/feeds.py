@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions.catalogue import SEARCH_ALIASES, SEARCH_FIELDS
-from curatrix.functions.text import unlock_rate
 from curatrix.operators import diff, matching, retrieval, rollup, select
 from curatrix.plans.registry import registry
 from curatrix.plans.serving import _SCORE
@@ -54,9 +53,7 @@ def listed_channels(spark, d):
 @query("SELECT user_id, CAST(count(DISTINCT CASE WHEN event_type = 'click' THEN floor(value) END) AS BIGINT) AS favorites, CAST(count(DISTINCT CASE WHEN event_type = 'view' THEN floor(value) END) AS BIGINT) AS history, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS views FROM events GROUP BY user_id")
 def library_stats(spark, d):
     """How much each user's library holds."""
-    item = F.floor("value")
-    of = lambda kind: F.count_distinct(F.when(F.col("event_type") == kind, item))
-    return table(spark, d, "events").groupBy("user_id").agg(of("click").alias("favorites"), of("view").alias("history"), F.count_if(F.col("event_type") == "view").alias("views"))
+    return rollup.library_stats(table(spark, d, "events"), "user_id", "event_type", F.floor("value"), "click", "view")
 
 
 @query("WITH f AS (SELECT min(p_partkey) AS p_partkey, p_name || '|' || p_brand AS key FROM part WHERE p_brand <> 'Brand#11' GROUP BY 2) SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) + 6526 - 1 AS BIGINT) AS number FROM f")
@@ -76,10 +73,8 @@ def deduped_renumbered(spark, d):
 )
 def achievement_items(spark, d):
     """An achievement as each user sees it: progress to its target, and how many have it."""
-    users = table(spark, d, "events").groupBy("user_id").agg(F.least(F.count_if(F.col("event_type") == "view"), F.lit(20)).alias("current")).withColumn("target", F.lit(20).cast("long")).withColumn("unlocked", F.col("current") >= F.col("target"))
-    # one row
-    totals = users.agg(F.count("*").alias("active"), F.count_if("unlocked").alias("n"))
-    return users.join(totals, F.lit(True)).select("user_id", "current", "target", "unlocked", rollup.progress(F.col("current"), F.col("target")).alias("percent"), unlock_rate(F.col("n"), F.col("active")).alias("unlock_rate"))
+    views = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("views"))
+    return rollup.achievement_items(views, "user_id", F.col("views"), 20)
 
 
 @query(
@@ -90,9 +85,9 @@ def achievement_items(spark, d):
 )
 def channel_sections(spark, d):
     """The first works of each of a page's channels."""
-    parts = table(spark, d, "part").select("p_partkey", "p_retailprice", F.explode(F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_type")))).alias("value"))
     channels = spark.createDataFrame([("reds", "red"), ("blues", "blue"), ("promos", "PROMO")], "channel string, value string")
-    return select.capped_per_key(parts.join(channels, "value"), ["channel"], 6, "p_retailprice", "p_partkey").select("channel", "p_partkey")
+    tags = F.concat(F.split("p_name", " "), F.array("p_type"))
+    return rollup.channel_sections(channels, "channel", "value", table(spark, d, "part"), "p_partkey", tags, 6, "p_retailprice")
 
 
 @query(
@@ -102,11 +97,8 @@ def channel_sections(spark, d):
 )
 def review_audit(spark, d):
     """A review's outcome: decided, repeated, and not yet reviewed at all."""
-    labels = table(spark, d, "labels")
-    counts = labels.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("quality").isNull()).alias("undecided"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("selected"), F.count_if((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("rejected"))
-    missing = table(spark, d, "documents").select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("missing"))
-    # one row each
-    return counts.join(missing, F.lit(True)).withColumn("repeated", F.col("rows") - F.col("ids"))
+    good, bad = (F.col("quality") == 1) & (F.col("toxic") == 0), (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return rollup.review_audit(table(spark, d, "labels"), "doc_id", bad, good, F.col("quality").isNull(), table(spark, d, "documents"))
 
 
 @query(

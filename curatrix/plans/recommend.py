@@ -1,4 +1,5 @@
-"""Queries of the recommendation build: labels routed to signals, patches of works, channels of every kind, its report."""
+"""Queries of the recommendation build: labels routed to signals, patches of works, channels of every kind, its report; and of images kept
+in several places."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from importlib import resources
 
 from pyspark.sql import functions as F
 
+from curatrix.operators import images
 from curatrix.operators import recommend as R
 from curatrix.plans.registry import registry
 from curatrix.plans.serving import _BUCKET
@@ -146,3 +148,32 @@ def recommendation_channels(spark, d):
 def recommendation_report(spark, d):
     """Counts of a whole build and what its checks found."""
     return _build(spark, d).report
+
+
+_IMAGES = """
+    i AS (SELECT p_partkey AS id, 'work-' || p_brand AS work_id, sha256(p_name) AS stored, CASE WHEN p_size <= 45 THEN sha256(CASE WHEN p_size < 5 THEN p_type ELSE p_name END) END AS kept, length(p_name) AS bytes, CASE WHEN p_size <= 45 THEN length(CASE WHEN p_size < 5 THEN p_type ELSE p_name END) END AS local_bytes, 'https://source/' || p_brand AS source_url FROM part),
+    x AS (SELECT 'https://source/' || p_brand AS source_url, min(p_name) AS name FROM part GROUP BY 1),
+    m AS (SELECT id, work_id, source_url, CAST(bytes AS BIGINT) AS storage_bytes, CAST(local_bytes AS BIGINT) AS local_bytes, CAST(length(name) AS BIGINT) AS expected_bytes, coalesce(stored = kept, false) AS storage_matches_local, stored = sha256(name) AS storage_matches_expected, coalesce(kept = sha256(name), false) AS local_matches_expected FROM i JOIN x USING (source_url))"""
+
+
+def _images(spark, d):
+    """Parts' names as stored images, copies of them kept in a folder (some wrong, some missing), and what brands' pages show."""
+    parts = table(spark, d, "part").withColumn("id", F.col("p_partkey"))
+    work = F.concat(F.lit("work-"), "p_brand")
+    hashed = lambda df, key, text: df.select(key, F.length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("hash"))
+    local = hashed(parts.where("p_size <= 45"), F.col("id"), F.when(F.col("p_size") < 5, F.col("p_type")).otherwise(F.col("p_name")))
+    works = parts.select(work.alias("id"), F.concat(F.lit("https://source/"), "p_brand").alias("source_url"))
+    expected = parts.groupBy(F.concat(F.lit("https://source/"), "p_brand").alias("source_url")).agg(F.min("p_name").alias("name"))
+    return images.matched_images(parts.select("id", work.alias("work_id")), works, hashed(parts, F.col("id"), F.col("p_name")), local, hashed(expected, F.col("source_url"), F.col("name")))
+
+
+@query(f"WITH {_IMAGES} SELECT * FROM m")
+def image_matches(spark, d):
+    """Whether each image is the same in the store, in the folder and at its source."""
+    return _images(spark, d)
+
+
+@query(f"WITH {_IMAGES} SELECT count(*) AS images, CAST(count(*) FILTER (storage_matches_local) AS BIGINT) AS storage_matches_local, CAST(count(*) FILTER (storage_matches_expected) AS BIGINT) AS storage_matches_expected, CAST(count(*) FILTER (local_matches_expected) AS BIGINT) AS local_matches_expected, CAST(0 AS BIGINT) AS storage_missing, CAST(count(*) FILTER (local_bytes IS NULL) AS BIGINT) AS local_missing, CAST(0 AS BIGINT) AS expected_missing FROM m")
+def image_match_summary(spark, d):
+    """How many images are the same in how many places."""
+    return images.match_summary(_images(spark, d))

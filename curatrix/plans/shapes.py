@@ -50,16 +50,15 @@ def work_snapshots(spark, d):
 
 @query(
     """
-    SELECT CAST(s_suppkey AS VARCHAR) AS id, substr(trim(repeat(s_name, 40)), 1, 240) AS "nameZh", CAST(greatest(floor(s_acctbal), 0) AS BIGINT) AS "artworkCount", CASE WHEN s_acctbal > 5000 THEN 'https://p/' || s_suppkey ELSE '' END AS "portraitUrl",
+    SELECT CAST(s_suppkey AS VARCHAR) AS id, substr(trim(repeat(s_name, 40)), 1, 240) AS "nameZh", CAST(greatest(floor(s_acctbal), 0) AS BIGINT) AS "artworkCount", CASE WHEN s_acctbal > 5000 THEN 'https://p/' || s_suppkey ELSE '' END AS "portraitUrl", CASE WHEN s_acctbal > 5000 THEN substr(trim(repeat(s_name || ' ', 40)), 1, 500) ELSE '' END AS "portraitCredit", CASE WHEN s_acctbal > 5000 THEN 'w' || s_nationkey ELSE '' END AS "portraitArtworkId", 1 AS "portraitSnapshotVersion",
            CASE WHEN s_acctbal > 5000 THEN 'approved' ELSE 'pending' END AS "portraitStatus" FROM supplier
     """
 )
 def artist_snapshots(spark, d):
     """Creators as libraries keep them; portraits only where approved."""
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("_id"), F.repeat("s_name", F.lit(40)).alias("name_zh"), F.col("s_acctbal").alias("artworkCount"), F.concat(F.lit(" https://p/"), F.col("s_suppkey").cast("string")).alias("portrait_url"), F.when(F.col("s_acctbal") > 5000, "approved ").otherwise("pending").alias("portrait_status"))
-    portrait = S.portrait_fields(rows)
-    with_portrait = rows.select("_id", "name_zh", "artworkCount", portrait["portraitUrl"], portrait["portraitStatus"])
-    return S.shaped(with_portrait, S.ARTIST_SNAPSHOT).select("id", "nameZh", "artworkCount", "portraitUrl", "portraitStatus")
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("_id"), F.repeat("s_name", F.lit(40)).alias("name_zh"), F.col("s_acctbal").alias("artworkCount"), F.concat(F.lit(" https://p/"), F.col("s_suppkey").cast("string")).alias("portrait_url"), F.repeat(F.concat("s_name", F.lit(" ")), F.lit(40)).alias("portrait_credit"), F.concat(F.lit("w"), "s_nationkey").alias("portrait_artwork_id"), F.when(F.col("s_acctbal") > 5000, "approved ").otherwise("pending").alias("portrait_status"))
+    with_portrait = rows.select("_id", "name_zh", "artworkCount", *S.portrait_fields(rows).values())
+    return S.shaped(with_portrait, S.ARTIST_SNAPSHOT).select("id", "nameZh", "artworkCount", "portraitUrl", "portraitCredit", "portraitArtworkId", "portraitStatus", "portraitSnapshotVersion")
 
 
 @query(

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from curatrix.operators import recommend as R
+from curatrix.operators import rollup
 from curatrix.sources.control import control_table
 
 WORKS = "id string, artist_ids array<string>, artist_labels array<string>, artist string, classification_ids array<string>, tag_ids array<string>, recommendation_term_ids array<string>"
@@ -104,3 +105,23 @@ def test_empty_tables(spark):
     assert made.routed.count() == made.patched.count() == 0
     assert made.channels.where(F.col("item_count") == 0).count() == 88
     assert {r.n for r in made.report.where("section = 'validation'").collect()} == {0}
+
+
+def test_counts_for_a_reader(spark):
+    log = spark.createDataFrame([("u", "favorite", 1), ("u", "favorite", 1), ("u", "history", 2), ("u", "history", 2), ("v", None, 3)], "user string, kind string, item int")
+    assert {r.user: (r.favorites, r.history, r.views) for r in rollup.library_stats(log, "user", "kind", F.col("item")).collect()} == {"u": (1, 1, 2), "v": (0, 0, 0)}
+    users = spark.createDataFrame([("a", 30), ("b", 5), ("c", None), ("d", -2)], "user string, n int")
+    got = {r.user: r for r in rollup.achievement_items(users, "user", F.col("n"), 20).collect()}
+    assert [(got[u].current, got[u].unlocked, got[u].percent) for u in "abcd"] == [(20, True, 100.0), (5, False, 25.0), (0, False, 0.0), (0, False, 0.0)]
+    assert {r.unlock_rate for r in got.values()} == {"25.00%"}
+    assert rollup.achievement_items(users.limit(0), "user", F.col("n"), 20).count() == 0
+
+
+def test_sections_and_review(spark):
+    channels = spark.createDataFrame([("x", "red"), ("x", "red"), ("y", "blue"), ("z", "none")], "ch string, value string")
+    items = spark.createDataFrame([(1, ["red", "red"]), (2, ["red", "blue"]), (3, None), (4, ["red"])], "id int, tags array<string>")
+    got = rollup.channel_sections(channels, "ch", "value", items, "id", F.col("tags"), 2, "id").collect()
+    assert sorted(map(tuple, got)) == [("x", 1), ("x", 2), ("y", 2)]
+    reviews = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "id int, ok int")
+    r = rollup.review_audit(reviews, "id", F.col("ok") == 0, F.col("ok") == 1, F.col("ok").isNull(), items).first()
+    assert (r["rows"], r.ids, r.repeated, r.undecided, r.selected, r.rejected, r.missing) == (4, 2, 2, 1, 2, 1, 2)

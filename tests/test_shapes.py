@@ -16,6 +16,7 @@ def test_shapes_clean_and_fall_back(spark):
     assert (r._id, r.id, len(r.title), r.titleCn, r.kind) == ("w1", "w1", 240, "", "y")
     assert r.tags[:2] == ["a", "b" * 100] and len(r.tags) == 30 and r.tag_keys == []
     assert shapes.shaped(df, shapes.ARTIST_SNAPSHOT).first().artworkCount == 0
+    assert shapes.shaped(df, shapes.ARTIST_SNAPSHOT).first().portraitSnapshotVersion == 1
     assert shapes.shaped(df, shapes.SHOWN_ARTIST).first().styles == []
     assert shapes.shaped(df, shapes.SHOWN_WORK).first().artist == "未知艺术家"
     assert shapes.shaped(df.limit(0), shapes.PAGE_WORK).count() == 0
@@ -50,6 +51,9 @@ def test_cleveland_takes_the_first_listed_creator_who_fits(spark):
     df = rows(spark, [base(1, [("X", None), ("Claude Monet (French, 1840-1926)", "artist"), ("Claude Monet", None)]), base(2, [("Claude Monet", "after")]), base(3, [("Claude Monet", "")], "other"), base(4, [("Claude Monet", None)], image=None), base(5, None), base(6, [("Claude Monet", None)], kind="Book")], schema)
     got = museum.cleveland(df, "Claude Monet").collect()
     assert [(r.source_id, r.artist, r.title, r.place, r.source_url) for r in got] == [("1", "Claude Monet (French, 1840-1926)", "暂不明确", "France, 19th", "https://www.clevelandart.org/art/a1")]
+    assert got[0].classification == ["Painting"]
+    filed = df.withColumn("collection", F.when(F.col("id") == 1, F.array(F.lit("MED - Modern "), F.lit(None), F.lit("Painting"), F.lit(""))))
+    assert museum.cleveland(filed, "Claude Monet").first().classification == ["Painting", "MED - Modern"]
 
 
 def test_addresses(spark):
