@@ -117,6 +117,12 @@ def routed_labels(queue: DataFrame, index: DataFrame, names: DataFrame, own: Dat
     return out.select("work_id", "source_text", "outcome", F.when(F.col("outcome") == "linked", F.element_at(ids, 1)).alias("signal_id"), ids.alias("candidate_signal_ids"))
 
 
+def routes(works: DataFrame, creators: DataFrame, catalogue: DataFrame, queue: DataFrame, written: list[str]) -> DataFrame:
+    """``routed_labels`` from the tables themselves; ``written`` names the columns of works that hold creators in words."""
+    names = creator_names(creators)
+    return routed_labels(queue, signal_index(catalogue), names, work_names(works, names, written))
+
+
 def signal_links(routed: DataFrame) -> DataFrame:
     """link_id, work_id, signal_id: each link once."""
     return routed.where("outcome = 'linked'").select(F.concat_ws("--", "work_id", "signal_id").alias("link_id"), "work_id", "signal_id").distinct()
@@ -154,11 +160,11 @@ def channels(works: DataFrame, patched: DataFrame, catalogue: DataFrame, creator
     that may be recommended; with its spread over creators, policy and priority.
 
     A term is looked for among the classes of works and, if no work has it there, among their terms. Works and what they
-    are filed under meet in one pass over all four fields; counts are taken before anything is joined."""
+    are filed under meet in one pass over all four fields, written once for the three counts over it; counts are taken before anything is joined."""
     usable = patched.where("status = 'eligible'").select("id", "recommendation_signal_ids")
     rows = works.drop("recommendation_signal_ids").join(usable, "id")
     named = [_prefixed(f"{k}:", F.array_distinct(_some(f))) for f, k in FIELDS.items()]
-    long = rows.select("id", F.explode(F.flatten(F.array(*named))).alias("channel"), "artist_ids").select("id", "channel", F.explode_outer("artist_ids").alias("creator"))
+    long = staged(rows.select("id", F.explode(F.flatten(F.array(*named))).alias("channel"), "artist_ids").select("id", "channel", F.explode_outer("artist_ids").alias("creator")))
     stats = rollup.channel_stats(long, "channel", "id", "creator")
     subjects = _subjects(catalogue, creators, terms).withColumn("channel", F.concat_ws(":", "kind", "about"))
     found = subjects.join(stats, "channel", "left").where(F.col("kept") | F.col("item_count").isNotNull())
@@ -207,9 +213,8 @@ class Build(NamedTuple):
 
 def built(works: DataFrame, sources: DataFrame, creators: DataFrame, terms: DataFrame, catalogue: DataFrame, queue: DataFrame, written: list[str]) -> Build:
     """A whole build. Labels' routes, patches and channels are written once each to the shared folder, as all later steps
-    and the report read them. ``written`` names the columns of works that hold creators in words."""
-    names = creator_names(creators)
-    routed = staged(routed_labels(queue, signal_index(catalogue), names, work_names(works, names, written)))
+    and the report read them."""
+    routed = staged(routes(works, creators, catalogue, queue, written))
     patched = staged(patches(works, sources, signal_links(routed)))
     made = staged(channels(works, patched, catalogue, creators, terms))
     return Build(routed, patched, made, build_report(works, sources, catalogue, routed, patched, made))

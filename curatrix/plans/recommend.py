@@ -32,7 +32,7 @@ _ALIASES = [
 ]
 
 
-def _build(spark, d):
+def _inputs(spark, d):
     """Parts as works by their suppliers, suppliers as creators, part types and articles as terms, names' words as labels."""
     parts = table(spark, d, "part").withColumn("id", F.col("p_partkey").cast("string")).withColumn("words", F.split("p_name", " "))
     made = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set(F.concat(F.lit("supplier-"), "l_suppkey")).alias("artist_ids"))
@@ -54,7 +54,7 @@ def _build(spark, d):
     terms = terms.withColumn("usage_scopes", scopes).withColumn("publish_status", F.when(F.col("label_zh") == "gizmo", "draft").otherwise("published"))
     catalogue = R.with_aliases(R.signal_catalogue(control_table(spark, "recommendation_signals")), spark.createDataFrame(_ALIASES, "id string, alias string"))
     queue = parts.select(F.col("id").alias("work_id"), F.explode("words").alias("source_text"))
-    return R.built(works, sources, creators, terms, catalogue, queue, ["artist"])
+    return works, sources, creators, terms, catalogue, queue, ["artist"]
 
 
 def _values() -> str:
@@ -111,19 +111,21 @@ _CHANNELS = f"""{_PATCHED},
 @query(f"WITH {_ROUTED} SELECT work_id, source_text, outcome, CASE WHEN outcome = 'linked' THEN ids[1] END AS signal_id, coalesce(array_to_string(ids, ','), '') AS candidates FROM routed")
 def recommendation_labels(spark, d):
     """Every label of every work: names of creators set aside, labels of one signal linked, all others for review."""
-    return _build(spark, d).routed.select("work_id", "source_text", "outcome", "signal_id", F.array_join("candidate_signal_ids", ",").alias("candidates"))
+    works, _, creators, _, catalogue, queue, written = _inputs(spark, d)
+    return R.routes(works, creators, catalogue, queue, written).select("work_id", "source_text", "outcome", "signal_id", F.array_join("candidate_signal_ids", ",").alias("candidates"))
 
 
 @query(f"WITH {_PATCHED} SELECT id, coalesce(array_to_string(signals, ','), '') AS signals, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) > 0 THEN 'ineligible' ELSE 'eligible' END AS status, quality, CAST(bucket AS BIGINT) AS bucket FROM patched")
 def recommendation_patches(spark, d):
     """What the build writes to each work."""
-    return _build(spark, d).patched.select("id", F.array_join("recommendation_signal_ids", ",").alias("signals"), F.array_join("reasons", ",").alias("reasons"), "status", "quality", "bucket")
+    works, sources, creators, _, catalogue, queue, written = _inputs(spark, d)
+    return R.patches(works, sources, R.signal_links(R.routes(works, creators, catalogue, queue, written))).select("id", F.array_join("recommendation_signal_ids", ",").alias("signals"), F.array_join("reasons", ",").alias("reasons"), "status", "quality", "bucket")
 
 
 @query(f"WITH {_CHANNELS} SELECT * FROM channels")
 def recommendation_channels(spark, d):
     """All channels with their spread, policy and priority."""
-    return _build(spark, d).channels
+    return R.built(*_inputs(spark, d)).channels
 
 
 @query(
@@ -147,7 +149,7 @@ def recommendation_channels(spark, d):
 )
 def recommendation_report(spark, d):
     """Counts of a whole build and what its checks found."""
-    return _build(spark, d).report
+    return R.built(*_inputs(spark, d)).report
 
 
 _IMAGES = """
