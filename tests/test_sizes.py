@@ -28,3 +28,8 @@ def test_texts_are_not_sent_out_for_the_longest_alias(spark, monkeypatch, most):
     got = governance.QUERIES["longest_alias"](spark, SF)
     assert "part.parquet" not in sent_out(got)
     assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_texts_are_not_sent_out_for_single_aliases(spark):
+    got = governance.QUERIES["unique_containment"](spark, SF)
+    assert "part.parquet" not in sent_out(got) and got.count()
