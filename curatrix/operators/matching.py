@@ -4,8 +4,9 @@
 In a round every undecided query looks at its best candidate that is left. It may take it for good if none of the keys can
 run out before its turn, that is if fewer undecided queries before it are interested in the key at all than the key has
 room. The first undecided query always may, and with orders that have nothing to do with the keys a share of all does, so
-rounds grow like the logarithm of the number of queries. A chain in which each query waits for the one before costs a
-round per link, until few rows are left: these are decided one after the other in one task.
+rounds grow like the logarithm of the number of queries. A chain in which each query waits for the one before would cost a
+round per link, and so would keys that all queries want. So a round first decides the first queries one after the other in
+one task, as many as have few rows in all, and looks at all others only while that decides more.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.sources.files import staged
 
-#: Rows of undecided queries that one task decides.
+#: Rows of the first undecided queries that one task decides in a round.
 FEW = 20_000
 
 
@@ -43,37 +44,72 @@ def taken_in_turn(candidates: DataFrame, query: str, place: list[str], caps: dic
     """The candidates that queries take, and the number of rounds. ``query`` is a whole number, in whose order queries come
     to their turn; ``place`` are columns by which a query prefers its candidates, total within a query. ``caps`` names keys:
     columns and how often their values may be taken; null is a value like any other."""
+    spark = candidates.sparkSession
     key = lambda name, columns: F.to_json(F.struct(F.lit(name).alias("of"), *[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]))
     most = max(cap for _, cap in caps.values())
     rows = staged(candidates.withColumn("__row", F.monotonically_increasing_id()))
-    narrow = rows.select(F.col(query).cast("long").alias("q"), F.col("__row").alias("row"), F.struct(*place, F.col("__row")).alias("place"), F.array(*[key(n, columns) for n, (columns, _) in caps.items()]).alias("keys"))
+    names = [f"k{i}" for i in range(len(caps))]
+    narrow = rows.select(F.col(query).cast("long").alias("q"), F.col("__row").alias("row"), F.struct(*place, F.col("__row")).alias("place"), *[key(n, columns).alias(k) for k, (n, (columns, _)) in zip(names, caps.items(), strict=True)])
     cap_of = F.coalesce(*[F.when(F.get_json_object("key", "$.of") == n, F.lit(cap)) for n, (_, cap) in caps.items()])
-    left, taken, used, rounds = staged(narrow), None, None, 0
-    while True:
-        n = left.limit(few + 1).count()
-        if n == 0:
-            break
+    base = left = staged(narrow)
+    size = n = left.count()
+    taken, rounds = spark.createDataFrame([], "q long, row long"), 0
+    decided, used = spark.createDataFrame([], "q long"), spark.createDataFrame([], "key string, n long")
+    # how many rounds are to pass before all queries are looked at again
+    wait, pause = 0, 1
+    while n:
         rounds += 1
-        counted = left.select("q", F.explode("keys").alias("key"))
-        known = used if used is not None else counted.select("key").limit(0).withColumn("n", F.lit(0).cast("long"))
-        if n <= few:
-            # at most ``few`` rows, counted above
-            room = left.select("q", "row", "place", F.posexplode("keys").alias("i", "key")).join(known, "key", "left").groupBy("q", "row", "place").agg(F.array_sort(F.collect_list(F.struct("i", "key", (cap_of - F.coalesce("n", F.lit(0))).alias("room")))).alias("k"))
+        keys = F.array(*names)
+        before = decided.count()
+        first = _first_queries(left, few) if few else None
+        if first is not None:
+            # at most ``few`` rows, counted there
+            some = left.where(F.col("q") <= first)
+            room = some.select("q", "row", "place", F.posexplode(keys).alias("i", "key")).join(used, "key", "left").groupBy("q", "row", "place").agg(F.array_sort(F.collect_list(F.struct("i", "key", (cap_of - F.coalesce("n", F.lit(0))).alias("room")))).alias("k"))
             order = F.row_number().over(W.orderBy("q", "place"))
-            last = room.select("q", "row", order.alias("place"), F.col("k.key").alias("keys"), F.col("k.room").alias("room")).coalesce(1).mapInPandas(_decided_in_turn, "q long, row long")
-            taken = last if taken is None else taken.unionByName(last)
-            break
-        turn = F.row_number().over(W.partitionBy("key").orderBy("q"))
-        sure = counted.distinct().withColumn("turn", turn).where(F.col("turn") <= most).join(known, "key", "left").where(F.col("turn") <= cap_of - F.coalesce("n", F.lit(0))).select("q", "key")
-        best = left.groupBy("q").agg(F.min_by(F.struct("row", "keys"), "place").alias("b")).select("q", "b.*")
-        met = best.select("q", "row", F.explode("keys").alias("key")).join(sure, ["q", "key"]).groupBy("q", "row").agg(F.collect_list("key").alias("keys"))
-        won = staged(met.where(F.size("keys") == len(caps)))
-        fresh = won.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-        used = staged(known.unionByName(fresh).groupBy("key").agg(F.sum("n").alias("n")))
-        taken = won.select("q", "row") if taken is None else taken.unionByName(won.select("q", "row"))
-        full = used.where(F.col("n") >= cap_of).select("key")
-        rest = left.join(won.select("q"), "q", "left_anti")
-        gone = rest.select("row", F.explode("keys").alias("key")).join(full, "key").select("row").distinct()
-        left = staged(rest.join(gone, "row", "left_anti"))
-    out = rows.limit(0) if taken is None else rows.join(taken.select(F.col("row").alias("__row")), "__row").select(rows.columns)
+            won = staged(room.select("q", "row", order.alias("place"), F.col("k.key").alias("keys"), F.col("k.room").alias("room")).coalesce(1).mapInPandas(_decided_in_turn, "q long, row long"))
+            taken, used, decided = _noted(taken, used, decided, won, won.join(some.select("row", keys.alias("keys")), "row"), some.select("q").distinct())
+            left = _left(base, decided, used, cap_of, names)
+        in_turn = decided.count()
+        if first is None or wait == 0:
+            turn = F.row_number().over(W.partitionBy("key").orderBy("q"))
+            counted = left.select("q", F.explode(keys).alias("key"))
+            sure = counted.distinct().withColumn("turn", turn).where(F.col("turn") <= most).join(used, "key", "left").where(F.col("turn") <= cap_of - F.coalesce("n", F.lit(0))).select("q", "key")
+            best = left.groupBy("q").agg(F.min_by(F.struct("row", keys.alias("keys")), "place").alias("b")).select("q", "b.*")
+            met = best.select("q", "row", F.explode("keys").alias("key")).join(sure, ["q", "key"]).groupBy("q", "row").agg(F.collect_list("key").alias("keys"))
+            won = staged(met.where(F.size("keys") == len(caps)))
+            taken, used, decided = _noted(taken, used, decided, won.select("q", "row"), won, won.select("q"))
+            left = _left(base, decided, used, cap_of, names)
+            # where all wait for few keys, looking at all of them decides less than taking some in turn
+            wait = pause if decided.count() - in_turn < in_turn - before else 0
+            pause = 2 * pause if wait else 1
+        else:
+            wait -= 1
+        n = left.count()
+        if n <= size // 2:
+            base, size = staged(left), n
+            left = base
+    out = rows.join(taken.select(F.col("row").alias("__row")), "__row").select(rows.columns)
     return out.drop("__row"), rounds
+
+
+def _first_queries(left: DataFrame, few: int) -> int | None:
+    """The last of the first queries that have no more than ``few`` rows in all; None if the very first has more."""
+    counts = left.groupBy("q").agg(F.count("*").alias("n")).orderBy("q").limit(few)
+    upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("q").rowsBetween(W.unboundedPreceding, 0)))  # at most ``few`` rows
+    return upto.where(F.col("upto") <= few).agg(F.max("q")).first()[0]
+
+
+def _noted(taken: DataFrame, used: DataFrame, decided: DataFrame, won: DataFrame, keyed: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is taken, how often each key is, and which queries are decided, with a round's outcome."""
+    fresh = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return staged(taken.unionByName(won)), staged(used.unionByName(fresh).groupBy("key").agg(F.sum("n").alias("n"))), staged(decided.unionByName(done))
+
+
+def _left(base: DataFrame, decided: DataFrame, used: DataFrame, cap_of: Column, names: list[str]) -> DataFrame:
+    """Rows of undecided queries whose keys all have room: no row is moved while what is used up is small."""
+    full = used.where(F.col("n") >= cap_of).select("key")
+    left = base.join(decided, "q", "left_anti")
+    for k in names:
+        left = left.join(full.select(F.col("key").alias(k)), k, "left_anti")
+    return left

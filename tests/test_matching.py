@@ -48,3 +48,10 @@ def test_nothing_to_take(spark):
     assert run(spark, [(1, 1, "a", "b", None), (2, 1, "a", "b", None)], (1, 0, 5), 100)[0] == set()
     got, rounds, _ = run(spark, [], (1, 1, 1), 10)
     assert got == set() and rounds == 0
+
+
+def test_keys_that_all_want_take_few_rounds(spark):
+    # three may take "t" or, after that, "s"; looked at all at once, a round decides no more than these
+    rows = [(q, k, f"{q % 7}-{k}", str(k), "s" if k else "t") for q in range(60) for k in range(5)]
+    got, rounds, _ = run(spark, rows, (5, 1, 3), 100)
+    assert got == loop(rows, (5, 1, 3)) and rounds <= 2
