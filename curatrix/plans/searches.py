@@ -68,7 +68,7 @@ def fuzzy_search(spark, d):
 def typed_search(spark, d):
     """Works by titles typed without spaces and makers with a letter missing, over boosted fields and compact aliases."""
     works = table(spark, d, "part")
-    index = fuzzy.Index(works, "p_partkey", {"title": F.col("p_name"), "artist": F.col("p_brand"), "medium": F.col("p_type"), "alias": F.array_join(fuzzy.compact_aliases("p_name"), " ")}, buckets=16)
+    index = fuzzy.Index(works, "p_partkey", {"title": F.col("p_name"), "artist": F.col("p_brand"), "medium": F.col("p_type"), "alias": F.array_join(fuzzy.compact_aliases("p_name"), " ")}, buckets=16, classes=True)
     owners = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 3 + 1).alias("p_partkey"))
     typed = owners.join(works, "p_partkey").select("s_suppkey", F.concat(F.regexp_replace("p_name", " ", ""), F.lit(" "), F.substring("p_brand", 2, 100)).alias("typed"))
     return fuzzy.searched(index, typed, "s_suppkey", "typed", {"title": 3.0, "artist": 2.0, "alias": 2.0}, best=5).select(F.col("query").alias("s_suppkey"), F.col("key").alias("p_partkey"), "score", "rank")

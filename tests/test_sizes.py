@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from curatrix.operators import enrich, fuzzy
 from curatrix.operators import recommend as R
 from curatrix.operators import resolve
-from curatrix.plans import governance
+from curatrix.plans import governance, recommend
 from curatrix.sources import files
 
 
@@ -74,3 +75,31 @@ def test_channels_write_no_pairs_of_creators(spark, monkeypatch):
     assert max(rows.count() for rows in met) <= len(works)
     parted = {tuple(r) for r in R._spread(met[0], 2).collect()}
     assert parted == {tuple(r) for r in R._spread(met[0]).collect()}
+
+
+def test_rows_with_the_same_texts_are_scored_once(spark):
+    docs = spark.range(60).select("id", F.concat(F.lit("red fox "), (F.col("id") % 3).cast("string")).alias("t"))
+    asked = spark.createDataFrame([(1, "fox 1"), (2, "fox 1"), (3, "rod"), (4, None), (5, "")], "q long, t string")
+    plain, classes = (fuzzy.Index(docs, "id", {"t": F.col("t")}, 4, classes=c) for c in (False, True))
+    assert classes.postings.select("key").distinct().count() == 3
+    for best in (None, 7):
+        got, want = ({tuple(r) for r in fuzzy.searched(index, asked, "q", "t", {}, best).collect()} for index in (classes, plain))
+        assert got == want and {r[0] for r in got} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_pairs_of_names_are_not_compared_again(spark, monkeypatch, few):
+    monkeypatch.setattr(enrich, "FEW_ROWS", few)
+    wanted = spark.createDataFrame([(1,), (2,)], "artist_id long")
+    artists = spark.createDataFrame([(1, ["a", "b", ""]), (2, ["b", "b"]), (3, ["a"])], "_id long, names array<string>")
+    works = spark.createDataFrame([(7, ["a", "b"]), (8, ["b", "c"]), (9, ["c", ""])], "_id long, labels array<string>")
+    links = spark.createDataFrame([(1, 7, "x"), (1, 7, "y"), (2, 9, "x"), (3, 8, "x")], "artist_id long, artwork_id long, role string")
+    got = enrich.evidence_context(wanted, artists, F.col("names"), works, F.col("labels"), links)
+    want = [(1, 7, "relationship", "x"), (1, 7, "relationship", "y"), (2, 9, "relationship", "x"), (2, 7, "artist_label", None), (1, 8, "artist_label", None), (2, 8, "artist_label", None)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_report_sends_out_no_works(spark):
+    got = recommend.QUERIES["recommendation_report"](spark, SF)
+    assert "part.parquet" not in sent_out(got)
