@@ -48,15 +48,29 @@ def tag_counts(df: DataFrame, tags: str) -> DataFrame:
 def field_score(text: Column, query: str) -> Column:
     """1 equal, .94 beginning, .88 anywhere as written, .78 anywhere without separators, 0 none; case never matters, and
     the first two are as written or without separators."""
-    t, q = search_text(text), search_text(F.lit(query))
-    raw, asked = F.lower(text), F.lit(query.lower())
+    return _form_score(F.lower(text), search_text(text), F.lit(query.lower()), search_text(F.lit(query)))
+
+
+def _form_score(raw: Column, t: Column, asked: Column, q: Column) -> Column:
     begins = F.startswith(raw, asked) | F.startswith(t, q)
     return F.when((t == "") | (q == ""), 0.0).when(t == q, 1.0).when(begins, 0.94).when(F.contains(raw, asked), 0.88).when(F.contains(t, q), 0.78).otherwise(0.0)
 
 
 def ranked(df: DataFrame, variants: list[str], weights: dict[str, float]) -> DataFrame:
     """Adds ``score``: over fields, weight times the best score of the query's variants; rows without any are left out."""
-    parts = [F.lit(w) * F.greatest(*[field_score(F.coalesce(F.col(c).cast("string"), F.lit("")), v) for v in variants], F.lit(0.0)) for c, w in weights.items()]
+    return _scored(df, variants, {c: (F.coalesce(F.col(c).cast("string"), F.lit("")), w) for c, w in weights.items()}, {})
+
+
+def _scored(df: DataFrame, variants: list[str], fields: dict[str, tuple[Column, float]], plain: dict[str, Column]) -> DataFrame:
+    """``ranked`` over texts with their weights; ``plain`` has ``search_text`` of those that it is known of. The variants are
+    one list that a field's text goes along: written out, they outgrow what Spark compiles, and each row is then interpreted."""
+    asked = F.array(*[F.struct(F.lit(v.lower()).alias("raw"), search_text(F.lit(v)).alias("plain")) for v in variants])
+    parts = []
+    for name, (text, weight) in fields.items():
+        both = F.struct(F.lower(text).alias("raw"), plain.get(name, search_text(text)).alias("plain"))
+        # one text in a list, so that its two forms are made once and not once per variant
+        best = F.transform(F.array(both), lambda t: F.array_max(F.transform(asked, lambda q: _form_score(t["raw"], t["plain"], q["raw"], q["plain"]))))
+        parts.append(F.lit(weight) * F.greatest(best[0], F.lit(0.0)))
     return df.withColumn("score", F.round(reduce(lambda a, b: a + b, parts), 4)).where("score > 0")
 
 
@@ -68,8 +82,11 @@ def field_text(df: DataFrame, keys: list[str]) -> Column:
 
 
 def search_corpus(df: DataFrame, key: str, fields: list[tuple[list[str], int]]) -> DataFrame:
-    """What a search reads of a table, written once for many searches: the key, and one text per field, f0, f1 and so on."""
-    return staged(df.select(key, *[field_text(df, keys).alias(f"f{i}") for i, (keys, _) in enumerate(fields)]))
+    """What a search reads of a table, written once for many searches: the key, and per field its text, f0, f1 and so on, and
+    its ``search_text``, p0, p1 and so on. It lies in as many files as tasks can run, as a small table is one file to Spark."""
+    told = df.select(key, *[field_text(df, keys).alias(f"f{i}") for i, (keys, _) in enumerate(fields)])
+    dealt = told.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return staged(dealt.select("*", *[search_text(f"f{i}").alias(f"p{i}") for i in range(len(fields))]))
 
 
 def searched(corpus: DataFrame, key: str, query: str, groups: list, fields: list[tuple[list[str], int]], skip: int = 0, size: int = 20) -> DataFrame:
@@ -77,7 +94,7 @@ def searched(corpus: DataFrame, key: str, query: str, groups: list, fields: list
     variants = expanded(query, groups)
     if not variants:
         return corpus.select(key, F.lit(0.0).alias("score")).limit(0)
-    found = ranked(corpus, variants, {f"f{i}": float(w) for i, (_, w) in enumerate(fields)})
+    found = _scored(corpus, variants, {f"f{i}": (F.col(f"f{i}"), float(w)) for i, (_, w) in enumerate(fields)}, {f"f{i}": F.col(f"p{i}") for i in range(len(fields))})
     return found.groupBy(key).agg(F.max("score").alias("score")).orderBy(F.desc("score"), key).offset(skip).limit(size)
 
 

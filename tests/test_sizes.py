@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from curatrix.operators import enrich, fuzzy
 from curatrix.operators import recommend as R
-from curatrix.operators import resolve
+from curatrix.operators import resolve, retrieval
 from curatrix.plans import governance, recommend
 from curatrix.sources import files
 
@@ -103,3 +103,15 @@ def test_pairs_of_names_are_not_compared_again(spark, monkeypatch, few):
 def test_the_report_sends_out_no_works(spark):
     got = recommend.QUERIES["recommendation_report"](spark, SF)
     assert "part.parquet" not in sent_out(got)
+
+
+def test_a_search_stays_within_what_spark_compiles(spark):
+    works = spark.createDataFrame([(1, "Leonardo da Vinci", "x"), (2, "a leo-nardo", "Da.Vinci"), (3, "none", None), (4, "达芬奇", "")], "id long, a string, b string")
+    fields = [(["a"], 180), (["b"], 110)]
+    corpus = retrieval.search_corpus(works, "id", fields)
+    assert {"p0", "p1"} <= set(corpus.columns) and len(corpus.inputFiles()) > 1
+    many = [f"word {i}" for i in range(200)]
+    got = retrieval.searched(corpus, "id", "Leonardo", [["leonardo", "da vinci", "达·芬奇", *many]], fields)
+    assert [tuple(r) for r in got.collect()] == [(2, 250.4), (4, 180.0), (1, 169.2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StartsWith") <= 8
