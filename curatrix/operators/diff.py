@@ -23,10 +23,13 @@ def preflight(current: DataFrame, previous: DataFrame, target: DataFrame, key: s
 
 def transition(current: DataFrame, previous: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """key, problem: unexpected ids (in neither state), and missing ones (in both but not there)."""
-    c, p, t = (d.select(key).distinct() for d in (current, previous, target))
-    unexpected = c.join(p.union(t).distinct(), key, "left_anti").select(key, F.lit("unexpected").alias("problem"))
-    missing = p.join(t, key, "left_semi").join(c, key, "left_anti").select(key, F.lit("missing").alias("problem"))
-    return unexpected.unionByName(missing)
+    # ids are moved once and nothing is sent out: long ids shrink so much in a shuffle that Spark takes their side for small
+    states = (current, previous, target)
+    tagged = reduce(lambda a, b: a.unionByName(b), [d.select(key, *[F.lit(n == m).alias(n) for n in "cpt"]) for m, d in zip("cpt", states, strict=True)])
+    seen = tagged.groupBy(key).agg(*[F.max(n).alias(n) for n in "cpt"])
+    known = F.col(key).isNotNull()  # a missing id is none of another state
+    problem = F.when(F.expr("c") & ~(known & F.expr("p OR t")), "unexpected").when(known & F.expr("NOT c AND p AND t"), "missing")
+    return seen.select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def reconciled(baseline: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:

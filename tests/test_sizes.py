@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from curatrix.operators import enrich, fuzzy
+from curatrix.operators import diff, enrich, fuzzy
 from curatrix.operators import recommend as R
 from curatrix.operators import resolve, retrieval
 from curatrix.plans import governance, recommend
@@ -105,6 +105,14 @@ def test_the_report_sends_out_no_works(spark):
     assert "part.parquet" not in sent_out(got)
 
 
+def test_ids_of_states_are_moved_once_and_not_sent_out(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    got = diff.transition(ids(1, 9, 9, None), ids(1, 2, 3, None), ids(2, 3, 4, None), "id")
+    assert sorted(got.collect(), key=str) == [(2, "missing"), (3, "missing"), (9, "unexpected"), (None, "unexpected")]
+    plan = governance.QUERIES["transition"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_a_search_stays_within_what_spark_compiles(spark):
     works = spark.createDataFrame([(1, "Leonardo da Vinci", "x"), (2, "a leo-nardo", "Da.Vinci"), (3, "none", None), (4, "达芬奇", "")], "id long, a string, b string")
     fields = [(["a"], 180), (["b"], 110)]
