@@ -1,7 +1,7 @@
 """Achievements granted on a stream: keyed state per user, a ledger of grants, and statistics from the ledger.
 
 A user's state holds the library's items with their last writer, how many are active per metric, and what was granted. It
-lies in the state store by item, so that no user's library is in memory, and rows of a user pass by in small frames. A
+lies in the state store by item, so that no user's library is in memory, and rows of a user pass by some at a time. A
 grant is made once, when a batch leaves a metric at its threshold, and never taken back. With deletions, what is granted
 depends on what the batches leave, as each batch is one look at the library; without, any cut into batches and any order
 give what one batch gives.
@@ -13,9 +13,9 @@ the state as it was before and overwrites its own place, so grants and counters
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,8 +26,8 @@ from curatrix.streaming.state import rocksdb
 #: Requests: a library's mutation (metric, item_id, updated_at, deleted, event_id), or a manual grant (achievement_id, reference).
 REQUESTS = "user_id long, metric string, item_id string, updated_at timestamp, deleted boolean, event_id long, achievement_id string, reference string"
 LEDGER = "user_id long, achievement_id string, outcome string, grant_type string, reference string"
-#: Fixed value: the longest reference of a manual grant.
-REFERENCE = 240
+#: The longest reference of a manual grant, and rows of a user that are merged before the store is asked.
+REFERENCE, SOME = 240, 4096
 
 
 class Grants(StatefulProcessor):
@@ -38,36 +38,54 @@ class Grants(StatefulProcessor):
         self.active = handle.getMapState("active", "metric string", "n long")
         self.granted = handle.getMapState("granted", "achievement_id string", "grant_type string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         out: list[tuple] = []
-        if not self.granted.containsKey((DEFAULT_ACHIEVEMENT,)):
+        # each look at the store is a message to the JVM: a user who is new has nothing there, and counts and grants are read once
+        new = fresh = not self.granted.containsKey((DEFAULT_ACHIEVEMENT,))
+        self._known = (fresh, {}, {})
+        if fresh:
             self._grant(out, key[0], DEFAULT_ACHIEVEMENT, "default", "")
-        for frame in rows:
-            manual = frame["achievement_id"].notna()
-            self._library(frame[~manual])
-            for name, reference in frame.loc[manual, ["achievement_id", "reference"]].itertuples(index=False):
-                self._manual(out, key[0], name, reference)
+        rows = iter(rows)
+        while some := list(islice(rows, SOME)):
+            last: dict[tuple, tuple] = {}
+            for r in some:
+                if r["achievement_id"] is not None:
+                    self._manual(out, key[0], r["achievement_id"], r["reference"])
+                elif None not in (r["metric"], r["item_id"], r["at"]):
+                    place, put = (r["metric"], r["item_id"]), (r["at"], bool(r["deleted"]), r["event_id"] or 0)
+                    if put > last.get(place, (put[0] - 1,)):
+                        last[place] = put
+            self._library(last, new)
+            new = new and not last
+        for metric, n in self._known[1].items():
+            self.active.updateValue((metric,), (n,))
         for name, (_, kind, metric, least, _) in ACHIEVEMENTS.items():
-            if kind == "automatic" and self._count(metric) >= least and not self.granted.containsKey((name,)):
+            if kind == "automatic" and self._count(metric) >= least and not self._has(name):
                 self._grant(out, key[0], name, kind, f"metric:{metric}")
-        yield pd.DataFrame(out, columns=["user_id", "achievement_id", "outcome", "grant_type", "reference"])
+        yield from (Row(user_id=u, achievement_id=a, outcome=o, grant_type=g, reference=r) for u, a, o, g, r in out)
 
     def _count(self, metric: str) -> int:
-        return self.active.getValue((metric,))[0] if self.active.containsKey((metric,)) else 0
-
-    def _library(self, frame: pd.DataFrame) -> None:
-        """Merges the frame's last writers, and counts items that became active or ceased to be."""
+        fresh, counts, _ = self._known
+        if metric not in counts and not fresh:
+            counts[metric] = (self.active.getValue((metric,)) or (0,))[0]
+        return counts.get(metric, 0)
+
+    def _has(self, name: str) -> bool:
+        fresh, _, held = self._known
+        if name not in held:
+            held[name] = not fresh and self.granted.containsKey((name,))
+        return held[name]
+
+    def _library(self, last: dict[tuple, tuple], new: bool) -> None:
+        """Merges last writers, and counts items that became active or ceased to be. A new user's items aren't looked for."""
         moved: dict[str, int] = {}
-        known = frame[frame["metric"].notna() & frame["item_id"].notna() & frame["updated_at"].notna()]
-        last = known.assign(at=known["updated_at"].astype("int64"), deleted=known["deleted"].fillna(False).astype(bool), event_id=known["event_id"].fillna(0).astype("int64")).sort_values(["at", "deleted", "event_id"])
-        for metric, item, at, deleted, event in last.drop_duplicates(["metric", "item_id"], keep="last")[["metric", "item_id", "at", "deleted", "event_id"]].itertuples(index=False):
-            place, new = (metric, item), (at, deleted, event)
-            old = tuple(self.items.getValue(place)) if self.items.containsKey(place) else None
-            if old is None or new > old:
-                self.items.updateValue(place, new)
-                moved[metric] = moved.get(metric, 0) + (not deleted) - (old is not None and not old[1])
+        for place, put in last.items():
+            old = None if new else self.items.getValue(place)
+            if old is None or put > tuple(old):
+                self.items.updateValue(place, put)
+                moved[place[0]] = moved.get(place[0], 0) + (not put[1]) - (old is not None and not old[1])
         for metric, n in moved.items():
-            self.active.updateValue((metric,), (self._count(metric) + n,))
+            self._known[1][metric] = self._count(metric) + n
 
     def _manual(self, out: list[tuple], user: int, name: str, reference: str | None) -> None:
         name, reference = name.strip(), (reference if isinstance(reference, str) else "").strip()[:REFERENCE]
@@ -75,11 +93,12 @@ class Grants(StatefulProcessor):
             out.append((user, name, "manual_only", "manual", reference))
         elif not reference:
             out.append((user, name, "reference_required", "manual", reference))
-        elif not self.granted.containsKey((name,)):
+        elif not self._has(name):
             self._grant(out, user, name, "manual", reference)
 
     def _grant(self, out: list[tuple], user: int, name: str, kind: str, reference: str) -> None:
         self.granted.updateValue((name,), (kind,))
+        self._known[2][name] = True
         out.append((user, name, "granted", kind, reference))
 
     def close(self) -> None:
@@ -110,7 +129,9 @@ def run(requests: DataFrame, accounts: DataFrame, checkpoint: str) -> None:
     or that have none, have no outcome; ``accounts`` has user_id and account_status (null: active)."""
     spark = requests.sparkSession
     alive = accounts.where(~F.coalesce(F.nullif(F.trim("account_status"), F.lit("")), F.lit("active")).isin("deleted", "deleting")).select("user_id")
-    outcomes = requests.join(alive, "user_id").groupBy("user_id").transformWithStateInPandas(Grants(), LEDGER, "append", "none")
+    rows = requests.withColumn("at", F.unix_micros("updated_at")).drop("updated_at")
+    # rows, not frames: a user has few of them, and making frames takes longer than all else
+    outcomes = rows.join(alive, "user_id").groupBy("user_id").transformWithState(Grants(), LEDGER, "append", "none")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{checkpoint}/ledger/batch-{number:012d}")

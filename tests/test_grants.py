@@ -104,3 +104,34 @@ def test_a_batch_that_fails_after_its_sink_is_repeated(spark, tmp_path, monkeypa
     assert inbox.run() == want_of(rows)
     counts = {r.achievement_id: (r.unlocked, r.active_users) for r in grants.statistics(grants.granted(spark, inbox.checkpoint)).collect()}
     assert counts == {n: ({"ordinary_user": 2, "first_masterpiece": 2, "treasure_with_care": 2}.get(n, 0), 2) for n in ACHIEVEMENTS}
+
+
+class Store(dict):
+    """A map state that counts the messages it takes."""
+
+    asked = 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.get(key)
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self[key] = value
+
+
+def test_a_new_users_items_are_written_and_not_looked_for(monkeypatch):
+    monkeypatch.setattr(grants, "SOME", 50)
+    names = ["metric", "item_id", "at", "deleted", "event_id", "achievement_id", "reference"]
+    rows = [dict(zip(names, ("favorite_unique_count", str(i % 40), i, False, i, None, None), strict=True)) for i in range(50)]
+    user = grants.Grants()
+    user.items, user.active, user.granted = Store(), Store(), Store()
+    first = list(user.handleInputRows((1,), iter(rows), None))
+    assert user.items.asked == 40 and user.active == {("favorite_unique_count",): (40,)} and user.items[("favorite_unique_count", "9")] == (49, False, 49)
+    assert user.active.asked == 1 and user.granted.asked <= 1 + len(first)
+    gone = [dict(zip(names, ("favorite_unique_count", str(i), 99, True, i, None, None), strict=True)) for i in range(10)]
+    assert list(user.handleInputRows((1,), iter(gone), None)) == [] and user.items.asked == 60 and user.active[("favorite_unique_count",)] == (30,)
