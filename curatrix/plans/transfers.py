@@ -17,6 +17,9 @@ from curatrix.streaming import library
 
 QUERIES, SQL, query = registry()
 
+#: The most lines that a task sorts, on average.
+LINES = 1_000_000
+
 
 def _place(spark) -> str:
     path = f"{files.shared_folder(spark)}/transfers/{uuid.uuid4().hex}"
@@ -92,8 +95,15 @@ def image_upsert(spark, d):
     """Images of works by their kind, put in place or added from a join of three tables."""
     orders, customer, lines = (table(spark, d, n) for n in ("orders", "customer", "lineitem"))
     current = orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("primary").alias("kind"), F.lit("old").alias("url"))
-    joined = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
-    new = joined.groupBy("o_orderkey", F.when(F.col("l_linenumber") == 1, "primary").otherwise("detail").alias("kind")).agg(F.min(F.concat_ws("/", "c_name", F.col("l_partkey").cast("string"))).alias("url"))
+    # a kind's first line is found before names are put to it, by one sort of narrow rows that the join with the orders uses too;
+    # such keys take very little room when moved, so tasks are made by rows and not by Spark from what it moves
+    n, least = lines.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ["l_orderkey"] if n <= LINES else [max(least, -(-n // LINES)), "l_orderkey"]
+    primary = F.coalesce(F.col("l_linenumber") == 1, F.lit(False)).alias("primary")
+    first = lines.select("l_orderkey", primary, F.col("l_partkey").cast("string").alias("part")).repartition(*dealt).groupBy("l_orderkey", "primary").agg(F.min("part").alias("part"))
+    owners = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).groupBy("o_orderkey").agg(F.collect_set("c_name").alias("names"))
+    url = F.array_min(F.transform("names", lambda name: F.concat(name, F.lit("/"), "part"))).alias("url")
+    new = owners.join(first.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.when(F.col("primary"), "primary").otherwise("detail").alias("kind"), url)
     return files.upserted(current, new, ["o_orderkey", "kind"])
 
 

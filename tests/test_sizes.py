@@ -134,3 +134,27 @@ def test_terms_are_counted_where_their_row_is(spark):
     index = fuzzy.Index(twice, "id", {"t": F.col("t")}, 2)
     assert {tuple(r) for r in index.postings.select("term", "field", "key", "tf", "length").collect()} == want - {("a", "t", 4, 1, 1)} | {("a", "t", 4, 3, 1)}
     assert [tuple(r) for r in fuzzy.Index(docs, "id", {"t": F.col("t")}, 2).fields.select("n", "field", "mean").collect()] == [(4, "t", 1.0)]
+
+
+def test_lines_are_sorted_once_and_without_names_for_images(spark, tmp_path, monkeypatch):
+    from curatrix.plans import transfers
+
+    monkeypatch.setattr(transfers, "LINES", 1)
+    spark.createDataFrame([(1, 1, "F"), (2, 2, "O"), (3, 3, "F"), (4, 4, "F")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "b"), (1, "a"), (1, "a!"), (2, None), (4, "d")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    lines = [(1, 1, 9), (1, 1, 10), (1, 2, 3), (1, None, 20), (2, 2, 5), (3, 1, 5), (4, 3, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
+    try:
+        got = transfers.QUERIES["image_upsert"](spark, str(tmp_path))
+        whole = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = [(1, "detail", "a!/20"), (1, "primary", "a!/10"), (2, "detail", None), (3, "primary", "old"), (4, "detail", None), (4, "primary", "old")]
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    # names are put to the lines' minimum, not to each line
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(concat" not in plan and "min(part" in plan
+    # the number of tasks follows the lines
+    assert ", 7), REPARTITION_BY_NUM" in whole
