@@ -30,6 +30,17 @@ def strings(column: pa.Array) -> list[str]:
         return [b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows of a task by a few at a time, so that only few texts are Python objects at once and results leave in small
+    batches. Workers outlive their tasks: what Arrow's pool still holds unused then goes back to the system."""
+    try:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % F.lit(n)

@@ -9,10 +9,10 @@ rarest first, so common lines and passages are hardly ever keys; any order gives
 of a text's shingles bounds from below how many shingles two texts don't share; a pair that it shows to be apart is no
 candidate. At some 500 shingles that bound is weak, so texts that share a shingle with many others carry one of 1024.
 
-Texts first fall together by their words; only distinct ones are searched. The first round verifies the covering's links
-and, of the texts that share a prefix shingle, each with one before it, as a tree; further rounds do so in other orders.
-Texts linked by then are not paired again; the last round takes all pairs left, so no pair is lost, and large groups of
-copies don't give all their pairs. Groups that are too large for a task are parted (``_split``).
+Texts first fall together by their words; only distinct ones are searched. The first round verifies the covering's links.
+What these connect is not paired again: of the texts that share a prefix shingle and are still apart, the next rounds verify
+each with one before it, as a tree, in another order each time; the last round takes all pairs left, so no pair is lost, and
+large groups of copies don't give all their pairs. Groups that are too large for a task are parted (``_split``).
 
 Defined cases: words are as in covering_simhash; a text of fewer words than a shingle is one shingle; a very long text
 counts whole; null text counts as empty, and texts without words are copies of each other; repeated rows are copies; rows
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import forget, one_of_each, texts, written
+from curatrix.llm.common import forget, one_of_each, sliced, texts, written
 from curatrix.llm.covering_simhash import fingerprint, links, signed
 from curatrix.llm.graph import components
 
@@ -68,7 +68,7 @@ def _keys(width: int, most: int = 200_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             keys, prints = [], []
             for x in batch.column(2).cast(pa.binary()):
                 text = x.as_py()
@@ -96,7 +96,7 @@ def covered(distinct: DataFrame) -> DataFrame:
 def _distinct(batches: Iterator[pa.RecordBatch], width: int, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray]]:
     """Key and shingles of a task's texts; copies within a task come once."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in sliced(batches):
         for x in batch.column(0).cast(pa.binary()):
             text = x.as_py()
             key = words_key(text)
@@ -282,7 +282,7 @@ def _pair_rows(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(x.as_py(), width).tobytes() for x in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "found"])
 
@@ -296,7 +296,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             good = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity - _SLACK for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
@@ -343,19 +343,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     flagged = written(places.join(sizes.select("token", F.lit(True).alias("big")), "token", "left"))
     # one row holds each text that is to be compared
     holder = rows.groupBy("key").agg(F.min(F.struct("doc_id", "raw")).alias("row")).select("key", "row.*")
-    near = covered(written(rows.groupBy("key").agg(F.min("fp").alias("fp"))))
     hot = sizes.where(F.col("size") > most)
     hot = None if hot.isEmpty() else hot
-    roots, tested, linked = None, None, None
-    for turn in range(TREES + 1):
-        known = marks.withColumn("root", F.col("key")) if roots is None else marks.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        placed = flagged.join(known, "key").select("token", "key", "n", "at", "root", *SKETCH, F.when(F.col("big"), F.col("wide")).alias("wide"))
-        if hot is not None:
-            placed = _split(placed, hot, turn, most)
-        found = placed.repartition("token").sortWithinPartitions("token").mapInArrow(_candidates(turn, similarity), "u long, v long")
-        found = (found if tested is not None else found.unionByName(near)).distinct()
-        fresh = written(found if tested is None else found.join(tested, ["u", "v"], "left_anti"))
-        tested = fresh if tested is None else written(tested.unionByName(fresh))
+
+    def good_links(fresh: DataFrame) -> DataFrame:
         # only texts of candidates are read again and moved
         asked = fresh.select(F.col("u").alias("key")).unionByName(fresh.select(F.col("v").alias("key"))).distinct()
         held = plain.withColumn("raw", F.xxhash64("text")).join(written(holder.join(asked, "key")), ["doc_id", "raw"]).select("key", "text")
@@ -364,7 +355,20 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
         good = written(ready.select("u", "v", "x", "y").mapInArrow(_verified(similarity), "u long, v long"))
         # shingles are the bulk of what a round writes, and only its verification reads them
         forget(sets)
-        linked = good if linked is None else linked.unionByName(good)
+        return good
+
+    tested = written(covered(written(rows.groupBy("key").agg(F.min("fp").alias("fp")))).distinct())
+    linked = good_links(tested)
+    roots = written(components(linked).withColumnRenamed("node", "key"))
+    for turn in range(TREES + 1):
+        known = marks.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        placed = flagged.join(known, "key").select("token", "key", "n", "at", "root", *SKETCH, F.when(F.col("big"), F.col("wide")).alias("wide"))
+        if hot is not None:
+            placed = _split(placed, hot, turn, most)
+        found = placed.repartition("token").sortWithinPartitions("token").mapInArrow(_candidates(turn, similarity), "u long, v long").distinct()
+        fresh = written(found.join(tested, ["u", "v"], "left_anti"))
+        tested = written(tested.unionByName(fresh))
+        linked = linked.unionByName(good_links(fresh))
         roots = written(components(linked).withColumnRenamed("node", "key"))
     classes = rows.join(roots, "key", "left").select("doc_id", "raw", F.coalesce("root", "key").alias("root"))
     firsts = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))

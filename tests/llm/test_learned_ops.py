@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest_data import SF, read
@@ -513,3 +514,20 @@ def test_near_duplicate_stage_keeps_one_of_ordinary_near_copies(spark):
     assert {r.doc_id for r in near_copies.keep_one(docs, most=6).collect()} == kept
     assert len(set(want.values())) < len({t for _, t in rows})
     assert kept == set(want.values())
+
+
+def test_what_the_covering_links_is_not_paired_again(spark, monkeypatch):
+    from curatrix.llm import graph, near_copies
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("other" if i and k == 20 * i else f"w{k}" for k in range(900))) for i in range(40)]
+    rows += [(100 + i, " ".join(f"w{k}" for k in rng.integers(0, 900, 60))) for i in range(9)]
+    docs, found = spark.createDataFrame(rows, "doc_id long, text string"), []
+    keys = spark.createDataFrame([(near_copies.words_key(t.encode()),) for i, t in rows if i < 40], "v long")
+    star = keys.select(F.min("v").over(Window.partitionBy()).alias("u"), "v").where("u < v")
+    monkeypatch.setattr(near_copies, "components", lambda df: found.append(df.count()) or graph.components(df))
+    for links in (star, star.limit(0)):
+        monkeypatch.setattr(near_copies, "covered", lambda distinct, links=links: links)
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == {i: 0 if i < 40 else i for i, _ in rows}
+    assert found[:4] == [39] * 4  # what the covering has linked needs no pair after it
+    assert found[4] == 0 and found[7] >= 39  # without it the later rounds give the same
