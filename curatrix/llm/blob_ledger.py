@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import checkpoint_dir, strings, texts
+from curatrix.llm.common import checkpoint_dir, sliced, strings, texts
 
 
 class Rule(NamedTuple):
@@ -61,7 +61,7 @@ def spans_of(text: str, rule: Rule) -> list[tuple[int, int]]:
 def _scanner(rules: tuple[Rule, ...]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("version", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
-        for batch in batches:
+        for batch in sliced(batches):
             blobs, contents, pending = batch.column(0), strings(batch.column(1)), batch.column(2).to_pylist()
             found = []
             for i, todo in enumerate(pending):
@@ -177,7 +177,7 @@ def _without(text: str, found: list) -> str:
 
 def _redact(names: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns, found = batch.column(0).flatten(), batch.column(1)
             dirty = [i for i, ok in enumerate(found.is_valid().to_pylist()) if ok]
             if dirty:

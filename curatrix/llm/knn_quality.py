@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import characters, fold, one_each, strings, texts
+from curatrix.llm.common import characters, fold, one_each, sliced, strings, texts
 
 #: Most labelled rows used, hashed columns for words and for marks, latent dimensions, neighbours, weight of marks.
 SAMPLE, WORDS, MARKS, RANK, NEIGHBOURS, MARK_WEIGHT = 4000, 1 << 11, 1 << 9, 48, 15, 2.5
@@ -114,10 +114,8 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.Array, np.ndarray, pa.RecordBatch]]:
     words_of, symbols = _Memo(_word_columns), _Memo(_symbol)
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            part = batch.slice(k, rows)
-            yield part.column(0), np.stack([term_counts(t, words_of, symbols) for t in strings(part.column(1))]), part
+    for part in sliced(batches, rows):
+        yield part.column(0), np.stack([term_counts(t, words_of, symbols) for t in strings(part.column(1))]), part
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +228,11 @@ def _acceptor(shared, neighbours: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         words_of, symbols = _Memo(_word_columns), _Memo(_symbol)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                counts = np.stack([term_counts(t, words_of, symbols) for t in strings(part.column(1))])
-                score = model.score(counts, neighbours)
-                score[~counts.any(axis=1)] = model.prior
-                yield part.filter(pa.array(score >= least))
+        for part in sliced(batches, 256):
+            counts = np.stack([term_counts(t, words_of, symbols) for t in strings(part.column(1))])
+            score = model.score(counts, neighbours)
+            score[~counts.any(axis=1)] = model.prior
+            yield part.filter(pa.array(score >= least))
 
     return run
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import texts, written
+from curatrix.llm.common import sliced, texts, written
 from curatrix.llm.word_blocks import Codes, gather
 
 SIZE, END_ID, CACHED_WORDS = 2048, 1, 500_000
@@ -186,7 +186,7 @@ class WordIds:
 def _cutter(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import characters, fold, one_each, strings, texts, written
+from curatrix.llm.common import characters, fold, one_each, sliced, strings, texts, written
 
 #: Most labelled rows used; least toxic rows of a lexicon entry; least z value; trees and their depth.
 SAMPLE, SUPPORT, SIGNIFICANT, TREES, DEPTH = 20_000, 4, 3.5, 25, 3
@@ -142,7 +142,7 @@ def features(text: str, words_of: _Words) -> list[float]:
 def _features(lexicon: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = _Words(lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             got = [features(t, words_of) for t in strings(batch.column("text"))]
             yield batch.drop_columns(["text"]).append_column("features", pa.array(got, pa.list_(pa.float64())))
 

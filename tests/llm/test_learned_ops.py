@@ -531,3 +531,16 @@ def test_what_the_covering_links_is_not_paired_again(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == {i: 0 if i < 40 else i for i, _ in rows}
     assert found[:4] == [39] * 4  # what the covering has linked needs no pair after it
     assert found[4] == 0 and found[7] >= 39  # without it the later rounds give the same
+
+
+def test_texts_are_taken_a_few_at_a_time():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from curatrix.llm import near_copies, slack_packing
+
+    whole = pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), pa.array([f"a b c d e {i}" for i in range(1200)])], names=["doc_id", "text"])
+    for run in (near_copies._sets(5), slack_packing._cutter(public_tokenizers.path("word_bpe_49k.json"), 2048, 1), toxicity._features({})):
+        out = list(run(iter([whole])))
+        assert max(b.num_rows for b in out) <= 512
+        assert [i for b in out for i in b.column(0).to_pylist()] == list(range(1200))
