@@ -35,7 +35,9 @@ _ALIASES = [
 def _inputs(spark, d):
     """Parts as works by their suppliers, suppliers as creators, part types and articles as terms, names' words as labels."""
     parts = table(spark, d, "part").withColumn("id", F.col("p_partkey").cast("string")).withColumn("words", F.split("p_name", " "))
-    made = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set(F.concat(F.lit("supplier-"), "l_suppkey")).alias("artist_ids"))
+    # sets of numbers, which become ids when they are whole
+    made = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set("l_suppkey").alias("made_by"))
+    made = made.select("p_partkey", F.transform("made_by", lambda k: F.concat(F.lit("supplier-"), k.cast("string"))).alias("artist_ids"))
     first, article = F.element_at("words", 1), F.concat(F.lit("medium-"), F.element_at("words", -1))
     works = parts.join(made, "p_partkey", "left").select(
         "id",

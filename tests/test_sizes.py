@@ -1,6 +1,7 @@
 """Plans that must hold when tables grow: what is sent out to all tasks, and what is moved."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -152,6 +153,47 @@ def test_two_creators_meet_once_and_count_for_both(spark):
     assert "slice(xs" in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_of_creators_are_added_up_where_they_are_made(spark):
+    rng = random.Random(9)
+    works = [(str(i), [f"c{rng.randrange(5)}"], sorted({f"a{rng.randrange(9)}" for _ in range(rng.randrange(6))})) for i in range(70)]
+    works.append(("x", ["c9", None], []))
+    df = spark.createDataFrame(works, "id string, filed array<string>, creators array<string>")
+    want, size = {}, Counter()
+    for _, filed, people in works:
+        for channel in [*filter(None, filed), *[f"artist:{a}" for a in people]]:
+            size[channel] += 1
+            want.setdefault(channel, Counter()).update(people)
+    best = {c: min(((-k, a) for a, k in tops.items()), default=(0, None)) for c, tops in want.items()}
+    # a creator's works lie in several batches; some creators are parted, others whole
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        for part in (R.PART, 18):
+            rows = R._spread(df, part)
+            got = {r.channel: (r.item_count, r.creator_count, r.top_creator, r.top_count) for r in rows.collect()}
+            assert got == {c: (size[c], len(tops), best[c][1], -best[c][0]) for c, tops in want.items()}
+            moved = re.search(r"hashpartitioning\(about#\w+, x#", rows._jdf.queryExecution().executedPlan().toString())
+            assert bool(moved) == (part == 18)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_names_that_no_label_touches_stay_out_of_works(spark, monkeypatch):
+    creators = spark.createDataFrame([("m", ["Moreau", "Mo"]), ("k", ["Klee", "hot"]), ("l", ["Lund", None])], "id string, names array<string>")
+    queue = spark.createDataFrame([("1", " Moreau the elder"), ("1", "lee"), ("2", "Klee"), ("2", "n"), ("2", "hot"), ("3", None), ("3", "Lu"), ("3", "Mo")], "work_id string, source_text string")
+    names = R.creator_names(creators)
+    assert {tuple(r) for r in R.near_names(names, queue).collect()} == {("m", "Moreau"), ("m", "Mo"), ("k", "Klee"), ("l", "Lund")}
+    assert R.near_names(names, queue.where("work_id = '2'")).count() == 0
+    works = spark.createDataFrame([("1", ["m"]), ("2", ["k", "m"]), ("3", ["l"])], "id string, artist_ids array<string>").withColumn("artist_labels", F.array().cast("array<string>"))
+    catalogue = R.signal_catalogue(spark.createDataFrame([(1, "s", "x", "motif")], "place int, id string, label string, type string"))
+    outcomes = []
+    for few in (R.FEW_LABELS, 0):
+        monkeypatch.setattr(R, "FEW_LABELS", few)
+        outcomes.append(sorted((r.work_id, r.source_text or "", r.outcome) for r in R.routes(works, creators, catalogue, queue, []).collect()))
+    assert outcomes[0] == outcomes[1]
+    assert [o for o in outcomes[0] if o[2] != "creator"] == [("1", "lee", "unmapped_signal_label"), ("2", "n", "unmapped_signal_label"), ("3", "", "unmapped_signal_label")]
+
+
 def test_ids_of_states_are_moved_once_and_not_sent_out(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
     got = diff.transition(ids(1, 9, 9, None), ids(1, 2, 3, None), ids(2, 3, 4, None), "id")
