@@ -129,6 +129,25 @@ def test_pairs_of_names_are_not_compared_again(spark, monkeypatch, few):
     assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("ids", [1_000_000, 3])
+def test_links_move_once_by_work_and_without_names(spark, monkeypatch, ids):
+    monkeypatch.setattr(enrich, "FEW_IDS", ids, raising=False)
+    rng = random.Random(4)
+    texts = lambda: [rng.choice(["a", "b", "c", "only", "", None]) for _ in range(rng.randrange(4))]
+    people = [(i % 9, [t and t.replace("only", "name") for t in texts()]) for i in range(12)]
+    things = [(100 + i, [t and t.replace("only", "label") for t in texts()] if i else None) for i in range(15)]
+    linked = [(rng.randrange(11), 100 + rng.randrange(20), rng.choice("xy")) for _ in range(60)]
+    some = [i for i in range(10) if i % 4]
+    frame = spark.createDataFrame
+    got = enrich.evidence_context(frame([(i,) for i in some], "artist_id long"), frame(people, "_id long, names array<string>"), F.col("names"), frame(things, "_id long, labels array<string>"), F.col("labels"), frame(linked, "artist_id long, artwork_id long, role string"))
+    want = [(a, w, "relationship", r) for a, w, r in linked if a in some]
+    pairs = {(a, w) for a, names in people for w, labels in things if a in some and {*names} & {*(labels or [])} - {"", None}}
+    want += [(a, w, "artist_label", None) for a, w in pairs - {(a, w) for a, w, _ in linked}]
+    assert Counter(map(tuple, got.collect())) == Counter(want) and len(pairs) > 20
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("hashpartitioning(artist_id" in plan) == (ids == 3)
+
+
 def test_the_report_sends_out_no_works(spark):
     got = recommend.QUERIES["recommendation_report"](spark, SF)
     assert "part.parquet" not in sent_out(got)
